@@ -1,10 +1,12 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased, everything that is no letter becomes a blank, and runs of 3 to 6
-bytes are hashed into ``2 ** HASH_BITS`` slots; a feature says whether a text has the
-slot's n-gram anywhere. On the labelled sample each slot gets the log ratio of its
-smoothed rates in both classes; the ``top`` slots with the strongest ratios are kept
-and logistic regression is fitted on features scaled by their ratios.
+Texts are lower-cased, everything that is no letter becomes a blank, and runs of
+``SIZES`` characters are hashed into ``2 ** HASH_BITS`` slots; a feature says whether a
+text has the slot's n-gram anywhere. On the labelled sample each slot gets the log
+ratio of its smoothed rates in both classes; the ``top`` slots with the strongest
+ratios above zero are kept (signs of a clean text would pile up with its length and
+outvote an insult in a long one) and logistic regression is fitted on features scaled
+by their ratios.
 
 The fit reads a sample of at most about ``max_labelled`` rows (a hash of doc_id chooses
 them); the counts of the slots are summed in the cluster and only ``top`` of them, with
@@ -29,17 +31,17 @@ from lodewright.llm.text import bounded_batches, bounded_sample, texts
 from lodewright.storage import materialize
 
 HASH_BITS = 20
-SIZES = (3, 4, 5, 6)
+SIZES = (4, 5, 7, 9)
 MAX_LABELLED = 20_000
 TOP = 20_000
 BLANKS = re.compile(r"[\W\d_]+")
-#: Bytes handled at a time, with an overlap of the longest n-gram.
+#: Characters handled at a time, with an overlap of the longest n-gram.
 CHUNK = 1 << 18
 
 
 def slots(text: str):
     """Slots of all n-grams of a text, in arrays of bounded size (with repeats)."""
-    data = np.frombuffer(f" {BLANKS.sub(' ', text.lower())} ".encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
+    data = np.frombuffer(f" {BLANKS.sub(' ', text.lower())} ".encode("utf-32-le", "replace"), dtype=np.uint32)
     step, most = np.uint32(0x01000193), max(SIZES)
     for at in range(0, len(data), CHUNK):
         part = data[at : at + CHUNK + most - 1]
@@ -71,7 +73,7 @@ class Model:
 
 
 def ratios(sample: DataFrame, label: str, top: int, min_docs: int) -> DataFrame:
-    """slot, ratio of the ``top`` slots by strength among those in ``min_docs`` texts or more."""
+    """slot, ratio of the ``top`` slots by strength among those in ``min_docs`` texts or more with a ratio above zero."""
     every = np.ones(1 << HASH_BITS, dtype=bool)
 
     def count(batches):
@@ -88,8 +90,8 @@ def ratios(sample: DataFrame, label: str, top: int, min_docs: int) -> DataFrame:
     n = {int(r[label]): r["n"] for r in sample.groupBy(label).agg(F.count("*").alias("n")).collect()}
     counts = sample.select("text", label).mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 1) / (n[1] + 2)) - F.log((F.col("clean") + 1) / (n[0] + 2))
-    strength = F.abs("ratio") * F.sqrt(F.col("clean") + F.col("toxic"))
-    return counts.filter(F.col("clean") + F.col("toxic") >= min_docs).withColumn("ratio", ratio).orderBy(strength.desc(), "slot").limit(top).select("slot", "ratio")
+    strength = F.col("ratio") * F.sqrt("toxic")
+    return counts.filter(F.col("clean") + F.col("toxic") >= min_docs).withColumn("ratio", ratio).filter("ratio > 0").orderBy(strength.desc(), "slot").limit(top).select("slot", "ratio")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labelled: int = MAX_LABELLED, top: int = TOP, min_docs: int = 3, rounds: int = 300, decay: float = 1e-3) -> Model:
