@@ -15,22 +15,26 @@ token alone; repeated rows are packed once each; an empty table gives an empty r
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, texts
+from lodewright.llm.text import bounded_batches
 from lodewright.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers at a time.
+#: Words, and words with their punctuation, whose ids a worker remembers at a time.
 CACHE_WORDS = 800_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,12 +43,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokens:
     """Ids of a word-level BPE tokenizer file, with words remembered.
 
-    The tokenizer cuts a normalised text into words before it merges, so ids of a text
-    are the ids of its words in turn. Texts within Latin script take that path; any
-    other text, and any that spells a special token, goes to the tokenizer whole.
+    The tokenizer cuts a normalised text into words, never across a blank, before it
+    merges, so ids of a text are the ids of its words in turn. Texts within Latin script
+    take that path; any other text, and any that may spell a special token, goes to the
+    tokenizer whole.
     """
 
-    SAFE = re.compile("[^\t\n\r -~¡-¬®-įı-ſ]|<\\|")
+    ODD = "[^\t\n\r -~¡-¬®-įı-ſ]|<[|]"
     LETTERS = "a-zªµºß-öø-ÿĀ-ſ"
     DIGITS = "0-9²³¹¼-¾"
 
@@ -53,38 +58,77 @@ class WordTokens:
 
         self.whole = Tokenizer.from_file(path)
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.DIGITS}]|[^\\s{self.LETTERS}{self.DIGITS}]+").findall
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of ``text``."""
-        if self.SAFE.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        known, words = self.known, self.split(text.lower())
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remember the ids of chunks without blanks. New words are encoded as one text; an id that ends a word parts them."""
+        found = [self.split(c) for c in chunks]
+        new = list(set(chain.from_iterable(found)).difference(self.words))
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
+            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer joins words or parts them")
+            data, at = ids.tobytes(), 0
+            for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.words[word] = data[at:end]
+                at = end
+        words = self.words
+        self.chunks.update(zip(chunks, [words[f[0]] if len(f) == 1 else b"".join([words[w] for w in f]) for f in found], strict=True))
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, unsigned 32-bit."""
+        if len(self.chunks) > CACHE_WORDS:
+            self.words.clear()
+            self.chunks.clear()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.ODD)
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        coded = cut.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        if new := [c for c in chunks if c not in self.chunks]:
+            self.learn(new)
+        each = [self.chunks[c] for c in chunks]
+        flat, lengths = np.frombuffer(b"".join(each), dtype="<u4"), np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        codes = coded.indices.to_numpy()
+        first, taken = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        ids = flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], taken)]
+        bounds = ends[cut.offsets.to_numpy()].tolist()
+        found = [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            found[i] = self.encode_whole(texts[int(i)].as_py())
+        return found
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for a worker, kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return WordTokens(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def cut(batches):
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                ids = memoryview(tokens.encode(text) + end)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, found in zip(batch.column(0).to_pylist(), tokens.encode_batch(batch.column(1)), strict=True):
+                ids = np.append(found, end)
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    out.append((doc, piece, at, len(part), zlib.crc32(part)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
