@@ -70,7 +70,7 @@ def ordinals(hashed: DataFrame, members: Callable[[DataFrame], DataFrame], lanes
     different = hashed_texts.groupBy("h1", "h2", "canon").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
     collided = materialize(different.select("h1", "h2"), "collisions")
     if collided.isEmpty():
-        return hashed.sparkSession.createDataFrame([], hashed.select("key").schema.add("ordinal", "int"))
+        return hashed.select("key", F.lit(1).alias("ordinal")).limit(0)
     own = hashed_texts.join(collided, ["h1", "h2"])
     each = own.select("h1", "h2", "canon").distinct()
     order = each.withColumn("ordinal", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("canon")) - 1)  # different texts of one digest: never many
@@ -108,7 +108,9 @@ def following(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
     falling = sorted(heads, reverse=True)
     after = [(heads[nxt], at) for at, nxt in zip(falling, [*falling[1:], falling[0]], strict=True)]
-    closing = spark.createDataFrame(after, f"_head {docs.schema[order].dataType.simpleString()}, _closes int")
+    kind = docs.schema[order].dataType
+    pairs = F.array(*(F.struct(F.lit(head).cast(kind).alias("_head"), F.lit(at).alias("_closes")) for head, at in after))
+    closing = spark.range(1).select(F.inline(pairs))
     closers = ranged.join(F.broadcast(closing), F.col(order).eqNullSafe(F.col("_head"))).withColumn("_range", F.col("_closes")).drop("_head", "_closes")
     every = ranged.withColumn("_closer", F.lit(False)).unionByName(closers.withColumn("_closer", F.lit(True)))
     tie = F.xxhash64(*(F.col(c) for c in carried))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewright.llm import langid, packing, quality, toxicity
+from lodewright.llm import fingerprint, langid, ngram_join, packing, pii, quality, sharding, toxicity
 from lodewright.llm.text import held_out
 from lodewright.storage import materialize
 
@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The shards that documents are dealt to, and the key of surrogates.
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+PII_KEY = "lodewright"
+
+
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -31,6 +41,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced by surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(pii.found_in(F.col("text"))).alias("entities"))
+    return pii.pseudonymise(docs, PII_KEY)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +60,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, copies and links of every document."""
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_quality_classifier, op8_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op2_document_fingerprints, op3_best_fit_packing, op4_quality_classifier, op5_pii, op6_sharding, op8_language_id, op9_ngram_jaccard_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
