@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewright.llm import fingerprint, langid, ngram_join, packing, pii, quality, sharding, toxicity
+from lodewright.llm import ann, fingerprint, langid, mixing, ngram_join, packing, pii, quality, sharding, toxicity
 from lodewright.llm.text import held_out
 from lodewright.storage import materialize
 
@@ -21,6 +21,13 @@ SHARDS = [f"shard-{i:03d}" for i in range(128)]
 PII_KEY = "lodewright"
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ann.build_index(vectors, "vec_id", "embedding", 20)
+    return ann.search_index(index, vectors.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding", 20)
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -52,6 +59,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and fate of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -74,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_document_fingerprints, op3_best_fit_packing, op4_quality_classifier, op5_pii, op6_sharding, op8_language_id, op9_ngram_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_document_fingerprints, op3_best_fit_packing, op4_quality_classifier, op5_pii, op6_sharding, op7_source_mixing, op8_language_id, op9_ngram_jaccard_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
