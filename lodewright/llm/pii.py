@@ -5,8 +5,8 @@ social security and telephone numbers, secrets and titled names. A surrogate dep
 entity alone, so the same entity gets the same surrogate everywhere, and has its type and
 format: digits stand for digits, letters for letters of the same case, punctuation stays.
 
-* Numbers go through a keyed Feistel network over their digits, which is one to one; a
-  valid Luhn check digit stays valid. IPv4 addresses go through one over 32 bits.
+* Numbers go through a keyed Feistel network over their digits, which is one to one; an
+  account keeps its first digit, and a valid Luhn check digit stays valid. IPv4 addresses go through one over 32 bits.
 * E-mail addresses and secrets take characters from a keyed digest; domains are mapped
   on their own, so that addresses of one domain stay together, and keep their last label.
 * Names keep their title; given names match its gender, all parts match their script
@@ -33,18 +33,22 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κ")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κα")
 OPEN = ("Dr", "Prof")
-TITLE = r"(?<![\p{L}\d])(?:" + "|".join(sorted(MALE + FEMALE + OPEN, key=len, reverse=True)) + r")\.? "
+TITLE = r"(?:" + "|".join(sorted(MALE + FEMALE + OPEN, key=len, reverse=True)) + r")\.? "
 NAME_PART = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-#: Each type's pattern as it is searched for, and as the whole of an entity shows its type again. Order matters.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
-SECRET = r"(?<=(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{8,}|(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?\d{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![\dA-Za-z.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\dA-Za-z])"
-PHONE = r"(?<![\d.A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])"
-SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+#: An entity starts where no letter or digit comes before it; the types' patterns follow this one look back. Their order matters.
+START = r"(?<![\p{L}\p{N}])"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+IP = rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
+KEYED = r"(?<=[=:\"' ])(?=[A-Za-z0-9_+/-]{8})(?<=[=:]\s{0,2}[\"']{0,1})(?<=(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{8,}"
+HEXED = r"(?=[0-9A-Fa-f]{32})(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?\d{1,3})?(?![A-Za-z0-9])"
+CARD = r"(?<!\d\.)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\dA-Za-z])"
+PHONE = r"(?<!\d\.)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
+SSN = r"(?<!\d-)\d{3}-\d{2}-\d{4}(?![\d-])"
 NAME = rf"{TITLE}{NAME_PART}(?: {NAME_PART}){{0,2}}"
-PATTERN = "|".join((EMAIL, IP, SECRET, IBAN, CARD, PHONE, SSN, NAME))
+PATTERN = START + "(?:" + "|".join((EMAIL, IP, KEYED, HEXED, IBAN, CARD, PHONE, SSN, NAME)) + ")"
+#: A text that has neither of these has no entity.
+MARKS, TITLED = "[0-9@=:]", rf"{START}{TITLE}\p{{Lu}}"
 
 #: Given names and the syllables of surnames by script.
 GIVEN = {
@@ -120,8 +124,8 @@ def _numeric(key: str, entity: Column, attempt: Column, kept: Column | None = No
     digits = F.substring(every, F.length(head) + 1, F.length(every))
     plain = _digits(key, digits, attempt)
     body = _digits(key, F.substring(digits, F.lit(1), F.length(digits) - 1), attempt)
-    valid = F.concat(body, ((10 - _luhn(body, False)) % 10).cast("string"))
-    return _dealt(entity, F.concat(head, F.when((F.length(digits) >= 13) & (_luhn(digits, True) == 0), valid).otherwise(plain)))
+    valid = F.concat(body, ((10 - _luhn(F.concat(head, body), False)) % 10).cast("string"))
+    return _dealt(entity, F.concat(head, F.when((F.length(every) >= 13) & (_luhn(every, True) == 0), valid).otherwise(plain)))
 
 
 def _spelled(key: str, text: Column, seed: Column, attempt: Column) -> Column:
@@ -191,14 +195,16 @@ def surrogate(key: str, entity: Column, attempt: Column | None = None) -> Column
     spelled = _spelled(key, entity, F.lower(entity), attempt)
     iban = F.concat(F.substring(entity, 1, 2), _spelled(key, F.substring(entity, F.lit(3), F.length(entity)), F.regexp_replace(entity, " ", ""), attempt))
     return (
-        F.when(kind == "email", _email(key, entity, attempt)).when(kind == "ip", _ip(key, entity, attempt)).when(kind.isin("account", "ssn"), _numeric(key, entity, attempt))
+        F.when(kind == "email", _email(key, entity, attempt)).when(kind == "ip", _ip(key, entity, attempt)).when(kind == "ssn", _numeric(key, entity, attempt))
+        .when(kind == "account", _numeric(key, entity, attempt, F.lit(1)))
         .when(kind == "phone", _numeric(key, entity, attempt, country)).when(kind == "iban", iban).when(kind == "name", _name(key, entity, attempt)).otherwise(spelled)
     )
 
 
 def found_in(text: Column) -> Column:
-    """All entities of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    """All entities of a text, in order; texts without a mark of one are told by a quick look."""
+    found = F.when(text.rlike(MARKS) | text.rlike(TITLED), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def exceptions(docs: DataFrame, key: str, text: str, rounds: int = 8) -> DataFrame:
@@ -220,19 +226,17 @@ def exceptions(docs: DataFrame, key: str, text: str, rounds: int = 8) -> DataFra
     return state.filter("attempt > 0").select("entity", "other")
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """``docs`` with every entity in ``text`` replaced. ``ident`` tells rows apart where exceptions are looked up."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", ident: str = "doc_id", counted: str | None = None) -> DataFrame:
+    """``docs`` with every entity in ``text`` replaced; ``counted`` names a column for their number. ``ident`` tells rows apart where exceptions are looked up."""
     others = exceptions(docs, key, text)
-    entities = found_in(F.col(text))
-
-    def rewritten(rows: DataFrame, mapped) -> DataFrame:
-        new = F.transform(entities, mapped)
-        parts = F.split(F.col(text), PATTERN, -1)
-        return rows.withColumn(text, F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))
-
+    marked = docs.withColumn("_entities", found_in(F.col(text)))
     plain = lambda e: surrogate(key, e)
-    if others.isEmpty():
-        return rewritten(docs, plain)
-    hit = docs.select(ident, F.explode(entities).alias("entity")).join(small_or_shuffled(others), "entity").groupBy(ident).agg(F.map_from_entries(F.collect_set(F.struct("entity", "other"))).alias("_others"))
-    marked = docs.join(small_or_shuffled(materialize(hit, "pii-exceptions")), ident, "left")
-    return rewritten(marked, lambda e: F.coalesce(F.try_element_at(F.col("_others"), e), plain(e))).select(*docs.columns)
+    mapped = plain
+    if not others.isEmpty():
+        hit = marked.select(ident, F.explode("_entities").alias("entity")).join(small_or_shuffled(others), "entity").groupBy(ident).agg(F.map_from_entries(F.collect_set(F.struct("entity", "other"))).alias("_others"))
+        marked = marked.join(small_or_shuffled(materialize(hit, "pii-exceptions")), ident, "left")
+        mapped = lambda e: F.coalesce(F.try_element_at(F.col("_others"), e), plain(e))
+    new = F.concat(F.transform("_entities", mapped), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(F.col(text), PATTERN, -1), new, lambda a, b: F.concat(a, b)), "")
+    number = [F.size("_entities").alias(counted)] if counted else []
+    return marked.select(*(F.when(F.size("_entities") > 0, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns if c != counted), *number)

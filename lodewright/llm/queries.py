@@ -50,8 +50,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its entities replaced by surrogates."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(pii.found_in(F.col("text"))).alias("entities"))
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, counted="entities")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
