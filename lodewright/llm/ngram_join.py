@@ -48,11 +48,13 @@ COLUMNS = 4096
 
 def banding(threshold: float, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
     """Bands and rows: the most rows for which ``recall`` at the threshold needs no more than ``most`` hashes."""
-    best = (math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - threshold))), 1) if threshold < 1 else (1, 1)
+    needed = lambda rows: max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
+    best = (needed(1), 1)
     for rows in range(2, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= most:
-            best = (bands, rows)
+        if threshold**rows < 1e-9:
+            break
+        if needed(rows) * rows <= most:
+            best = (needed(rows), rows)
     return best
 
 

@@ -1,0 +1,63 @@
+import re
+
+from pyspark.sql import functions as F
+
+from lodewright.llm import pii
+
+TEXT = (
+    "Mail Ann.Lee+1@Shop.example.com or ann.lee+1@shop.example.com, call +1 (212) 555-0199 or +1 212 555 0199, card 4539 1488 0343 6467 and 4539148803436467, "
+    'ip 10.20.30.40, ssn 123-45-6789, token = "a1b2c3d4e5f60718293a4b5c6d7e8f9001122334", password: hunter2hunter2, Mrs. Anna Schmidt met Mr. Karl Schmidt and Frau Schmidt, г-н Иван Петров.'
+)
+
+
+def rewritten(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+
+
+def test_formats_types_and_coreference(spark):
+    (new,) = rewritten(spark, [TEXT])
+    shape = lambda s: re.sub(r"\d", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"(\d+\.){3}\d+", "ip", s))))
+    a, b = TEXT.split("Mrs."), new.split("Mrs.")
+    assert shape(a[0]) == shape(b[0])
+    for secret in ("Ann.Lee", "555-0199", "1488", "10.20.30.40", "123-45-6789", "a1b2c3d4e5", "hunter2", "Anna", "Schmidt", "Петров"):
+        assert secret not in new
+    mails = re.findall(r"\S+@\S+?(?=[, ])", b[0])
+    assert mails[0].lower() == mails[1].lower() and mails[0].endswith(".com")
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", b[0])
+    assert cards[0].replace(" ", "") == cards[1] and cards[1][0] == "4"
+    digits = [int(c) for c in reversed(cards[1])]
+    assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    names = re.findall(r"(?:Mrs\.|Mr\.|Frau|г-н) ([\w ]+?)(?: met| and|,|\.)", new)
+    assert names[0].split()[-1] == names[1].split()[-1] == names[2] and names[0].split()[0] in pii.GIVEN["latin", "f"]
+    assert names[1].split()[0] in pii.GIVEN["latin", "m"] and re.fullmatch(r"[А-я ]+", names[3])
+    assert all(int(x) < 256 for x in re.search(r"ip ([\d.]+),", new)[1].split("."))
+
+
+def test_one_to_one_over_a_whole_format(spark):
+    df = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
+    moved = df.select("d", pii._digits("k", F.col("d"), F.lit(0)).alias("m"))
+    assert moved.select("m").distinct().count() == 10_000 and moved.filter("length(m) <> 4").count() == 0
+
+
+def test_collisions_are_resolved(spark, monkeypatch):
+    def few(key, text, seed, attempt):
+        return F.concat(F.lit("s"), (F.xxhash64(seed, attempt) % 40 + 40).cast("string"))
+
+    monkeypatch.setattr(pii, "_spelled", few)
+    texts = [f"password: secretvalue{i:02d}" for i in range(20)]
+    new = rewritten(spark, texts)
+    assert len({t.split(": ")[1] for t in new}) == 20
+
+
+def test_odd_rows(odd, none):
+    found = {r["doc_id"]: r for r in pii.pseudonymise(odd, "k", counted="entities").collect()}
+    assert found[1]["text"] is None and found[2]["text"] == "" and found[3]["entities"] == 2 and "jo.doe" not in found[3]["text"]
+    assert found[5]["text"].startswith("the quick") and found[3]["score"] == 9.5 and len(found) == 10
+    assert pii.pseudonymise(none, "k").count() == 0
+
+
+def test_clean_documents_stay(docs):
+    marked = docs.filter(~F.col("text").rlike(r"[0-9@]"))
+    changed = pii.pseudonymise(marked, "k").alias("n").join(marked.alias("o"), "doc_id").filter("n.text <> o.text")
+    assert marked.count() > 50 and changed.count() == 0
