@@ -26,8 +26,8 @@ WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
 
 
 def _measure(stem: str) -> int:
-    form = re.sub(r"[^aeiouy]+", "c", re.sub(r"[aeiouy]+", "v", stem))
-    return form.count("vc")
+    form = re.sub("[^V]+", "C", re.sub("[aeiouy]+", "V", stem))
+    return form.count("VC")
 
 
 def stem(word: str) -> str:
@@ -57,8 +57,12 @@ def stem(word: str) -> str:
         w = w[:-1] + "i"
     for old, new in (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("alism", "al"), ("ation", "ate"), ("aliti", "al"), ("iviti", "ive"), ("icate", "ic"), ("alize", "al"), ("ement", ""), ("ment", ""), ("ness", ""), ("ance", ""), ("ence", ""), ("able", ""), ("ible", ""), ("ful", "")):
         if w.endswith(old) and _measure(w[: -len(old)]) > 0:
-            return w[: -len(old)] + new
-    return w
+            w = w[: -len(old)] + new
+            break
+    base = w[:-1]
+    if w.endswith("e") and (_measure(base) > 1 or (_measure(base) == 1 and not re.search("[^aeiou][aeiouy][^aeiouwxy]$", base))):
+        w = base
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
 def tokens(text: Column, config: str = "simple") -> Column:

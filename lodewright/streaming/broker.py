@@ -131,7 +131,8 @@ COLUMNS = ["queue", "consumer", "at", "event", "seq", "worker", "attempts", "pay
 
 def _rows(state: Queue, ops: pd.DataFrame, key: tuple) -> pd.DataFrame:
     out = [{"queue": key[0], "consumer": key[1], "at": op["now"], **e} for op in ops.to_dict("records") for e in state.apply(op)]
-    return pd.DataFrame(out, columns=COLUMNS)
+    found = pd.DataFrame(out, columns=COLUMNS, dtype=object)
+    return found.where(found.notna(), None)
 
 
 def replay(log: DataFrame) -> DataFrame:

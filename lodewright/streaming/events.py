@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 
 def read_since(log: DataFrame, offset: int, stream: str | None = None, order: str = "offset") -> DataFrame:
@@ -27,21 +27,29 @@ def import_events(known: DataFrame, arriving: DataFrame, ident: str = "id") -> D
     return known.unionByName(arriving.join(known.select(ident), ident, "left_anti").dropDuplicates([ident]).select(*known.columns))
 
 
+def timed(stream: DataFrame, at: str, delay: str | None) -> DataFrame:
+    """The stream with a watermark, which needs a timestamp with a zone (the session's)."""
+    if delay is None:
+        return stream
+    zoned = stream.withColumn(at, F.col(at).cast("timestamp")) if isinstance(stream.schema[at].dataType, TimestampNTZType) else stream
+    return zoned.withWatermark(at, delay)
+
+
 def deduplicated(stream: DataFrame, ident: str, at: str, delay: str) -> DataFrame:
     """A stream without repeats of an id that come within the watermark."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([ident])
+    return timed(stream, at, delay).dropDuplicatesWithinWatermark([ident])
 
 
 def windowed(stream: DataFrame, at: str, size: str, slide: str | None, keys: list[str], delay: str | None, **aggregates) -> DataFrame:
     """Tumbling (no slide) or sliding windows: start, end, keys and aggregates. Without delay it is a batch."""
-    rows = stream.withWatermark(at, delay) if delay else stream
+    rows = timed(stream, at, delay)
     w = F.window(at, size, slide) if slide else F.window(at, size)
     return rows.groupBy(w.alias("w"), *keys).agg(*(v.alias(k) for k, v in aggregates.items())).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *aggregates)
 
 
 def sessions(stream: DataFrame, at: str, gap: str, keys: list[str], delay: str | None = None, **aggregates) -> DataFrame:
     """Session windows that close after ``gap`` without an event."""
-    rows = stream.withWatermark(at, delay) if delay else stream
+    rows = timed(stream, at, delay)
     found = rows.groupBy(F.session_window(at, gap).alias("w"), *keys).agg(*(v.alias(k) for k, v in aggregates.items()))
     return found.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *aggregates)
 
