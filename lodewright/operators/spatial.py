@@ -550,3 +550,202 @@ def travel_time(edges: list[tuple[str, str, float]], start, end) -> Column:
 
 def isochrone(edges: list[tuple[str, str, float]], start: str, limit: float) -> list[tuple[str, float]]:
     return sorted((n, c) for n, (c, _) in shortest_paths(edges, start).items() if c <= limit)
+
+
+# ---- overlays of polygons, cut at every crossing and put together again
+def _inside_half(p, q, a, b) -> tuple[bool, bool]:
+    return _turn(a, b, p) >= 0, _turn(a, b, q) >= 0
+
+
+def _signed(ring) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
+
+
+def _pieces(g, other) -> list[tuple[tuple, tuple, int]]:
+    """Directed edges of g (interior to the left), cut at the other's, with their place relative to the other: 1, 0 same way, 2 opposite way, -1."""
+    theirs = {(tuple(a), tuple(b)) for a, b in _directed(other)}
+    out = []
+    for a, b in _directed(g):
+        at = sorted({0.0, 1.0, *(round(t, 12) for c, d in _segments(other) for t in _cuts(a, b, c, d))})
+        points = [(round(a[0] + t * (b[0] - a[0]), 10), round(a[1] + t * (b[1] - a[1]), 10)) for t in at]
+        for p, q in zip(points, points[1:], strict=False):
+            if p != q:
+                middle = [(p[0] + q[0]) / 2, (p[1] + q[1]) / 2]
+                place = _place(middle, other)
+                if place == 0:
+                    along = any(abs(_turn(c, d, middle)) < 1e-9 and (d[0] - c[0]) * (q[0] - p[0]) + (d[1] - c[1]) * (q[1] - p[1]) > 0 for c, d in theirs if min(c[0], d[0]) - 1e-9 <= middle[0] <= max(c[0], d[0]) + 1e-9 and min(c[1], d[1]) - 1e-9 <= middle[1] <= max(c[1], d[1]) + 1e-9)
+                    place = 0 if along else 2
+                out.append((p, q, place))
+    return out
+
+
+def _directed(g) -> list:
+    out = []
+    for rings in _polygons(g):
+        for i, r in enumerate(rings):
+            forward = (_signed(r) > 0) == (i == 0)
+            r = r if forward else r[::-1]
+            out += list(zip(r, r[1:], strict=False))
+    return out
+
+
+def overlay(a, b, how: str) -> tuple[str, list]:
+    """union, intersection or difference of two (multi)polygons."""
+    if not _polygons(a) or not _polygons(b):
+        raise ValueError("overlays take polygons")
+    mine, theirs = _pieces(a, b), _pieces(b, a)
+    keep_a = {"union": (-1, 0), "intersection": (1, 0), "difference": (-1, 2)}[how]
+    keep_b = {"union": (-1,), "intersection": (1,), "difference": (1,)}[how]
+    edges = [(p, q) for p, q, w in mine if w in keep_a] + [(q, p) if how == "difference" else (p, q) for p, q, w in theirs if w in keep_b]
+    ahead: dict[tuple, list] = {}
+    for p, q in edges:
+        ahead.setdefault(p, []).append(q)
+    rings = []
+    while ahead:
+        start = next(iter(ahead))
+        ring, at, before = [start], start, None
+        while True:
+            choices = ahead[at]
+            if len(choices) > 1 and before is not None:  # the sharpest turn to the left keeps rings simple
+                back = math.atan2(before[1] - at[1], before[0] - at[0])
+                choices.sort(key=lambda q: (back - math.atan2(q[1] - at[1], q[0] - at[0])) % (2 * math.pi))
+            nxt = choices.pop(0)
+            if not choices:
+                del ahead[at]
+            before, at = at, nxt
+            ring.append(at)
+            if at == start:
+                break
+            if at not in ahead:
+                ring = []
+                break
+        if len(ring) > 3:
+            slim = [p for i, p in enumerate(ring[:-1]) if abs(_turn(ring[i - 1] if i else ring[-2], p, ring[i + 1])) > 1e-12]
+            if len(slim) > 2:
+                rings.append([list(p) for p in [*slim, slim[0]]])
+    shells, holes = [r for r in rings if _signed(r) > 0], [r for r in rings if _signed(r) < 0]
+    polygons = [[s, *(h for h in holes if _where([(h[0][0] + h[1][0]) / 2, (h[0][1] + h[1][1]) / 2], [s]) >= 0)] for s in shells]
+    return ("POLYGON", polygons[0] if polygons else []) if len(polygons) < 2 else ("MULTIPOLYGON", polygons)
+
+
+def st_overlay(a, b, how: str) -> Column:
+    @F.pandas_udf("string")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else to_wkt(overlay(parse_wkt(p), parse_wkt(q), how)) for p, q in zip(x, y, strict=True)])
+
+    return run(col(a), col(b))
+
+
+def relate(a, b) -> str:
+    """Which of the named predicates hold, in alphabetical order."""
+    return ",".join(n for n in sorted(PREDICATES) if PREDICATES[n](a, b))
+
+
+# ---- tiles, rasters, places
+def tile_of(lon, lat, zoom: int) -> tuple[Column, Column]:
+    """Web-Mercator tile column and row of points."""
+    n = float(2**zoom)
+    y = (1 - F.log(F.tan(F.radians(col(lat))) + 1 / F.cos(F.radians(col(lat)))) / F.pi()) / 2 * n
+    return F.floor((col(lon) + 180) / 360 * n).cast("int"), F.floor(y).cast("int")
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while True:
+        out.append(n & 127 | (128 if n > 127 else 0))
+        n >>= 7
+        if not n:
+            return bytes(out)
+
+
+def _field(number: int, data: bytes) -> bytes:
+    return _varint(number << 3 | 2) + _varint(len(data)) + data
+
+
+def encode_tile(layer: str, points: list[tuple[int, int, int]], extent: int = 4096) -> bytes:
+    """A vector tile with one layer of points (id, x, y in tile units)."""
+    zig = lambda v: (v << 1) ^ (v >> 63)
+    features = b""
+    for ident, x, y in points:
+        geometry = b"".join(map(_varint, (9, zig(x), zig(y))))
+        features += _field(2, _varint(1 << 3) + _varint(ident) + _varint(3 << 3) + _varint(1) + _field(4, geometry))
+    body = _field(1, layer.encode()) + features + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(2)
+    return _field(3, body)
+
+
+def tiles(points: DataFrame, ident: str, zoom: int, layer: str = "points", extent: int = 4096, most: int = 100_000) -> DataFrame:
+    """x, y, features, tile of every tile that has points (lon, lat). A tile with more than ``most`` points is an error: choose a larger zoom."""
+    x, y = tile_of("lon", "lat", zoom)
+    n = float(2**zoom)
+    px = F.floor(((F.col("lon") + 180) / 360 * n - F.col("x")) * extent).cast("int")
+    py = F.floor(((1 - F.log(F.tan(F.radians("lat")) + 1 / F.cos(F.radians("lat"))) / F.pi()) / 2 * n - F.col("y")) * extent).cast("int")
+    placed = points.withColumns({"x": x, "y": y}).select("x", "y", F.struct(F.col(ident).cast("long").alias("id"), px.alias("px"), py.alias("py")).alias("p"))
+    counted = placed.groupBy("x", "y").agg(F.count("*").alias("features"), F.sort_array(F.collect_list("p")).alias("ps"))
+
+    @F.pandas_udf("binary")
+    def encode(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: encode_tile(layer, [(int(p["id"]), int(p["px"]), int(p["py"])) for p in r], extent))
+
+    whole = F.when(F.col("features") > most, F.raise_error(F.lit("too many points in a tile")).cast("array<struct<id:bigint,px:int,py:int>>")).otherwise(F.col("ps"))
+    return counted.select("x", "y", "features", encode(whole).alias("tile"))
+
+
+def raster_slope(grid: list[list[float]], step: float, row: int, column: int) -> float:
+    """Steepness in degrees at a cell, by central differences (one-sided at the rim)."""
+    h, w = len(grid), len(grid[0])
+    x0, x1, y0, y1 = max(0, column - 1), min(w - 1, column + 1), max(0, row - 1), min(h - 1, row + 1)
+    dx = (grid[row][x1] - grid[row][x0]) / ((x1 - x0) * step)
+    dy = (grid[y1][column] - grid[y0][column]) / ((y1 - y0) * step)
+    return math.degrees(math.atan(math.hypot(dx, dy)))
+
+
+def zonal_mean(grid: list[list[float]], x0: float, y0: float, step: float, zone) -> Column:
+    """Mean of the cells whose middle lies in each zone (WKT), null without one."""
+
+    @F.pandas_udf("double")
+    def run(zones: pd.Series) -> pd.Series:
+        def one(text):
+            g = parse_wkt(text)
+            found = [v for j, r in enumerate(grid) for i, v in enumerate(r) if _place([x0 + i * step, y0 + j * step], g) >= 0]
+            return sum(found) / len(found) if found else None
+
+        return zones.map(lambda t: None if t is None else one(t))
+
+    return run(col(zone))
+
+
+def travel_matrix(edges: list[tuple[str, str, float]], starts: list[str], ends: list[str]) -> list[tuple[str, str, float | None]]:
+    return [(s, e, found[e][0] if e in found else None) for s in starts for found in [shortest_paths(edges, s)] for e in ends]
+
+
+def optimize_route(edges: list[tuple[str, str, float]], start: str, stops: list[str]) -> tuple[float, list[str]]:
+    """A round of all stops: nearest first, then pairs of legs are turned while that helps."""
+    cost = {a: {b: c for b, (c, _) in shortest_paths(edges, a).items()} for a in (start, *stops)}
+    order, left = [start], set(stops)
+    while left:
+        nearest = min(sorted(left), key=lambda b: cost[order[-1]].get(b, math.inf))
+        order.append(nearest)
+        left.remove(nearest)
+    total = lambda o: sum(cost[a].get(b, math.inf) for a, b in zip(o, o[1:], strict=False))
+    better = True
+    while better:
+        better = False
+        for i in range(1, len(order) - 1):
+            for j in range(i + 1, len(order)):
+                turned = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                if total(turned) < total(order) - 1e-12:
+                    order, better = turned, True
+    return total(order), order
+
+
+def geocode(places: DataFrame, name: str, text: str, k: int = 5) -> DataFrame:
+    """The ``k`` places whose names share most words with ``text``; of equals the shorter name first."""
+    words = [w for w in re.findall(r"\w+", text.lower()) if w]
+    own = F.array_distinct(F.regexp_extract_all(F.lower(F.col(name)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    score = F.size(F.array_intersect(own, F.array(*map(F.lit, words)))) / F.lit(max(1, len(words)))
+    return places.withColumn("score", score).filter("score > 0").orderBy(F.col("score").desc(), F.length(name), name).limit(k)
+
+
+def reverse_geocode(places: DataFrame, lon: float, lat: float, k: int = 1) -> DataFrame:
+    """The ``k`` nearest places (lon, lat) with their distance in metres."""
+    return places.withColumn("metres", metres(F.lit(lon), F.lit(lat), "lon", "lat")).orderBy("metres", *[c for c in places.columns if c not in ("lon", "lat")]).limit(k)

@@ -41,7 +41,7 @@ def register_sql(name: str, spark_sql: str, oracle: str | None = None, tables: t
 
 
 def _load() -> None:
-    from lodewright.plans import relational, scalars, special  # noqa: F401
+    from lodewright.plans import extras, relational, scalars, special  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -175,3 +175,34 @@ def test_measures_and_routes():
     assert spatial.area(spatial.buffer(spatial.parse_wkt("POINT(10 50)"), 1000)) == pytest.approx(3.1416e6, rel=0.02)
     roads = [("a", "b", 2.0), ("b", "c", 2.0), ("a", "c", 5.0)]
     assert spatial.shortest_paths(roads, "a")["c"] == (4.0, ["a", "b", "c"]) and spatial.isochrone(roads, "a", 2.5) == [("a", 0.0), ("b", 2.0)]
+
+
+@pytest.mark.parametrize(
+    ("other", "how", "area"),
+    [(HALF, "union", 175), (HALF, "intersection", 25), (HALF, "difference", 75), (INNER, "difference", 96), (INNER, "intersection", 4), (INNER, "union", 100), (EDGE, "union", 200), (EDGE, "intersection", 0), (APART, "union", 200), (APART, "difference", 100), (SQUARE, "difference", 0), (SQUARE, "union", 100)],
+)
+def test_overlays(other, how, area):
+    a, b = spatial.parse_wkt(SQUARE), spatial.parse_wkt(other)
+    found = spatial.overlay(a, b, how)
+    planar = sum(abs(spatial._signed(p[0])) - sum(abs(spatial._signed(h)) for h in p[1:]) for p in spatial._polygons(found))
+    assert planar == pytest.approx(area)
+    with pytest.raises(ValueError):
+        spatial.overlay(spatial.parse_wkt("POINT(1 1)"), b, how)
+
+
+def test_tiles_routes_rasters(spark):
+    tile = spatial.encode_tile("l", [(7, 10, 20)])
+    assert tile[0] == 0x1A and b"l" in tile
+    roads = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 5.0)]
+    assert spatial.travel_matrix(roads, ["a"], ["c", "zz"]) == [("a", "c", 2.0), ("a", "zz", None)]
+    assert spatial.optimize_route(roads, "a", ["c", "b"]) == (2.0, ["a", "b", "c"])
+    assert spatial.raster_slope([[0.0, 1.0, 2.0]] * 3, 1.0, 1, 1) == pytest.approx(45.0)
+    with pytest.raises(Exception, match="no route"):
+        spark.range(1).select(spatial.travel_time(roads, F.lit("a"), F.lit("zz"))).collect()
+
+
+def test_hashed_search_finds_most(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    near = vectors.lsh_top_k(e, e.filter("vec_id < 30"), "vec_id", "embedding", "vec_id", "embedding", 5, 64, bits=4, tables=12)
+    exact = vectors.batch_top_k(e, e.filter("vec_id < 30"), "vec_id", "embedding", "vec_id", "embedding", 5)
+    assert near.join(exact, ["query", "vec_id"], "left_semi").count() > 0.5 * exact.count()
