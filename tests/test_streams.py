@@ -114,3 +114,13 @@ def test_files(spark, sf, tmp_path):
     mark = files.write_sidecar(t, str(tmp_path / "side"), ["id"])
     assert files.verify_sidecar(spark, str(tmp_path / "side"), ["id"], mark) and not files.verify_sidecar(spark, str(tmp_path / "side"), ["id"], "no")
     assert set(files.load(spark, sf)) == set(files.TABLES) and materialize(t).count() == 3
+
+
+def test_intermediates_can_be_dropped(spark):
+    from lodewright import drop_intermediates, shared_dir
+
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3 and shared_dir(spark)
+    drop_intermediates(spark)
+    with pytest.raises(Exception):
+        kept.count()
