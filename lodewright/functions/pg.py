@@ -40,6 +40,27 @@ def exact_list_sum(array, scale: int = 4) -> Column:
     return F.aggregate(col(array), F.lit(0).cast(kind), lambda s, x: (s + x.cast(kind)).cast(kind))
 
 
+def exact_sum_units(x, scale: int) -> Column:
+    """An aggregate: the sum in units of 10^-scale as text, exact up to 56 digits. Nulls and values finer than the scale are errors.
+
+    Inputs are split into high and low halves that are summed apart, so no sum overflows.
+    """
+    units = (col(x).cast("decimal(38,10)") * F.lit(10**scale)).cast("decimal(38,10)")
+    whole = units.cast("decimal(38,0)")
+    checked = F.when(units.isNull(), F.raise_error(F.lit("null in an exact sum")).cast("decimal(38,0)")).when(units != whole, F.raise_error(F.lit("value finer than the scale")).cast("decimal(38,0)")).otherwise(whole)
+    base = F.lit("1000000000000000000").cast("decimal(19,0)")
+    low = F.pmod(checked, base).cast("decimal(38,0)")
+    high = ((checked - low) / base).cast("decimal(38,0)")
+    highs, lows = F.sum(high).cast("decimal(38,0)"), F.sum(low).cast("decimal(38,0)")
+    rest = F.pmod(lows, base).cast("decimal(38,0)")
+    top = (highs + ((lows - rest) / base).cast("decimal(38,0)")).cast("decimal(38,0)")
+    below = (top < 0) & (rest > 0)
+    top, rest = F.when(below, top + 1).otherwise(top).cast("decimal(38,0)"), F.when(below, base - rest).otherwise(rest).cast("decimal(38,0)")
+    sign = F.when((top < 0) | below, "-").otherwise("")
+    digits = F.concat(F.abs(top).cast("string"), F.lpad(rest.cast("string"), 18, "0"))
+    return F.coalesce(F.concat(sign, F.regexp_replace(digits, "^0+(?=.)", "")), F.lit("0"))
+
+
 # ---- text
 def initcap(s) -> Column:
     """A capital after everything that is no letter or digit."""

@@ -101,6 +101,37 @@ def text(r) -> Column:
     return F.when(r["empty"], "empty").otherwise(F.concat(F.when(r["lower_inc"], "[").otherwise("("), show(r["lower"]), F.lit(","), show(r["upper"]), F.when(r["upper_inc"], "]").otherwise(")")))
 
 
+# ---- multiranges: arrays of ranges, sorted, apart and without empty ones
+def multi(array) -> Column:
+    """The normal form of an array of ranges: those that overlap or touch become one."""
+    kept = F.filter(col(array), lambda r: ~r["empty"])
+    none = F.filter(kept, lambda r: F.lit(False))
+    ordered = F.array_sort(kept, lambda a, b: F.when(_starts_before(a, b, True), -1).when(_starts_before(b, a, True), 1).otherwise(0))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        joins = (F.size(done) > 0) & (overlaps(last, r) | adjacent(last, r))
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(merge(last, r)))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(ordered, none, lambda done, r: F.when(F.size(done) == 0, F.array(r)).otherwise(step(done, r)))
+
+
+def multi_union(a, b) -> Column:
+    return multi(F.concat(col(a), col(b)))
+
+
+def multi_intersect(a, b) -> Column:
+    return multi(F.flatten(F.transform(col(a), lambda x: F.transform(col(b), lambda y: intersect(x, y)))))
+
+
+def multi_has(m, x) -> Column:
+    return F.exists(col(m), lambda r: has(r, x))
+
+
+def multi_text(m) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(col(m), text), ","), F.lit("}"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
     """Pairs of half-open ranges [lo, hi) that overlap: equal bins of ``width`` meet, each pair in its first common bin.
 

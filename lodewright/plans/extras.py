@@ -187,3 +187,20 @@ def spatial_zonal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spatial_travel_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 2.0), ("a", "d", 9.0)]
     return spark.createDataFrame(spatial.travel_matrix(roads, ["a", "b"], ["a", "d"]), "start string, stop string, cost double")
+
+
+@register("SELECT CAST(sum(CAST(n_nationkey AS BIGINT)) AS BIGINT) AS total, 'even' AS kind FROM nation WHERE n_nationkey % 2 = 0")
+def function_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A procedure with a loop and a condition, as a SQL script."""
+    read(spark, sf_dir, "nation").createOrReplaceTempView("nation_base")
+    return spark.sql("""
+        BEGIN
+          DECLARE i INT DEFAULT 0;
+          DECLARE total BIGINT DEFAULT 0;
+          WHILE i < 25 DO
+            IF i % 2 = 0 THEN SET total = total + (SELECT max(n_nationkey) FROM nation_base WHERE n_nationkey = i); END IF;
+            SET i = i + 1;
+          END WHILE;
+          SELECT total AS total, 'even' AS kind;
+        END
+    """)

@@ -81,6 +81,25 @@ def test_ranges(spark):
         one(spark, ranges.union(r(1, 2), r(5, 6)))
 
 
+def test_multiranges(spark):
+    r = lambda lo, hi: ranges.make(F.lit(lo), F.lit(hi))
+    m = ranges.multi(F.array(r(7, 9), r(1, 3), r(2, 5), r(5, 6), r(4, 4)))
+    other = ranges.multi(F.array(r(0, 2), r(8, 12)))
+    assert one(spark, ranges.multi_text(m), ranges.multi_text(ranges.multi_union(m, other)), ranges.multi_text(ranges.multi_intersect(m, other)), ranges.multi_has(m, F.lit(5)), ranges.multi_has(m, F.lit(6))) == ("{[1,6),[7,9)}", "{[0,6),[7,12)}", "{[1,2),[8,9)}", True, False)
+
+
+def test_exact_sums(spark):
+    big = "9999999999999999999999999.99"
+    df = spark.createDataFrame([(big,)] * 7 + [("-0.01",)], "s string").select(F.col("s").cast("decimal(38,10)").alias("x"))
+    assert df.agg(pg.exact_sum_units("x", 2)).first()[0] == str(7 * 999999999999999999999999999 - 1)
+    small = spark.createDataFrame([("-3.5",), ("1.25",)], "s string").select(F.col("s").cast("decimal(38,10)").alias("x"))
+    assert small.agg(pg.exact_sum_units("x", 2)).first()[0] == "-225" and small.limit(0).agg(pg.exact_sum_units("x", 2)).first()[0] == "0"
+    with pytest.raises(Exception, match="finer"):
+        small.agg(pg.exact_sum_units("x", 1)).collect()
+    with pytest.raises(Exception, match="null"):
+        small.unionByName(small.limit(1).select(F.lit(None).cast("decimal(38,10)").alias("x"))).agg(pg.exact_sum_units("x", 2)).collect()
+
+
 def test_networks(spark):
     a, b = F.lit("192.168.1.5/24"), F.lit("192.168.0.0/16")
     assert one(spark, net.network(a), net.broadcast(a), net.netmask(a), net.hostmask(a), net.host(a), net.masklen(a), net.family(F.lit("::1"))) == ("192.168.1.0/24", "192.168.1.255/24", "255.255.255.0", "0.0.0.255", "192.168.1.5", 24, 6)
