@@ -47,7 +47,7 @@ def exact_sum_units(x, scale: int) -> Column:
     """
     units = (col(x).cast("decimal(38,10)") * F.lit(10**scale)).cast("decimal(38,10)")
     whole = units.cast("decimal(38,0)")
-    checked = F.when(units.isNull(), F.raise_error(F.lit("null in an exact sum")).cast("decimal(38,0)")).when(units != whole, F.raise_error(F.lit("value finer than the scale")).cast("decimal(38,0)")).otherwise(whole)
+    checked = F.when(units.isNull(), F.raise_error(F.lit("null in an exact sum")).cast("decimal(38,0)")).when(units % F.lit(1).cast("decimal(1,0)") != 0, F.raise_error(F.lit("value finer than the scale")).cast("decimal(38,0)")).otherwise(whole)
     base = F.lit("1000000000000000000").cast("decimal(19,0)")
     low = F.pmod(checked, base).cast("decimal(38,0)")
     high = ((checked - low) / base).cast("decimal(38,0)")
