@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +35,55 @@ from lodewright.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
+#: Scales at which the program's amounts are rounded.
+SCALES = (1.0, 1.2, 0.9, 0.75, 0.5, 2.0)
 #: Words, and words with their punctuation, whose ids a worker remembers at a time.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class Remembered:
+    """Ids of texts by their 128-bit hashes, in sorted arrays: about 50 bytes a text. Forgets everything when it is full."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.low, self.high = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    @staticmethod
+    def keys(texts: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), dtype="<u8").reshape(-1, 2)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and whether they are known."""
+        if not len(self.low):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.low, keys[:, 0]), len(self.low) - 1)
+        return at, (self.low[at] == keys[:, 0]) & (self.high[at] == keys[:, 1])
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), len(self.flat)), dtype=np.uint32)])
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        order = np.argsort(keys[:, 0], kind="stable")
+        at = np.searchsorted(self.low, keys[order, 0])
+        self.low, self.high = np.insert(self.low, at, keys[order, 0]), np.insert(self.high, at, keys[order, 1])
+        self.starts, self.sizes = np.insert(self.starts, at, starts[order]), np.insert(self.sizes, at, sizes[order])
+
+
 class WordTokens:
     """Ids of a word-level BPE tokenizer file, with words remembered.
 
@@ -58,32 +102,41 @@ class WordTokens:
 
         self.whole = Tokenizer.from_file(path)
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.DIGITS}]|[^\\s{self.LETTERS}{self.DIGITS}]+").findall
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Remembered(), Remembered()
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
-    def learn(self, chunks: list[str]) -> None:
-        """Remember the ids of chunks without blanks. New words are encoded as one text; an id that ends a word parts them."""
-        found = [self.split(c) for c in chunks]
-        new = list(set(chain.from_iterable(found)).difference(self.words))
-        for i in range(0, len(new), 5_000):
-            part = new[i : i + 5_000]
-            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+    def learn_words(self, words: list[str], keys: np.ndarray) -> None:
+        """New words are encoded as one text; an id that ends a word parts them."""
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer joins words or parts them")
-            data, at = ids.tobytes(), 0
-            for word, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.words[word] = data[at:end]
-                at = end
-        words = self.words
-        self.chunks.update(zip(chunks, [words[f[0]] if len(f) == 1 else b"".join([words[w] for w in f]) for f in found], strict=True))
+            self.words.add(keys[i : i + 5_000], ids, np.diff(ends, prepend=0).astype(np.int32))
+
+    def learn(self, chunks: list[str], keys: np.ndarray) -> None:
+        """Remember the ids of chunks without blanks, from those of their words."""
+        found = [self.split(c) for c in chunks]
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        words = list(number)
+        word_keys = self.words.keys(words)
+        _, known = self.words.find(word_keys)
+        new = np.flatnonzero(~known)
+        self.learn_words([words[i] for i in new], word_keys[new])
+        at = self.words.find(word_keys)[0]
+        each = at[np.fromiter(map(number.__getitem__, chain.from_iterable(found)), dtype=np.int64)]
+        sizes = self.words.sizes[each].astype(np.int64)
+        ids = gathered(self.words.flat, self.words.starts[each], sizes)
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        self.chunks.add(keys, ids, np.diff(ends, prepend=0).astype(np.int32))
 
     def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, unsigned 32-bit."""
-        if len(self.chunks) > CACHE_WORDS:
+        if len(self.chunks.low) > CACHE_WORDS:
             self.words.clear()
             self.chunks.clear()
         texts = pc.fill_null(texts, "")
@@ -91,22 +144,23 @@ class WordTokens:
         cut = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
         coded = cut.values.dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        if new := [c for c in chunks if c not in self.chunks]:
-            self.learn(new)
-        each = [self.chunks[c] for c in chunks]
-        flat, lengths = np.frombuffer(b"".join(each), dtype="<u4"), np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        codes = coded.indices.to_numpy()
-        first, taken = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(taken)])
-        ids = flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], taken)]
-        bounds = ends[cut.offsets.to_numpy()].tolist()
+        keys = self.chunks.keys(chunks)
+        at, known = self.chunks.find(keys)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            self.learn([chunks[i] for i in new], keys[new])
+            at = self.chunks.find(keys)[0]
+        each = at[coded.indices.to_numpy()]
+        sizes = self.chunks.sizes[each].astype(np.int64)
+        ids = gathered(self.chunks.flat, self.chunks.starts[each], sizes)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[cut.offsets.to_numpy()].tolist()
         found = [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
             found[i] = self.encode_whole(texts[int(i)].as_py())
         return found
 
     def encode_whole(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -185,19 +239,28 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, round
 
 
 def whole_sequences(amounts: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, tuple]]:
-    """Whole numbers of configurations that hold every piece exactly once: (times, ((length, copies), ...))."""
-    left = counts.astype(np.int64).copy()
-    chosen: list[tuple[int, tuple]] = []
-    held = sum(x * sum(m * int(lengths[k]) for k, m in c) for c, x in amounts.items())
-    scale = float((lengths * counts).sum()) / held if held else 0.0
+    """Whole numbers of configurations that hold every piece exactly once: (times, ((length, copies), ...)).
+
+    Amounts are scaled to the pieces there are and rounded down, fullest configurations
+    first; what is left goes best fit. Of several scales the one with the fewest sequences counts.
+    """
     fill = {c: sum(m * int(lengths[k]) for k, m in c) for c in amounts}
-    for c in sorted(amounts, key=lambda c: (-fill[c], -amounts[c])):
-        times = min(int(amounts[c] * scale), *(int(left[k]) // m for k, m in c))
-        if times > 0:
-            for k, m in c:
-                left[k] -= times * m
-            chosen.append((times, tuple((int(lengths[k]), m) for k, m in c)))
-    return chosen + best_fit({int(n): int(x) for n, x in zip(lengths, left, strict=True) if x}, capacity)
+    held = sum(x * fill[c] for c, x in amounts.items())
+    full = float((lengths * counts).sum()) / held if held else 0.0
+    order = sorted(amounts, key=lambda c: (-fill[c], -amounts[c]))
+    best: list[tuple[int, tuple]] | None = None
+    for part in SCALES:
+        left, chosen = counts.astype(np.int64).copy(), []
+        for c in order:
+            times = min(int(amounts[c] * full * part + 1e-9), *(int(left[k]) // m for k, m in c))
+            if times > 0:
+                for k, m in c:
+                    left[k] -= times * m
+                chosen.append((times, tuple((int(lengths[k]), m) for k, m in c)))
+        chosen += best_fit({int(n): int(x) for n, x in zip(lengths, left, strict=True) if x}, capacity)
+        if best is None or sum(t for t, _ in chosen) < sum(t for t, _ in best):
+            best = chosen
+    return best or []
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, tuple]]:

@@ -59,9 +59,7 @@ def test_program_places_every_piece(histogram):
         for n, k in holds:
             used[n] += times * k
     assert used == Counter(histogram)
-    least = -(-sum(n * x for n, x in histogram.items()) // 50)
-    best = max(least, sum(x for n, x in histogram.items() if n > 25))
-    assert sum(t for t, _ in chosen) <= 1.25 * best + 1
+    assert sum(t for t, _ in chosen) <= 1.02 * sum(t for t, _ in packing.best_fit(histogram, 50)) + 1
 
 
 def test_program_beats_best_fit_where_that_is_poor():
