@@ -90,6 +90,16 @@ def suffixed(found: Column, ordinal: Column) -> Column:
     return F.when(F.coalesce(ordinal, F.lit(0)) > 0, F.concat_ws("-", found, ordinal.cast("string"))).otherwise(found)
 
 
+def _range_of(value: Column, bounds: list[float]) -> Column:
+    """How many bounds (sorted) a value reaches: first among every k-th of them, then within one stretch, so about twice their root is compared."""
+    if not bounds:
+        return F.lit(0)
+    k = max(1, round(len(bounds) ** 0.5))
+    reached = lambda few: F.size(F.filter(few, lambda b: b <= value))
+    stretch = reached(F.array(*map(F.lit, bounds[k - 1 :: k]))) if len(bounds) >= k else F.lit(0)
+    return stretch * k + reached(F.slice(F.array(*map(F.lit, bounds)), stretch * k + 1, F.lit(k)))
+
+
 def following(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     """Each row with ``next_*`` columns of the row after it in descending ``order``; the first follows the last.
 
@@ -99,9 +109,7 @@ def following(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(docs.select(order).stat.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    place = F.lit(0)
-    if bounds:
-        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order).cast("double")))
+    place = _range_of(F.col(order).cast("double"), bounds)
     ranged = docs.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(place))
     heads = {r["_range"]: r["head"] for r in ranged.groupBy("_range").agg(F.max(order).alias("head")).collect()}  # a row for each range
     if not heads:

@@ -49,3 +49,12 @@ def test_odd_rows(odd, none):
     assert by[5]["fingerprint"] == by[6]["fingerprint"] == by[7]["fingerprint"]
     assert by[7]["near_next"] == 1.0
     assert fp.edited_fingerprints(none).count() == 0 and fp.exact_classes(none, "doc_id", "text").count() == 0
+
+
+def test_ranges_by_two_looks(spark):
+    import bisect
+
+    for n in (0, 1, 2, 7, 50):
+        bounds = [float(3 * i) for i in range(n)]
+        found = spark.range(-5, 170).select("id", fp._range_of(F.col("id").cast("double"), bounds).alias("r")).collect()
+        assert all(r["r"] == bisect.bisect_right(bounds, r["id"]) for r in found)
