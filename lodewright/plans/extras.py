@@ -204,3 +204,122 @@ def function_script(spark: SparkSession, sf_dir: str) -> DataFrame:
           SELECT total AS total, 'even' AS kind;
         END
     """)
+
+
+# ---- further rows of the inventory
+@register("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000")
+def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides in tables bucketed by the key: the join needs no exchange."""
+    tag = uuid.uuid4().hex[:8]
+    for name, table, key in (("o", "orders", "o_custkey"), ("c", "customer", "c_custkey")):
+        files.bucketed(read(spark, sf_dir, table), f"bucketed_{name}_{tag}", key, 8)
+    o, c = spark.table(f"bucketed_o_{tag}"), spark.table(f"bucketed_c_{tag}")
+    return o.filter("o_totalprice > 350000").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
+@register("SELECT n_nationkey FROM nation")
+def cursor_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = files.fetch(read(spark, sf_dir, "nation").select("n_nationkey"), 7)
+    return spark.createDataFrame([tuple(r) for p in parts for r in p], "n_nationkey int")
+
+
+@register("SELECT o_orderkey, CAST(round(o_totalprice, 2) * 3 AS DOUBLE) AS total, round(CAST(o_orderkey % 97 AS DOUBLE) * 100 / 8) - round(CAST(o_orderkey % 97 AS DOUBLE) * 100 / 8) AS zero FROM orders")
+def fn_exact_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.round("o_totalprice", 2)
+    share = lambda k: pg.prorate(F.col("o_orderkey") % 97, F.lit(k), F.lit(8), 2)
+    whole = share(8) - (share(8) - share(3)) - share(3)
+    return read(spark, sf_dir, "orders").select("o_orderkey", pg.exact_list_sum(F.array(price, price, price), 2).cast("double").alias("total"), whole.cast("double").alias("zero"))
+
+
+@register("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+def composite_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = read(spark, sf_dir, "nation").select(F.struct("*").alias("t"))
+    return whole.filter("t.n_regionkey = 2").select("t.*")
+
+
+@register("SELECT i::INT AS level FROM range(1, 31) t(i)")
+def hierarchy_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SELECT LEVEL FROM DUAL CONNECT BY LEVEL <= 30."""
+    return spark.range(1, 31).select(F.col("id").cast("int").alias("level"))
+
+
+@register("SELECT s_suppkey, round(sqrt((s_nationkey - 12.0) ** 2 + (s_suppkey % 10 - 4.0) ** 2), 6) AS d FROM supplier ORDER BY d, s_suppkey LIMIT 5")
+def sort_nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodewright.functions import planar
+
+    d = planar.distance(planar.point("s_nationkey", F.col("s_suppkey") % 10), planar.point(F.lit(12), F.lit(4)))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(d, 6).alias("d")).orderBy("d", "s_suppkey").limit(5)
+
+
+SQUARES = "SELECT n_nationkey AS k, n_nationkey AS x0, n_nationkey + 4 AS x1 FROM nation"
+
+
+@register(f"SELECT a.k AS a, b.k AS b, a.x1 >= b.x0 AND b.x1 >= a.x0 AS intersects, a.x1 = b.x0 OR b.x1 = a.x0 AS touches, a.k = b.k AS equals, a.k <> b.k AND a.x1 > b.x0 AND b.x1 > a.x0 AS overlaps FROM ({SQUARES}) a, ({SQUARES}) b WHERE a.k < 9 AND b.k < 9")
+def spatial_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    ring = F.concat(F.lit("POLYGON(("), k, F.lit(" 0,"), k + 4, F.lit(" 0,"), k + 4, F.lit(" 3,"), k, F.lit(" 3,"), k, F.lit(" 0))"))
+    n = read(spark, sf_dir, "nation").filter("n_nationkey < 9")
+    pairs = n.select(k.alias("a"), ring.alias("ga")).crossJoin(n.select(k.alias("b"), ring.alias("gb")))
+    return pairs.select("a", "b", *(spatial.predicate(p, "ga", "gb").alias(p) for p in ("intersects", "touches", "equals", "overlaps")))
+
+
+@register()
+def spatial_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spatial.st_point(F.col("n_nationkey") * 1.0, F.col("n_regionkey") * 1.0)
+    rows = read(spark, sf_dir, "nation").withColumn("circle", spatial.st_buffer(p, 1000.0))
+    return rows.select("n_nationkey", F.round(spatial.st_area("circle"), 0).alias("area"), spatial.st_convexhull("circle").alias("hull"), spatial.st_simplify("circle", 0.005).alias("simple"), spatial.st_asewkb("circle").alias("ewkb"))
+
+
+@register("SELECT user_id, arg_max(value, event_id) AS geom FROM events WHERE event_id <= 400 GROUP BY user_id")
+def spatial_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last geometry (here a number) of each record at a time."""
+    return read(spark, sf_dir, "events").filter("event_id <= 400").groupBy("user_id").agg(F.max_by("value", "event_id").alias("geom"))
+
+
+@register("SELECT event_id, epoch_us(ts) AS scn, ts AS again FROM events")
+def temporal_scn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scn = temporal.to_scn(F.col("ts"))
+    return read(spark, sf_dir, "events").select("event_id", scn.alias("scn"), temporal.from_scn(scn).alias("again"))
+
+
+@register("SELECT 'missing edge' AS what, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) WHERE o_orderkey > 2000 HAVING count(*) > 0")
+def graph_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodewright.operators import graph
+
+    o = read(spark, sf_dir, "orders")
+    make = lambda rows: graph.build([(o, "o_custkey", "Customer"), (o, "o_orderkey", "Order")], [(rows, "o_custkey", "Customer", "o_orderkey", "Order", "placed")])
+    return make(o).verify(make(o.filter("o_orderkey <= 2000"))).groupBy("what").agg(F.count("*").alias("n"))
+
+
+@register("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def live_hot_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodewright.streaming import live
+
+    view = live.HotView(lambda: read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), lambda: (sf_dir,))
+    view.read()
+    return view.read()
+
+
+@register("SELECT user_id, min(v) AS least, max(v) AS most, round(avg(v), 9) AS mean, count(*) AS n FROM (SELECT user_id, value AS v FROM events) GROUP BY user_id")
+def series_array_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of a vector of values in each row."""
+    listed = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    return listed.select("user_id", F.array_min("v").alias("least"), F.array_max("v").alias("most"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v"), 9).alias("mean"), F.size("v").cast("long").alias("n"))
+
+
+@register()
+def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodewright.operators import fulltext
+
+    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
+    posted = fulltext.postings(docs, "doc_id", "text", "english")
+    return fulltext.match(docs, posted, "doc_id", fulltext.plain("rights reserved", "english"))
+
+
+@register("SELECT n_nationkey, n_nationkey * 2 AS twice FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) ORDER BY n_nationkey LIMIT 10")
+def front_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several rewrites in one text."""
+    from lodewright.plans.front import sql
+
+    text = "SELECT DISTINCT ON (n_nationkey) n_nationkey, n_nationkey * 2 AS twice FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE 1 = ANY(array(1, 2)) ORDER BY n_nationkey, s_suppkey FETCH FIRST 10 ROWS ONLY"
+    return sql(spark, text, {"nation": read(spark, sf_dir, "nation"), "supplier": read(spark, sf_dir, "supplier")})
