@@ -45,7 +45,7 @@ PARAMETERS = zstandard.ZstdCompressionParameters(
 def letters(text: str) -> str:
     """Lower-case words with single blanks between and around them; empty without a letter."""
     words = OTHERS.sub(" ", text.lower()).strip()
-    return f" {words} " if words else ""
+    return f" {words} " if any(map(str.isalpha, words)) else ""
 
 
 def train(docs: DataFrame, usable: Column, sample_docs: int = 400, slice_chars: int = 1_200, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:

@@ -89,4 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Placement by a given lookup table can be said in SQL (two hexadecimal digits a slot); how the table is filled is tested by brute force."""
+    table = "".join(f"{shard:02x}" for shard in sharding.lookup_table(SHARDS))
+    slot = f"(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT % {sharding.SLOTS})"
+    return {"op6_sharding": f"SELECT doc_id, {slot}::INT AS slot, ('0x' || substr('{table}', {slot} * 2 + 1, 2))::INT AS shard FROM documents"}

@@ -51,6 +51,10 @@ def test_language_odd_rows(odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(none, F.lit(True))).collect()} == {"und"}
 
 
+def test_letters():
+    assert [bool(langid.letters(t)) for t in ("a", "Ω", "本", "12 ² ½ ___ !?", "", " \n")] == [True, True, True, False, False, False]
+
+
 def test_scores_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (5, 1, None), (6, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
     stats = quality.features(odd)

@@ -45,6 +45,17 @@ def test_places(docs, odd, none):
             assert (r["slot"], r["shard"]) == (slot, table[slot])
 
 
+def test_placement_in_sql(spark, sf):
+    import duckdb
+
+    from lodewright.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(queries.oracle_sql()["op6_sharding"]).fetchall())
+    assert sorted(map(tuple, queries.queries()["op6_sharding"](spark, sf).collect())) == want
+
+
 def test_raking_meets_its_marginals(spark):
     rng = np.random.default_rng(3)
     rows = [(s, g, t, int(rng.integers(1, 5000))) for s in "abc" for g in ("en", "fr") for t in ("x", "y", "z")]
