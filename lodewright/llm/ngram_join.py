@@ -41,7 +41,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 160
 #: Members and bytes of shingles in a block.
-BLOCK_MEMBERS = 1024
+BLOCK_MEMBERS = 512
 BLOCK_BYTES = 16 << 20
 COLUMNS = 4096
 
