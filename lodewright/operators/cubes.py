@@ -124,3 +124,10 @@ def bottom_k_percentile(rows: DataFrame, dimensions: list[str], value: str, iden
     near = rows.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(*dimensions).orderBy(F.xxhash64(ident), ident))).filter(F.col("_r") <= k)
     listed = F.array_sort(F.collect_list(value))
     return near.groupBy(*dimensions).agg(listed.alias("_v")).select(*dimensions, F.element_at("_v", F.greatest(F.lit(1), F.ceil(F.size("_v") * q).cast("int"))).alias(f"p{int(q * 100)}_{value}"))
+
+
+def h3_parent(resolution: int):
+    """A level that takes H3 cells to their parents."""
+    from lodewright.operators import spatial
+
+    return lambda c: spatial.h3_parent(c, resolution)

@@ -749,3 +749,18 @@ def geocode(places: DataFrame, name: str, text: str, k: int = 5) -> DataFrame:
 def reverse_geocode(places: DataFrame, lon: float, lat: float, k: int = 1) -> DataFrame:
     """The ``k`` nearest places (lon, lat) with their distance in metres."""
     return places.withColumn("metres", metres(F.lit(lon), F.lit(lat), "lon", "lat")).orderBy("metres", *[c for c in places.columns if c not in ("lon", "lat")]).limit(k)
+
+
+# ---- H3 cell names (15 hexadecimal digits): what can be told from the name alone
+def h3_resolution(cell) -> Column:
+    return F.conv(F.substring(col(cell), 2, 1), 16, 10).cast("int")
+
+
+def h3_parent(cell, resolution: int) -> Column:
+    """The cell of a coarser resolution that holds this one: finer digits are filled with sevens; a finer resolution is an error."""
+    number = F.conv(col(cell), 16, 10).cast("bigint")
+    fill = (1 << (3 * (15 - resolution))) - 1
+    cleared = number.bitwiseAND(F.lit(~(0xF << 52)))
+    parent = cleared.bitwiseOR(F.lit(resolution << 52)).bitwiseOR(F.lit(fill))
+    finer = F.raise_error(F.lit("parent resolution is finer than the cell's")).cast("string")
+    return F.when(h3_resolution(cell) < resolution, finer).otherwise(F.lower(F.hex(parent)))

@@ -323,3 +323,9 @@ def front_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = "SELECT DISTINCT ON (n_nationkey) n_nationkey, n_nationkey * 2 AS twice FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE 1 = ANY(array(1, 2)) ORDER BY n_nationkey, s_suppkey FETCH FIRST 10 ROWS ONLY"
     return sql(spark, text, {"nation": read(spark, sf_dir, "nation"), "supplier": read(spark, sf_dir, "supplier")})
+
+
+@register("SELECT n_nationkey, 9 AS res, '8828308281fffff' AS parent, '8428309ffffffff' AS coarse FROM nation")
+def spatial_h3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.lit("8928308280fffff")
+    return read(spark, sf_dir, "nation").select("n_nationkey", spatial.h3_resolution(cell).alias("res"), spatial.h3_parent(cell, 8).alias("parent"), spatial.h3_parent(cell, 4).alias("coarse"))
