@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, texts
+from lodewright.llm.text import bounded_batches, texts, tidied
 
 UNDETERMINED = "und"
 DICT_BYTES = 110_000
@@ -109,4 +109,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     bounded_batches(spark)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, rejected boolean"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

@@ -21,15 +21,16 @@ keeps its documents; repeated rows share their fate; an empty table stays empty.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodewright.llm.fingerprint import small_or_shuffled
 from lodewright.llm.shingles import word_hashes
-from lodewright.llm.text import bounded_batches
+from lodewright.llm.text import bounded_batches, tidied
 from lodewright.storage import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -38,6 +39,9 @@ TOPIC_BITS = 3
 NONE = "(none)"
 ROUNDS, TOLERANCE = 100, 1e-6
 
+if TYPE_CHECKING:  # workers import this module and need no pandas
+    import pandas as pd
+
 
 def profile(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic (null where there is none), tokens and projections of each document."""
@@ -58,7 +62,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, source string, lang string, topic string, tokens long, signs array<double>")
+    found = rows.mapInArrow(tidied(run), f"doc_id {kind}, source string, lang string, topic string, tokens long, signs array<double>")
     found = materialize(found, "mix-profile")
     if "topic" in docs.columns:
         return found.withColumn("topic", F.coalesce("topic", F.lit(NONE))).drop("signs")
@@ -81,6 +85,8 @@ def default_targets(cells: DataFrame, temper: float) -> dict[str, DataFrame]:
 
 def rake_array(cells: pd.DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Raked share of each cell. A category without a target has none; targets without cells are left out."""
+    import pandas as pd
+
     w = cells["tokens"].to_numpy(dtype=np.float64) / max(1.0, float(cells["tokens"].sum()))
     sides = []
     for d in DIMENSIONS:

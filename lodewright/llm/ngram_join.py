@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodewright.llm.components import components
 from lodewright.llm.fingerprint import small_or_shuffled
 from lodewright.llm.shingles import WORDS, shingle_sets
-from lodewright.llm.text import bounded_batches
+from lodewright.llm.text import bounded_batches, tidied
 from lodewright.storage import materialize
 
 THRESHOLD = 0.8
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Da
             )
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -113,7 +113,7 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "k1", "k2", "shingles"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, k1 long, k2 long, shingles binary")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -196,7 +196,7 @@ def links(members: DataFrame, threshold: float) -> DataFrame:
             yield out(found)
         yield out(done())
 
-    return members.select("unit", "hub", "side", "rep", "hubs", "docs", "shingles").mapInArrow(run, "rep long, root long, texts long, docs long")
+    return members.select("unit", "hub", "side", "rep", "hubs", "docs", "shingles").mapInArrow(tidied(run), "rep long, root long, texts long, docs long")
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:

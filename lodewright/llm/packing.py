@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches
+from lodewright.llm.text import bounded_batches, tidied
 from lodewright.storage import materialize
 
 CAPACITY = 4096
@@ -38,7 +38,7 @@ END_ID = 1
 #: Scales at which the program's amounts are rounded.
 SCALES = (1.0, 1.2, 0.9, 0.75, 0.5, 2.0)
 #: Words, and words with their punctuation, whose ids a worker remembers at a time.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -188,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidied(cut), PIECES)
 
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, bounded_sample, texts
+from lodewright.llm.text import bounded_batches, bounded_sample, texts, tidied
 
 MAX_LABELLED = 40_000
 BINS = 64
@@ -73,7 +73,7 @@ def features(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.drop("stats")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "stats array<float>"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 @dataclass
@@ -161,4 +161,4 @@ def score(stats: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(shared.value.probability(x))], names=[*kept, "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema if f.name != "stats"), "score double"])
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(tidied(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, bounded_sample, texts
+from lodewright.llm.text import bounded_batches, bounded_sample, texts, tidied
 from lodewright.storage import materialize
 
 HASH_BITS = 20
@@ -88,7 +88,7 @@ def ratios(sample: DataFrame, label: str, top: int, min_docs: int) -> DataFrame:
 
     bounded_batches(sample.sparkSession)
     n = {int(r[label]): r["n"] for r in sample.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    counts = sample.select("text", label).mapInArrow(count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.select("text", label).mapInArrow(tidied(count), "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 1) / (n[1] + 2)) - F.log((F.col("clean") + 1) / (n[0] + 2))
     strength = F.col("ratio") * F.sqrt("toxic")
     return counts.filter(F.col("clean") + F.col("toxic") >= min_docs).withColumn("ratio", ratio).filter("ratio > 0").orderBy(strength.desc(), "slot").limit(top).select("slot", "ratio")
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labe
             rows = [place[present(t, wanted)].tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_label")).cast(pa.int32()), pa.array(rows, pa.binary())], names=["y", "x"])
 
-    found = sample.mapInArrow(featured, "y int, x binary").collect()
+    found = sample.mapInArrow(tidied(featured), "y int, x binary").collect()
     x = [np.frombuffer(r["x"], dtype=np.int32) for r in found]
     y = np.array([r["y"] for r in found], dtype=np.float64)
     theta, bias = logistic(x, y, chosen["ratio"].to_numpy(), rounds, decay)
@@ -155,4 +155,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     bounded_batches(spark)
     docs = docs.drop("score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "score double"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
