@@ -49,8 +49,10 @@ def statistics(text: str) -> list[float]:
     sizes = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
     counts = Counter(words)
     w, k = max(1, len(words)), max(1, len(lines))
-    pairs = Counter(zip(words, words[1:], strict=False)) if len(words) < 400 else Counter(zip(words[::2], words[1::2], strict=False))
-    repeats = sum(v for v in pairs.values() if v > 1) / max(1, sum(pairs.values()))
+    numbers = dict(zip(counts, range(len(counts)), strict=True))
+    coded = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+    pairs = np.unique(coded[:-1] * len(counts) + coded[1:], return_counts=True)[1]
+    repeats = float(pairs[pairs > 1].sum()) / max(1, len(words) - 1)
     line_sizes = np.fromiter(map(len, lines), dtype=np.float64, count=len(lines))
     return [
         np.log1p(n), np.log1p(len(words)), np.log1p(len(lines)), *share,

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +52,14 @@ def test_language_odd_rows(odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(none, F.lit(True))).collect()} == {"und"}
 
 
+def test_repeats_count_every_adjacent_pair():
+    at = quality.NAMES.index("repeats")
+    for size in (0, 1, 2, 199, 200, 201, 400, 1001):  # twice a passage of odd and of even length
+        words = [f"w{i * i % 977}" for i in range(size)] * 2
+        pairs = Counter(zip(words, words[1:], strict=False))
+        assert quality.statistics(" ".join(words))[at] == pytest.approx(sum(v for v in pairs.values() if v > 1) / max(1, len(words) - 1))
+
+
 def test_letters():
     assert [bool(langid.letters(t)) for t in ("a", "Ω", "本", "12 ² ½ ___ !?", "", " \n")] == [True, True, True, False, False, False]
 
