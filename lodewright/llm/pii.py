@@ -12,9 +12,11 @@ format: digits stand for digits, letters for letters of the same case, punctuati
 * Names keep their title; given names match its gender, all parts match their script
   (Latin, Cyrillic or Greek); each part is mapped on its own, so "Mr. Smith" follows "Mr. John Smith".
 
-Collision checks: the distinct entities of the corpus with their surrogates are held
-against each other and against the real entities; one that meets another, a real entity
-or itself is derived anew. Only these exceptions are looked up when texts are rewritten.
+Collision checks: the distinct entities of the corpus (of names, the distinct parts) with
+their surrogates are held against each other and against the real ones; one that meets
+another, a real one or itself is derived anew until no clash is left, from a space that
+grows with each round for names, and after some rounds for e-mail addresses, telephone
+numbers and secrets. Only these exceptions are looked up when texts are rewritten.
 
 Defined cases: null texts stay null, texts without an entity stay as they are; repeated
 rows are rewritten alike; an empty table stays empty; other columns pass through.
@@ -67,6 +69,8 @@ SYLLABLES = {
     "cyrillic": ("ба", "вер", "гор", "дан", "жар", "зен", "кир", "лом", "мар", "нов", "пет", "рас", "сел", "тор", "фед", "чер"),
     "greek": ("βα", "γερ", "δαν", "ζαν", "θεο", "καρ", "λαμ", "μαν", "νικ", "παπ", "ραλ", "σαρ", "τσι", "φωτ", "χρι", "ψαρ"),
 }
+#: The role of a name's last part; other parts have their title's gender. Rounds before a format may grow, and rounds after which clashes are an error.
+SURNAME, GROW, ROUNDS = "s", 3, 40
 ENDINGS = {"latin": ("er", "son", "ini", "ez"), "cyrillic": ("ов", "ин", "енко", "ский"), "greek": ("ίδης", "όπουλος", "άκης", "άς")}
 
 
@@ -141,12 +145,21 @@ def _spelled(key: str, text: Column, seed: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), other), "")
 
 
-def _email(key: str, entity: Column, attempt: Column) -> Column:
+def _more(key: str, seed: Column, attempt: int, letters: bool = True) -> Column:
+    """What is added to a surrogate whose format has had no room after ``GROW`` rounds: one character more each round."""
+    if attempt <= GROW:
+        return F.lit("")
+    hexed = _keyed(key, F.lit("more"), F.lit(attempt), seed)
+    return F.substring(F.translate(hexed, "0123456789abcdef", "abcdefghijklmnop") if letters else F.translate(hexed, "abcdef", "012345"), 1, attempt - GROW)
+
+
+def _email(key: str, entity: Column, attempt: int) -> Column:
     at = F.instr(entity, "@")
     local, domain = F.substring(entity, F.lit(1), at - 1), F.substring(entity, at + 1, F.length(entity))
     top = F.regexp_extract(domain, r"\.[A-Za-z]+$", 0)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(_spelled(key, local, F.lower(entity), attempt), F.lit("@"), _spelled(key, name, F.lower(domain), F.lit(0)), top)
+    spelled = _spelled(key, local, F.lower(entity), F.lit(attempt))
+    return F.concat(spelled, _more(key, F.lower(entity), attempt), F.lit("@"), _spelled(key, name, F.lower(domain), F.lit(0)), top)
 
 
 def _ip(key: str, entity: Column, attempt: Column) -> Column:
@@ -159,25 +172,39 @@ def _pick(values: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
-def _name(key: str, entity: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^{TITLE}", 0)
-    bare = F.regexp_replace(title, r"[. ]", "")
+def _part(key: str, part: Column, role: Column, attempt: int = 0) -> Column:
+    """The surrogate of one part of a name as a ``SURNAME`` or a given name of a gender; with each attempt one syllable more."""
+    script = F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").when(part.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    hexed = _keyed(key, part, F.lit(attempt))
+    more = [_number(_keyed(key, part, F.lit(attempt), F.lit(k)), 1, 4) for k in range(attempt)]
+    found = None
+    for s, syllables in SYLLABLES.items():
+        built = [_pick(syllables, n) for n in (*(_number(hexed, 1 + 4 * k, 4) for k in range(3)), *more)]
+        surname = F.initcap(F.concat(*built, _pick(ENDINGS[s], _number(hexed, 20, 4))))
+        hit = (script == s) & (role == SURNAME)
+        found = F.when(hit, surname) if found is None else found.when(hit, surname)
+    for (s, g), names in GIVEN.items():
+        given = _pick(names, _number(hexed))
+        if attempt:
+            given = F.concat(given, F.lit("-"), F.initcap(F.concat(*(_pick(SYLLABLES[s], n) for n in (_number(hexed, 17, 4), *more)))))
+        found = found.when((script == s) & (role == g), given)
+    return found
+
+
+def _title(name: Column) -> Column:
+    return F.regexp_extract(name, rf"^{TITLE}", 0)
+
+
+def _parts(name: Column) -> Column:
+    """role, value of each part of a name."""
+    bare = F.regexp_replace(_title(name), r"[. ]", "")
     gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("o")
-    parts = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    parts = F.split(F.substring(name, F.length(_title(name)) + 1, F.length(name)), " ")
+    return F.transform(parts, lambda p, i: F.struct(F.when(i == F.size(parts) - 1, SURNAME).otherwise(gender).alias("role"), p.alias("value")))
 
-    def part(p: Column, i: Column) -> Column:
-        script = F.when(p.rlike(r"\p{IsCyrillic}"), "cyrillic").when(p.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-        hexed = _keyed(key, p, attempt)
-        surname, given = None, None
-        for s, syllables in SYLLABLES.items():
-            built = F.initcap(F.concat(*(_pick(syllables, _number(hexed, 1 + 4 * k, 4)) for k in range(3)), _pick(ENDINGS[s], _number(hexed, 20, 4))))
-            surname = F.when(script == s, built) if surname is None else surname.when(script == s, built)
-        for (s, g), names in GIVEN.items():
-            hit = (script == s) & (gender == g)
-            given = F.when(hit, _pick(names, _number(hexed))) if given is None else given.when(hit, _pick(names, _number(hexed)))
-        return F.when(i == F.size(parts) - 1, surname).otherwise(given)
 
-    return F.concat(title, F.array_join(F.transform(parts, part), " "))
+def _name(key: str, entity: Column) -> Column:
+    return F.concat(_title(entity), F.array_join(F.transform(_parts(entity), lambda p: _part(key, p["value"], p["role"])), " "))
 
 
 def kind_of(entity: Column) -> Column:
@@ -188,16 +215,18 @@ def kind_of(entity: Column) -> Column:
     )
 
 
-def surrogate(key: str, entity: Column, attempt: Column | None = None) -> Column:
-    attempt = F.lit(0) if attempt is None else attempt
+def surrogate(key: str, entity: Column, attempt: int = 0) -> Column:
+    """The surrogate of an entity; a name has attempts by part, so only its first one here."""
+    n = F.lit(attempt)
     kind = kind_of(entity)
     country = F.length(F.regexp_extract(entity, r"^\+(\d{1,3}?)(?=[ .(-])", 1))
-    spelled = _spelled(key, entity, F.lower(entity), attempt)
-    iban = F.concat(F.substring(entity, 1, 2), _spelled(key, F.substring(entity, F.lit(3), F.length(entity)), F.regexp_replace(entity, " ", ""), attempt))
+    spelled = F.concat(_spelled(key, entity, F.lower(entity), n), _more(key, F.lower(entity), attempt))
+    iban = F.concat(F.substring(entity, 1, 2), _spelled(key, F.substring(entity, F.lit(3), F.length(entity)), F.regexp_replace(entity, " ", ""), n))
+    phone = F.concat(_numeric(key, entity, n, country), _more(key, F.regexp_replace(entity, "[^0-9]", ""), attempt, False))
     return (
-        F.when(kind == "email", _email(key, entity, attempt)).when(kind == "ip", _ip(key, entity, attempt)).when(kind == "ssn", _numeric(key, entity, attempt))
-        .when(kind == "account", _numeric(key, entity, attempt, F.lit(1)))
-        .when(kind == "phone", _numeric(key, entity, attempt, country)).when(kind == "iban", iban).when(kind == "name", _name(key, entity, attempt)).otherwise(spelled)
+        F.when(kind == "email", _email(key, entity, attempt)).when(kind == "ip", _ip(key, entity, n)).when(kind == "ssn", _numeric(key, entity, n))
+        .when(kind == "account", _numeric(key, entity, n, F.lit(1)))
+        .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", _name(key, entity)).otherwise(spelled)
     )
 
 
@@ -207,23 +236,43 @@ def found_in(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def exceptions(docs: DataFrame, key: str, text: str, rounds: int = 8) -> DataFrame:
-    """entity, other: entities whose plain surrogate is taken, with the one they get instead."""
-    seen = docs.select(F.explode(found_in(F.col(text))).alias("entity")).groupBy("entity").agg(F.lit(0).alias("attempt"))
-    state = materialize(seen.withColumn("other", surrogate(key, F.col("entity"))), "pii-entities")
-    for attempt in range(1, rounds + 1):
-        low = lambda c: F.lower(F.regexp_replace(c, " ", ""))
-        named = state.withColumns({"_own": low(F.col("entity")), "_other": low(F.col("other"))})
-        real = named.groupBy(F.col("_own").alias("_other")).agg(F.lit(True).alias("_real"))
-        taken = named.groupBy("_other").agg(F.min("_own").alias("_first"), F.max("_own").alias("_last"))
-        clash = taken.join(real, "_other", "left").filter("_real OR _first < _last")
-        bad = materialize(named.join(clash, "_other").filter(F.col("_real") | (F.col("_own") > F.col("_first"))).select("entity"), "pii-clashes")
+def _units(entities: DataFrame) -> DataFrame:
+    """entity, at, role, value: what gets a surrogate of its own, each part of a name or a whole entity of another type (role '')."""
+    whole = F.array(F.struct(F.lit("").alias("role"), F.col("entity").alias("value")))
+    units = F.when(kind_of(F.col("entity")) == "name", _parts(F.col("entity"))).otherwise(whole)
+    return entities.select("entity", F.posexplode(units).alias("at", "unit")).select("entity", "at", "unit.role", "unit.value")
+
+
+def exceptions(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """entity, other: entities whose plain surrogate is taken, with the one they get instead. Ends when no clash is left."""
+    entities = materialize(docs.select(F.explode(found_in(F.col(text))).alias("entity")).distinct(), "pii-entities")
+    role, value = F.col("role"), F.col("value")
+    derived = lambda n: F.when(role == "", surrogate(key, value, n)).otherwise(_part(key, value, role, n))
+    low = lambda c: F.when(role == "", F.lower(F.regexp_replace(c, " ", ""))).otherwise(c)
+    units = _units(entities).select("role", "value").distinct()
+    state = materialize(units.select("role", "value", F.lit(0).alias("attempt"), derived(0).alias("other")), "pii-units")
+    for attempt in range(1, ROUNDS + 1):
+        named = state.withColumns({"_own": low(value), "_other": low(F.col("other"))})
+        real = named.groupBy("role", F.col("_own").alias("_other")).agg(F.lit(True).alias("_real"))
+        taken = named.groupBy("role", "_other").agg(F.min("_own").alias("_first"), F.max("_own").alias("_last"))
+        clash = taken.join(real, ["role", "_other"], "left").filter("_real OR _first < _last")
+        bad = materialize(named.join(clash, ["role", "_other"]).filter(F.col("_real") | (F.col("_own") > F.col("_first"))).select("role", "value"), "pii-clashes")
         if bad.isEmpty():
             break
-        again = state.join(small_or_shuffled(bad.withColumn("_bad", F.lit(True))), "entity", "left")
-        retried = F.when(F.col("_bad"), surrogate(key, F.col("entity"), F.lit(attempt))).otherwise(F.col("other"))
-        state = materialize(again.select("entity", F.when(F.col("_bad"), F.lit(attempt)).otherwise(F.col("attempt")).alias("attempt"), retried.alias("other")), "pii-entities")
-    return state.filter("attempt > 0").select("entity", "other")
+        again = state.join(small_or_shuffled(bad.withColumn("_bad", F.lit(True))), ["role", "value"], "left")
+        retried = F.when(F.col("_bad"), derived(attempt)).otherwise(F.col("other"))
+        state = materialize(again.select("role", "value", F.when(F.col("_bad"), F.lit(attempt)).otherwise(F.col("attempt")).alias("attempt"), retried.alias("other")), "pii-units")
+    else:
+        raise RuntimeError(f"surrogates still clash after {ROUNDS} rounds")
+    moved = materialize(state.filter("attempt > 0").select("role", "value", "other"), "pii-moved")
+    if moved.isEmpty():
+        return entities.select("entity", F.col("entity").alias("other")).limit(0)
+    hit = _units(entities).join(small_or_shuffled(moved), ["role", "value"], "left")
+    # only what has no exception of its own is derived again; whole entities are met by an exception or left out
+    each = F.struct("at", F.coalesce("other", F.when(role != "", _part(key, value, role))).alias("new"))
+    whole = hit.groupBy("entity").agg(F.max(F.col("other").isNotNull()).alias("_moved"), F.max("role").alias("role"), F.array_sort(F.collect_list(each)).alias("_new")).filter("_moved")
+    new = F.array_join(F.transform("_new", lambda x: x["new"]), " ")
+    return materialize(whole.select("entity", F.when(role != "", F.concat(_title(F.col("entity")), new)).otherwise(new).alias("other")), "pii-others")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", ident: str = "doc_id", counted: str | None = None) -> DataFrame:

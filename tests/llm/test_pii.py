@@ -50,6 +50,18 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len({t.split(": ")[1] for t in new}) == 20
 
 
+def test_no_clash_is_left(spark):
+    """Beyond the 16,384 plain surnames and 16 given names, and every one-letter address of a domain."""
+    syllables = [a + b for a in "bcdfghjklmnprstvwz" for b in "aeiou"]
+    parts = [(a + b + c).capitalize() for a in syllables[:30] for b in syllables[:30] for c in syllables[:20]]
+    texts = [f"Mr. {p}." for p in parts] + [f"Mr. {p} {parts[-1]}." for p in parts[:300]] + [f"{c}@busy.example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    new = rewritten(spark, texts)
+    assert len(set(texts)) == len(texts) == len(set(new)) and not set(new) & set(texts)
+    surnames = dict(zip(parts, (t[4:-1] for t in new), strict=False))
+    assert {t[4:-1].split()[-1] for t in new[len(parts) : len(parts) + 300]} == {surnames[parts[-1]]}  # coreference
+    assert len({t.split("@")[1] for t in new[-26:]}) == 1
+
+
 def test_odd_rows(odd, none):
     found = {r["doc_id"]: r for r in pii.pseudonymise(odd, "k", counted="entities").collect()}
     assert found[1]["text"] is None and found[2]["text"] == "" and found[3]["entities"] == 2 and "jo.doe" not in found[3]["text"]
