@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Paths written by each open ``scratch``, the innermost last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +41,40 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end; what is read after it must be written elsewhere or outside."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of the files that a written table (or a plain scan) reads; a plan that reads no file counts as unbounded."""
+    spark = df.sparkSession
+    files, total = df.inputFiles(), 0
+    if not files:
+        return 0 if df.isEmpty() else 1 << 62
+    conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for f in files:
+        place = make(f)
+        total += place.getFileSystem(conf).getFileStatus(place).getLen()
+    return total
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete all tables that this application materialised; results that still read them must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
