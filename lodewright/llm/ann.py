@@ -211,6 +211,6 @@ def search_index(index: DataFrame, queries: DataFrame, ident: str, vector: str,
     ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("score").desc(), F.element_at("ids", 1)))).filter(F.col("_r") <= k + 1)
     named = F.flatten(F.transform(F.collect_list(F.struct("score", "ids")), lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("far"), i.alias("vec_id")))))
     best = ranked.groupBy("k1", "k2").agg(F.slice(F.array_sort(named), 1, k + 1).alias("found"))  # k + 1 nodes of k + 1 ids at most
-    joined = asked.select("query_id", "k1", "k2").join(small_or_shuffled(materialize(best, "ann-found"), 100_000), ["k1", "k2"])
+    joined = asked.select("query_id", "k1", "k2").join(small_or_shuffled(materialize(best, "ann-found")), ["k1", "k2"])
     others = F.slice(F.filter("found", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
     return joined.select("query_id", F.posexplode(others).alias("p", "c")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.far")).alias("score"))

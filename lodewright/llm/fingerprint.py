@@ -22,10 +22,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.storage import materialize
+from lodewright.storage import bytes_of, materialize
 
-#: Rows of a table of keys or digests (two longs each) that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes in memory, as estimated from rows and files, that a table which is broadcast may take.
+BROADCAST_BYTES = 64 << 20
 
 Lanes = Callable[[Column], tuple[Column, Column]]
 
@@ -50,9 +50,11 @@ def digest(low: Column, high: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (low, high))))
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint to broadcast a table of few narrow rows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A hint to broadcast a written table (or a selection of its rows) that is small in bytes; a larger one is left to a shuffle join."""
+    rows = df.count()
+    small = rows * 24 * max(1, len(df.columns)) <= limit and bytes_of(df) * 4 <= limit
+    return F.broadcast(df) if small else df
 
 
 def ordinals(hashed: DataFrame, members: Callable[[DataFrame], DataFrame], lanes: Lanes = xx_lanes) -> DataFrame:

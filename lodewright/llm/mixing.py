@@ -173,7 +173,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     """doc_id, source, lang, topic, tokens, rate, weight (1 / rate) and kept of every document."""
     profiled = materialize(profile(docs), "mix-profile")
     cells = profiled.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    rated = profiled.join(small_or_shuffled(materialize(rates(cells, targets, keep, temper), "mix-rates"), DRIVER_CELLS), list(DIMENSIONS))
+    rated = profiled.join(small_or_shuffled(materialize(rates(cells, targets, keep, temper), "mix-rates")), list(DIMENSIONS))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 53)) / float(1 << 53)
     weight = F.when(F.col("rate") > 0, 1 / F.col("rate"))
     return rated.select("doc_id", *DIMENSIONS, "tokens", "rate", weight.alias("weight"), (draw < F.col("rate")).alias("kept"))

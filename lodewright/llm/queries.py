@@ -16,9 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The shards that documents are dealt to, and the key of surrogates.
+#: The shards that documents are dealt to.
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
-PII_KEY = "lodewright"
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its entities replaced by surrogates."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, counted="entities")
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), counted="entities")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
