@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from lodewright.llm import langid, mixing, ngram_join, packing, pii
 from lodewright.llm.fingerprint import small_or_shuffled
-from lodewright.llm.queries import PII_KEY
 from lodewright.llm.text import held_out
 from lodewright.storage import materialize
 
@@ -37,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of entities; n_chars follows the text."""
-    found = pii.pseudonymise(docs, PII_KEY)
+    found = pii.pseudonymise(docs, pii.session_key(spark))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
