@@ -1,39 +1,45 @@
 """Language identification by compression.
 
-For each learned language a zstandard raw-content dictionary is filled with text of
-that language. Texts are lower-cased and runs of other than letters become blanks; then
-each is encoded with every dictionary, in blocks so that each block leans on the
-dictionary and not on the text before it, and the language with the smallest total
-wins. Sizes are whole bytes, too coarse for a short text, so a text below
-``SHORT_BYTES`` is encoded once from each of its words to its end. The margin to the
-runner-up decides whether the choice is trusted.
-
-Only ``train`` looks at labels: a bounded sample of ``sample_docs`` training documents a
-language, a slice of ``slice_chars`` characters of each (languages are few and named by
-their labels; the sample doesn't grow with the corpus). Prediction reads whole texts.
+For each learned language a zstandard raw-content dictionary is filled with word pairs of
+that language, those of most training texts last. Texts are lower-cased and runs of other
+than letters become blanks; then each is encoded with every dictionary, in blocks so that
+each block leans on the dictionary and not on the text before it, and the language with
+the smallest total wins. Sizes are whole bytes, so every block is encoded from several of
+its words to its end, as many as ``EFFORT`` bytes allow (one at least): the same rule for
+every length. The margin to the runner-up decides whether the choice is trusted.
+
+Only ``train`` looks at labels: about ``sample_docs`` training documents a language, read
+whole, whose pairs are counted in the cluster; ``dict_bytes`` of pairs a language come to
+the driver (languages are few and named by their labels; neither grows with the corpus).
+Prediction reads whole texts.
 
 Defined cases: null, empty and letterless texts get ``und`` with score 0 and are
 rejected; ties go to the first language in alphabetical order; repeated rows are
-predicted alike; an empty table or no training rows give ``und`` for every text.
+predicted alike and learned from once; a null or repeated doc_id is no special case; an
+empty table or no training rows give ``und`` for every text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, texts, tidied
+from lodewright.llm.text import in_batches, texts
 
 UNDETERMINED = "und"
 DICT_BYTES = 110_000
 BLOCK_BYTES = 4_096
-SHORT_BYTES = 400
+#: Bytes that a block is worth: one of half as many is encoded from two of its words on.
+EFFORT = 1_024
+SAMPLE_DOCS = 400
+#: Longer words (of scripts without blanks) are taken in parts of this many letters.
+WORD_LETTERS = 32
 #: A relative margin below this is too narrow: the text is rejected.
 MIN_MARGIN = 0.004
 OTHERS = re.compile(r"[\W\d_]+")
@@ -48,21 +54,51 @@ def letters(text: str) -> str:
     return f" {words} " if any(map(str.isalpha, words)) else ""
 
 
-def train(docs: DataFrame, usable: Column, sample_docs: int = 400, slice_chars: int = 1_200, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def pairs(text: str) -> list[str]:
+    """Words of a text with the word that follows; a text of one word gives that."""
+    words = [w[i : i + WORD_LETTERS] for w in letters(text).split() for i in range(0, len(w), WORD_LETTERS)]
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or words
+
+
+def train(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary content for each language among the ``usable`` rows of ``docs`` (text, lang, doc_id)."""
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     slots = 1_000_003
-    draw = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(slots))
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample_docs / n) * slots))).otherwise(share)
-    at = F.pmod(F.xxhash64(F.lit(9), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - slice_chars)).cast("int") + 1
-    found = rows.filter(draw < share).select("lang", draw.alias("draw"), F.substring("text", at, F.lit(slice_chars)).alias("part"))
-    parts = defaultdict(dict)
-    for r in found.collect():
-        parts[r["lang"]].setdefault(r["part"], r["draw"])
-    return {lang: letters("\n".join(sorted(own, key=lambda x: (own[x], x)))).encode()[-dict_bytes:] for lang, own in sorted(parts.items())}
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(slots)) < share).distinct()
+
+    def count(batches):
+        found = defaultdict(Counter)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found[lang].update(set(pairs(text.as_py())))
+            if sum(map(len, found.values())) > 1_000_000:
+                yield from flushed(found)
+        yield from flushed(found)
+
+    def flushed(found):
+        for lang, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "pair", "docs"])
+        found.clear()
+
+    counted = in_batches(drawn, count, "lang string, pair string, docs long").groupBy("lang", "pair").agg(F.sum("docs").alias("docs"))
+    rank = Window.partitionBy("lang").orderBy(F.col("docs").desc(), "pair")
+    best = counted.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= dict_bytes // 2)  # a pair takes two bytes at least
+    size = F.sum(F.octet_length("pair") + 1).over(rank.rowsBetween(Window.unboundedPreceding, 0))
+    found = defaultdict(list)
+    for r in best.withColumn("size", size).filter(F.col("size") < dict_bytes).select("lang", "rank", "pair").collect():
+        found[r["lang"]].append((r["rank"], r["pair"]))
+    return {lang: f" {' '.join(p for _, p in sorted(own, reverse=True))} ".encode() for lang, own in sorted(found.items())}
+
+
+def views(block: bytes, effort: int = EFFORT) -> list[bytes]:
+    """The block from evenly spaced words of its own to its end."""
+    words = block.split(b" ")
+    starts = max(1, min(effort // max(1, len(block)), len(words) - 1))
+    return [b" ".join(words[k * (len(words) - 1) // starts :]) for k in range(starts)] if starts > 1 else [block]
 
 
 class Compressors:
@@ -80,11 +116,7 @@ class Compressors:
         data = letters(text).encode("utf-8", "replace")
         if not self.langs or not data:
             return UNDETERMINED, 0.0
-        if len(data) < SHORT_BYTES:
-            words = data.split(b" ")
-            blocks = [b" ".join(words[i:]) for i in range(len(words) - 1)]
-        else:
-            blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
+        blocks = [v for i in range(0, len(data), self.block) for v in views(data[i : i + self.block])]
         sizes = [sum(map(len, map(compress, blocks))) for compress in self.each]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         next_best = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
@@ -107,6 +139,5 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             rejected = [x == UNDETERMINED or m < min_margin for x, m in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(margins), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, *own])
 
-    bounded_batches(spark)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, rejected boolean"])
-    return docs.mapInArrow(tidied(run), schema)
+    return in_batches(docs, run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodewright.llm.fingerprint import small_or_shuffled
 from lodewright.llm.shingles import word_hashes
-from lodewright.llm.text import bounded_batches, tidied
+from lodewright.llm.text import in_batches
 from lodewright.storage import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -60,9 +60,8 @@ def profile(docs: DataFrame) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(means) + 1, TOPIC_BITS), pa.int32()), pa.array(means))
             yield pa.RecordBatch.from_arrays([named["doc_id"], named["source"], named["lang"], named["topic"], pa.array(counts), listed], names=["doc_id", "source", "lang", "topic", "tokens", "signs"])
 
-    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(tidied(run), f"doc_id {kind}, source string, lang string, topic string, tokens long, signs array<double>")
+    found = in_batches(rows, run, f"doc_id {kind}, source string, lang string, topic string, tokens long, signs array<double>")
     found = materialize(found, "mix-profile")
     if "topic" in docs.columns:
         return found.withColumn("topic", F.coalesce("topic", F.lit(NONE))).drop("signs")

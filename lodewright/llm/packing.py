@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, tidied
+from lodewright.llm.text import in_batches
 from lodewright.storage import materialize
 
 CAPACITY = 4096
@@ -187,8 +187,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(tidied(cut), PIECES)
+    return in_batches(docs.select("doc_id", "text"), cut, PIECES)
 
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,11 +4,12 @@
 scoring work on that small table. Trees grow level by level on binned features; the
 fitted forest is flattened into arrays that numpy walks for all rows at once.
 
-The fit reads a sample of at most about ``max_labelled`` rows (a hash of doc_id chooses
-them), whose statistics come to the driver.
+The fit reads a sample of ``max_labelled`` rows at most, whose statistics come to the driver.
 
 Defined cases: null counts as empty; an empty text has zero statistics and is scored
-from them; repeated rows score alike; without labels the score is 0.5.
+from them; repeated rows score alike; labels that contradict each other both count,
+repeated ones once; a null doc_id has no label; of equally good splits the first counts;
+without labels the score is 0.5.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, bounded_sample, texts, tidied
+from lodewright.llm.text import in_batches, labelled, texts
 
 MAX_LABELLED = 40_000
 BINS = 64
@@ -72,10 +73,9 @@ def features(docs: DataFrame) -> DataFrame:
             stats = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(NAMES)), pa.int32()), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), stats], names=[*kept, "stats"])
 
-    bounded_batches(docs.sparkSession)
     docs = docs.drop("stats")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "stats array<float>"])
-    return docs.mapInArrow(tidied(run), schema)
+    return in_batches(docs, run, schema)
 
 
 @dataclass
@@ -144,9 +144,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4, rate: f
 
 def fit(stats: DataFrame, labels: DataFrame, label: str, usable: Column, max_labelled: int = MAX_LABELLED) -> Forest:
     """Fit on rows of ``labels`` (doc_id, label) that are ``usable``; ``stats`` has doc_id and stats."""
-    known = labels.filter(usable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_label"))
-    known = bounded_sample(known, "doc_id", max_labelled)
-    found = stats.select("doc_id", "stats").join(F.broadcast(known), "doc_id").select("stats", "_label").collect()  # max_labelled short rows
+    found = labelled(stats.select("doc_id", "stats"), labels, label, usable, max_labelled).select("stats", "_label").collect()  # max_labelled short rows
     x = np.array([r["stats"] for r in found], dtype=np.float32).reshape(-1, len(NAMES))
     return grow(x, np.array([r["_label"] for r in found], dtype=np.float64))
 
@@ -163,4 +161,4 @@ def score(stats: DataFrame, forest: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(shared.value.probability(x))], names=[*kept, "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema if f.name != "stats"), "score double"])
-    return stats.mapInArrow(tidied(run), schema)
+    return in_batches(stats, run, schema)

@@ -5,20 +5,16 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a batch that goes to Python; texts can be long, so batches hold few of them.
-BATCH_ROWS = 512
-
+from lodewright.llm.fingerprint import small_or_shuffled
+from lodewright.storage import materialize
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch for this session, so that long texts fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, None) or 10_000) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+#: Rows that are handled at a time, and bytes that a task sends to Python at a time: texts can be long.
+BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def tidied(run: Callable) -> Callable:
@@ -39,9 +35,26 @@ def tidied(run: Callable) -> Callable:
     return each
 
 
+def in_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` over batches of ``BATCH_ROWS`` rows at most.
+
+    The session's bound of bytes in a batch, which only limits memory, is lowered to
+    ``BATCH_BYTES`` if it is higher or unset, for plans read it when they run.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = df.sparkSession.conf.get(key, None)
+    if not (bound and bound.isdigit() and int(bound) <= BATCH_BYTES):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+    def cut(batches):
+        return run(b.slice(i, BATCH_ROWS) for b in batches for i in range(0, max(1, b.num_rows), BATCH_ROWS))
+
+    return df.mapInArrow(tidied(cut), schema)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
-    """True for documents whose crc32(doc_id as text) mod ``modulus`` is ``remainder``."""
-    return F.crc32(F.col(doc_id).cast("string")) % modulus == remainder
+    """True for documents whose crc32(doc_id as text) mod ``modulus`` is ``remainder``; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == remainder
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
@@ -50,15 +63,21 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """Rows chosen by a hash of ``key``, about ``bound`` of them at most; all rows if there are fewer."""
-    n = df.count()
+def bounded_sample(df: DataFrame, bound: int) -> DataFrame:
+    """``bound`` rows at most, drawn by a hash of all their fields; all rows if there are fewer."""
+    n, slots = df.count(), 1_000_003
     if n <= bound:
         return df
-    slots = 1_000_003
-    return df.filter(F.pmod(F.xxhash64(F.lit(71), F.col(key)), F.lit(slots)) < int(slots * bound / n))
+    drawn = F.xxhash64(F.lit(71), *df.columns)
+    some = df.filter(F.pmod(drawn, F.lit(slots)) <= int(slots * min(1.0, 1.1 * bound / n)))
+    return some.orderBy(drawn).limit(bound)  # rows that are equal in all fields may be many: each task keeps ``bound`` of them at most
+
 
+def labelled(rows: DataFrame, labels: DataFrame, label: str, usable: Column, bound: int) -> DataFrame:
+    """``bound`` rows at most of ``rows`` (doc_id, ...) with a 0 or 1 of ``labels`` (doc_id, label) as ``_label``.
 
-def crc_codes(text: str) -> np.ndarray:
-    """UTF-8 bytes of a text as numbers."""
-    return np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    Labels are drawn before the join, repeated ones once, and rows after it again, for a doc_id may occur often.
+    """
+    known = labels.filter(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label")).distinct()
+    drawn = materialize(bounded_sample(known, bound), "labels-drawn")
+    return bounded_sample(materialize(rows.join(small_or_shuffled(drawn), "doc_id"), "rows-labelled"), bound)

@@ -3,18 +3,19 @@
 Texts are lower-cased, everything that is no letter becomes a blank, and runs of
 ``SIZES`` characters are hashed into ``2 ** HASH_BITS`` slots; a feature says whether a
 text has the slot's n-gram anywhere. On the labelled sample each slot gets the log
-ratio of its smoothed rates in both classes; the ``top`` slots with the strongest
-ratios above zero are kept (signs of a clean text would pile up with its length and
-outvote an insult in a long one) and logistic regression is fitted on features scaled
-by their ratios.
+ratio of its smoothed rates in both classes. Slots whose ratio, of either sign, is
+``min_z`` standard errors or more from zero are features, worth their ratio, and logistic
+regression is fitted on them. (Slots within the error are noise that piles up with a
+text's length and would outvote an insult in a long one.)
 
-The fit reads a sample of at most about ``max_labelled`` rows (a hash of doc_id chooses
-them); the counts of the slots are summed in the cluster and only ``top`` of them, with
-the sample's features, come to the driver.
+The fit reads a sample of ``max_labelled`` rows at most; the counts of the slots are
+summed in the cluster; the features (``2 ** HASH_BITS`` at most), with those of the
+sample's rows, come to the driver.
 
 Defined cases: null and empty texts get the score of a text without features; texts of
-any length are read whole; repeated rows score alike; without labels of both classes
-every score is the base rate (0 for none).
+any length are read whole; repeated rows score alike; labels that contradict each other
+both count, repeated ones once; a null doc_id has no label; equal scores are left equal;
+without labels of both classes every score is the base rate (0 for none).
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewright.llm.text import bounded_batches, bounded_sample, texts, tidied
+from lodewright.llm.text import in_batches, labelled, texts
 from lodewright.storage import materialize
 
 HASH_BITS = 20
 SIZES = (4, 5, 7, 9)
-MAX_LABELLED = 20_000
-TOP = 20_000
+MAX_LABELLED = 8_000
+MIN_Z = 2.0
 BLANKS = re.compile(r"[\W\d_]+")
 #: Characters handled at a time, with an overlap of the longest n-gram.
 CHUNK = 1 << 18
@@ -67,13 +68,14 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str) -> float:
-        used = present(text, self.weights != 0)
-        return float(1 / (1 + np.exp(-(self.bias + self.weights[used].sum()))))
+    def scores(self, each) -> np.ndarray:
+        wanted = self.weights != 0
+        margins = np.array([self.bias + self.weights[present(t, wanted)].sum(dtype=np.float64) for t in each], dtype=np.float64)
+        return 1 / (1 + np.exp(-margins))
 
 
-def ratios(sample: DataFrame, label: str, top: int, min_docs: int) -> DataFrame:
-    """slot, ratio of the ``top`` slots by strength among those in ``min_docs`` texts or more with a ratio above zero."""
+def ratios(sample: DataFrame, label: str, min_docs: int, min_z: float) -> DataFrame:
+    """slot, ratio of the slots in ``min_docs`` texts or more whose ratio is ``min_z`` standard errors from zero."""
     every = np.ones(1 << HASH_BITS, dtype=bool)
 
     def count(batches):
@@ -86,25 +88,23 @@ def ratios(sample: DataFrame, label: str, top: int, min_docs: int) -> DataFrame:
             part = used[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(docs[0, part].astype(np.int64)), pa.array(docs[1, part].astype(np.int64))], names=["slot", "clean", "toxic"])
 
-    bounded_batches(sample.sparkSession)
     n = {int(r[label]): r["n"] for r in sample.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    counts = sample.select("text", label).mapInArrow(tidied(count), "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = F.log((F.col("toxic") + 1) / (n[1] + 2)) - F.log((F.col("clean") + 1) / (n[0] + 2))
-    strength = F.col("ratio") * F.sqrt("toxic")
-    return counts.filter(F.col("clean") + F.col("toxic") >= min_docs).withColumn("ratio", ratio).filter("ratio > 0").orderBy(strength.desc(), "slot").limit(top).select("slot", "ratio")
+    counts = in_batches(sample.select("text", label), count, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    toxic, clean = F.col("toxic") + 1, F.col("clean") + 1
+    ratio = F.log(toxic / (n[1] + 2)) - F.log(clean / (n[0] + 2))
+    error = F.sqrt(1 / toxic - 1 / F.lit(n[1] + 2) + 1 / clean - 1 / F.lit(n[0] + 2))
+    return counts.filter(F.col("clean") + F.col("toxic") >= min_docs).withColumn("ratio", ratio).filter(F.abs("ratio") >= min_z * error).orderBy("slot").select("slot", "ratio")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labelled: int = MAX_LABELLED, top: int = TOP, min_docs: int = 3, rounds: int = 300, decay: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labelled: int = MAX_LABELLED, min_docs: int = 3, min_z: float = MIN_Z, rounds: int = 300, decay: float = 1e-3) -> Model:
     """Fit on rows of ``labels`` (doc_id, label) whose document is ``usable``."""
-    known = labels.filter(usable & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_label"))
-    known = bounded_sample(known, "doc_id", max_labelled)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_label"), "toxic-sample")  # max_labelled short rows are broadcast
-    weights = np.zeros(1 << HASH_BITS)
+    sample = materialize(labelled(docs.select("doc_id", "text"), labels, label, usable, max_labelled).select("text", "_label"), "toxic-sample")
+    weights = np.zeros(1 << HASH_BITS, dtype=np.float32)
     rates = [r["n"] for r in sample.groupBy("_label").agg(F.count("*").alias("n")).orderBy("_label").collect()]
     if len(rates) < 2:
         only = sample.first()
         return Model(weights, 30.0 if only and only["_label"] == 1 else -30.0)
-    chosen = ratios(sample, "_label", top, min_docs).toPandas()
+    chosen = ratios(sample, "_label", min_docs, min_z).toPandas()
     place = np.zeros(1 << HASH_BITS, dtype=np.int32)
     place[chosen["slot"]] = np.arange(len(chosen))
     wanted = np.zeros(1 << HASH_BITS, dtype=bool)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labe
             rows = [place[present(t, wanted)].tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_label")).cast(pa.int32()), pa.array(rows, pa.binary())], names=["y", "x"])
 
-    found = sample.mapInArrow(tidied(featured), "y int, x binary").collect()
+    found = in_batches(sample, featured, "y int, x binary").collect()
     x = [np.frombuffer(r["x"], dtype=np.int32) for r in found]
     y = np.array([r["y"] for r in found], dtype=np.float64)
     theta, bias = logistic(x, y, chosen["ratio"].to_numpy(), rounds, decay)
@@ -125,14 +125,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labe
 
 def logistic(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float]:
     """Logistic regression with Adam over the whole sample; x: the features that each row has, worth ``scale`` each."""
-    rows, columns = np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x) if x else np.zeros(0, dtype=np.int32)
+    sizes = np.array([len(r) for r in x], dtype=np.int64)
+    columns = np.concatenate(x).astype(np.int32) if x else np.zeros(0, dtype=np.int32)
+    order = np.argsort(columns, kind="stable")
+    by_column = np.repeat(np.arange(len(x), dtype=np.int32), sizes)[order]  # the row of each entry, column after column
+    counts = np.bincount(columns, minlength=len(scale))
+    del order
+
+    def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sums over runs of these lengths."""
+        out, some = np.zeros(len(lengths)), lengths > 0
+        if some.any():
+            out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some], dtype=np.float64)
+        return out
+
     theta, bias = np.zeros(len(scale)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     first, second, bias_first, bias_second = np.zeros(len(scale)), np.zeros(len(scale)), 0.0, 0.0
-    worth = scale[columns]
     for t in range(1, rounds + 1):
-        margin = bias + np.bincount(rows, theta[columns] * worth, minlength=len(x))
+        margin = bias + sums((theta * scale).astype(np.float32)[columns], sizes)
         error = (1 / (1 + np.exp(-margin)) - y) / len(y)
-        slope = np.bincount(columns, error[rows] * worth, minlength=len(scale)) + decay * theta / len(y)
+        slope = scale * sums(error.astype(np.float32)[by_column], counts) + decay * theta / len(y)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         bias_first, bias_second = 0.9 * bias_first + 0.1 * error.sum(), 0.99 * bias_second + 0.01 * error.sum() ** 2
         rate = 0.02 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
@@ -148,11 +160,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            scores = np.array([shared.value.score(t) for t in texts(batch)], dtype=np.float64)
+            scores = shared.value.scores(texts(batch))
             kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(scores)], names=[*kept, "score"])
 
-    bounded_batches(spark)
     docs = docs.drop("score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "score double"])
-    return docs.mapInArrow(tidied(run), schema)
+    return in_batches(docs, run, schema)

@@ -80,6 +80,45 @@ def test_odd_rows(odd, none):
     assert ngram_join.jaccard_classes(none).count() == 0
 
 
+def repeated(spark):
+    """Rows that share a doc_id and differ in text, rows without doc_id, repeated rows, and groups that one doc_id would name."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words[:59] + ["x"]), " ".join(f"v{i}" for i in range(60))
+    d, e = c + " z", " ".join(f"u{i}" for i in range(30))
+    rows = [(1, e), (2, a), (1, b), (3, c), (1, d), (1, d), (1, None), (1, ""), (None, a), (None, e), (None, None), (None, None), (9, "nothing like it"), (9, "nor like this one here")]
+    return spark.createDataFrame([(i, t, "en", "s", 0, n, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row int, r1 string"), rows
+
+
+def test_repeated_and_null_ids(spark):
+    df, rows = repeated(spark)
+    want = brute(list(enumerate(t for _, t in rows)))
+    found = ngram_join.classed_rows(df).collect()
+    assert len(found) == len(rows)
+    classes, texts = collections.defaultdict(list), collections.defaultdict(list)
+    for (i, t), (root, n, m) in zip(rows, want.values(), strict=True):
+        classes[root].append((i, n, m))
+    for r in found:
+        texts[r["class_id"]].append((r["doc_id"], r["n_links"], r["n_texts"]))
+    assert sorted(map(repr, key_of(classes))) == sorted(map(repr, key_of(texts)))
+    left = ngram_join.first_of_each(df)
+    assert left.columns == df.columns and left.count() == len(classes)
+    kept = collections.Counter(r["row"] for r in left.collect())
+    roots = {n: root for n, (root, _, _) in enumerate(want.values())}
+    assert sorted(roots[n] for n in kept) == sorted(classes)
+    for n in kept:
+        own = [rows[k][0] for k, root in roots.items() if root == roots[n] and rows[k][0] is not None]
+        assert rows[n][0] == (min(own) if own else None)
+
+
+def key_of(groups):
+    return [sorted(g, key=repr) for g in groups.values()]
+
+
+def test_one_of_each_group_stays(docs):
+    classes = {r["doc_id"]: r["class_id"] for r in ngram_join.jaccard_classes(docs).collect()}
+    assert sorted(r["doc_id"] for r in ngram_join.first_of_each(docs).collect()) == sorted(set(classes.values()))
+
+
 def test_banding_reaches_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = ngram_join.banding(threshold, 0.999, 400)
