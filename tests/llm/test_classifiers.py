@@ -148,7 +148,8 @@ def slow_slots(text):
     """The n-grams of a text, hashed one character at a time."""
     import re
 
-    text = f" {re.sub(r'[^a-zA-Z' + ''.join(sorted(set(c for c in text if c.isalpha()))) + ']+', ' ', text.lower())} " if text else "  "
+    text = text or ""
+    text = f" {re.sub(' +', ' ', ''.join(c if c.isalnum() and not c.isdigit() else ' ' for c in text.lower()))} "
     found = set()
     for at in range(len(text)):
         h = 0x811C9DC5

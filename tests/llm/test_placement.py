@@ -56,36 +56,97 @@ def test_placement_in_sql(spark, sf):
     assert sorted(map(tuple, queries.queries()["op6_sharding"](spark, sf).collect())) == want
 
 
-def test_raking_meets_its_marginals(spark):
-    rng = np.random.default_rng(3)
+def cells_of(seed=3):
+    rng = np.random.default_rng(seed)
     rows = [(s, g, t, int(rng.integers(1, 5000))) for s in "abc" for g in ("en", "fr") for t in ("x", "y", "z")]
-    cells = pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
-    targets = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"x": 0.5, "y": 0.25, "z": 0.25}}
-    share = mixing.rake_array(cells, targets)
-    for d, t in targets.items():
-        got = cells.assign(w=share).groupby(d)["w"].sum()
-        assert all(abs(got[k] - v) < 1e-5 for k, v in t.items())
-    frame = spark.createDataFrame(cells)
-    wanted = {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in targets.items()}
-    far = {(r["source"], r["lang"], r["topic"]): r["share"] for r in mixing.rake_frame(frame, wanted, rounds=8).collect()}
-    near = mixing.rake_array(cells, targets, rounds=8)
-    assert all(abs(far[tuple(k)] - w) < 1e-9 for k, w in zip(cells[["source", "lang", "topic"]].to_numpy().tolist(), near, strict=True))
-    rate = mixing.scaled(share, cells["tokens"].to_numpy(dtype=float), 0.5)
-    assert rate.max() <= 1 and abs((rate * cells["tokens"]).sum() / cells["tokens"].sum() - 0.5) < 1e-9
-    ways = [{tuple(r[:3]): r["rate"] for r in mixing.rates(frame, targets, 0.5, driver_cells=n).collect()} for n in (0, 100)]
-    assert all(abs(ways[0][k] - ways[1][k]) < 1e-4 for k in ways[1])
+    return pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
 
 
-def test_mix(docs, odd, none):
-    found = mixing.mix(docs).collect()
-    assert len(found) == docs.count() and all(0 < r["rate"] <= 1 for r in found)
-    kept, total = sum(r["tokens"] for r in found if r["kept"]), sum(r["tokens"] for r in found)
-    assert 0.5 < kept / total < 0.9
-    assert len({r["topic"] for r in found}) > 3 and mixing.mix(odd).count() == 11 and mixing.mix(none).count() == 0
+def shares(cells, rate, d):
+    kept = cells["tokens"] * rate
+    return (kept.groupby(cells[d]).sum() / kept.sum()).to_dict()
+
+
+TARGETS = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"x": 0.5, "y": 0.25, "z": 0.25}}
+
+
+def test_expected_tokens_meet_given_marginals(spark):
+    cells = cells_of()
+    frame = spark.createDataFrame(cells)
+    ways = [{tuple(r[:3]): r["rate"] for r in mixing.rates(frame, TARGETS, 0.4, driver_cells=n).collect()} for n in (0, 100)]
+    assert all(abs(ways[0][k] - ways[1][k]) < 1e-6 for k in ways[1])
+    rate = np.array([ways[1][tuple(k)] for k in cells[["source", "lang", "topic"]].to_numpy().tolist()])
+    assert 0 < rate.min() and rate.max() <= 1
+    for d, t in TARGETS.items():
+        got = shares(cells, rate, d)
+        assert all(abs(got[k] - v) < 1e-3 for k, v in t.items())
+    assert abs((rate * cells["tokens"]).sum() / cells["tokens"].sum() - 0.4) < 1e-3
+
+
+def test_scarce_targets_lower_what_is_kept():
+    cells = cells_of()
+    cells.loc[cells["source"] == "a", "tokens"] //= 50
+    present = {d: cells.groupby(d)["tokens"].sum().astype(float).to_dict() for d in mixing.DIMENSIONS}
+    rate, off = mixing.rake_array(cells, mixing._goals(present, TARGETS, 0.9, 0.7))
+    assert off < mixing.TOLERANCE
+    for d, t in TARGETS.items():
+        assert all(abs(shares(cells, rate, d)[k] - v) < 2e-3 for k, v in t.items())
+    assert (rate * cells["tokens"]).sum() < 0.3 * cells["tokens"].sum()
+
+
+def test_default_shares():
+    present = np.array([0.9, 0.07, 0.02, 0.01])
+    found = mixing.default_shares(present, 0.7, 0.7)
+    assert abs(found.sum() - 1) < 1e-9 and (found <= 0.95 * present / 0.7 + 1e-12).all() and (found[1:] > present[1:]).all() and found[0] < 0.9
+    assert np.allclose(mixing.default_shares(present, 1.0, 0.7), present)
+
+
+def test_fitting_that_stays_off_says_so(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 100), ("b", "fr", "x", 100)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="off its targets"):
+        mixing.rates(cells, {"source": {"a": 0.2, "b": 0.8}, "lang": {"en": 0.8, "fr": 0.2}, "topic": {"x": 1.0}})
+
+
+def test_mix_by_hand(docs, odd, none):
+    """Every document's rate from plain loops over its cell, its fate, and the marginals of what is expected."""
     import re
 
-    words = {r["doc_id"]: len(re.findall(r"[^\W_]+", r["text"])) for r in docs.collect()}
-    assert all(r["tokens"] == words[r["doc_id"]] for r in found)
+    found = mixing.mix(docs).collect()
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    cells = {}
+    for r in found:
+        words = len(re.findall(r"[^\W_]+", texts[r["doc_id"]]["text"]))
+        assert r["tokens"] == words and (r["source"], r["lang"]) == (texts[r["doc_id"]]["source"], texts[r["doc_id"]]["lang"]) and 0 < r["rate"] <= 1
+        cells[r["source"], r["lang"], r["topic"]] = cells.get((r["source"], r["lang"], r["topic"]), 0) + words
+    total, goal = sum(cells.values()), []
+    keep = 0.7 * mixing.LESS ** round(np.log(sum(r["tokens"] * r["rate"] for r in found) / total / 0.7) / np.log(mixing.LESS))  # cells are few here, so less may be kept
+    assert keep > 0.3
+    for d in range(3):
+        names = sorted({c[d] for c in cells})
+        held = np.array([sum(n for c, n in cells.items() if c[d] == name) for name in names]) / total
+        goal.append(dict(zip(names, mixing.default_shares(held, keep, 0.7) * keep * total, strict=True)))
+    factor = [dict.fromkeys(g, 1.0) for g in goal]
+    for _ in range(300):
+        for d in range(3):
+            for name in goal[d]:
+                now = sum(n * min(1.0, factor[0][c[0]] * factor[1][c[1]] * factor[2][c[2]]) for c, n in cells.items() if c[d] == name)
+                factor[d][name] *= goal[d][name] / now if now else 1.0
+    for r in found:
+        assert r["rate"] == pytest.approx(min(1.0, factor[0][r["source"]] * factor[1][r["lang"]] * factor[2][r["topic"]]), abs=0.02)
+    for d, name in enumerate(mixing.DIMENSIONS):
+        for value, want in goal[d].items():
+            assert abs(sum(r["tokens"] * r["rate"] for r in found if r[name] == value) - want) < 2e-3 * total
+    assert len({r["topic"] for r in found}) > 3
+    kept = mixing.sample(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in found if r["kept"])
+    assert mixing.mix(odd).count() == 11 and mixing.mix(none).count() == 0 and mixing.sample(none).count() == 0
+    same = [r["kept"] for r in mixing.mix(odd).collect() if r["doc_id"] == 6]
+    assert same in ([True, True], [False, False]) and mixing.sample(odd).columns == odd.columns
+
+
+def test_rows_without_id_are_drawn_each(spark):
+    rows = spark.createDataFrame([(None, f"text number {i} of many", "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string")
+    assert 100 < mixing.mix(rows, keep=0.7).filter("kept").count() < 180
 
 
 def exact(x, ids, q, k):
