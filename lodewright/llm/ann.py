@@ -8,12 +8,17 @@ already kept is nearer to it by the factor ``alpha``, and the links back are pru
 A query is searched in every shard with a beam; the nodes found are scored in double
 precision on the original vectors and the shards' best are merged.
 
-Queries come in blocks of bounded size, and equal query vectors are searched once. The
-index is a written table (a row for each node), so it can be kept and searched again.
-
-Defined cases: vectors that are null, zero, of another length than ``dim`` or that hold
-null or non-finite components take no part; equal vectors score alike and ties go to the
-smaller id; fewer candidates than ``k`` are all returned; empty tables give empty results.
+Graphs work on single-precision copies of vectors, scaled by their shard's longest, so
+that no finite vector overflows there. Queries come in blocks of bounded size, and equal
+query vectors are searched once. The index is a written table (a row for each node), so
+it can be kept and searched again.
+
+Defined cases: vectors that are null, zero, of another length than most (or than ``dim``,
+if that is given) or that hold null or non-finite components take no part; rows without
+an id take none; repeated rows count once, rows of one id with different vectors are
+candidates each, none of them for a query of that id, whose own vectors are asked each;
+equal vectors score alike and ties go to the smaller id; fewer candidates than ``k`` are
+all returned; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 from lodewright.llm.fingerprint import small_or_shuffled
 from lodewright.storage import materialize
 
-#: Nodes of a shard at most (a node takes about 400 bytes at 64 dimensions), queries of a block.
-SHARD_NODES = 65_536
+#: Nodes of a shard at most (a node takes about a kilobyte at 64 dimensions) and, where there are cores for more shards, at least; queries of a block.
+SHARD_NODES, LEAST_NODES = 262_144, 8_192
 BLOCK_QUERIES = 65_536
 DEGREE, BUILD_BEAM, ALPHA, BEAM, PROPOSALS, BATCH = 32, 48, 1.2, 96, 64, 256
 
@@ -38,16 +43,23 @@ def usable(vector: str, dim: int) -> Column:
 
 
 class Graph:
-    """Vectors ``x`` (float32), neighbours (-1: none) and the entry node."""
+    """Vectors ``x`` (scaled, float32, with one more component), neighbours (-1: none) and the entry node."""
 
     def __init__(self, x: np.ndarray, neighbours: np.ndarray | None = None, entry: int = 0):
-        norms = (x.astype(np.float64) ** 2).sum(axis=1)
-        self.plain = x
-        self.x = np.hstack([x, np.sqrt(np.maximum(0, norms.max(initial=0) - norms))[:, None].astype(np.float32)])
+        largest = float(np.abs(x).max(initial=0)) or 1.0
+        x = x.astype(np.float64) / largest
+        norms = (x**2).sum(axis=1)
+        self.x = np.hstack([x, np.sqrt(np.maximum(0, norms.max(initial=0) - norms))[:, None]]).astype(np.float32)
         self.squares = (self.x**2).sum(axis=1)
         self.neighbours = neighbours if neighbours is not None else np.full((len(x), DEGREE), -1, dtype=np.int32)
         self.entry = entry
 
+    @staticmethod
+    def queries(q: np.ndarray) -> np.ndarray:
+        """Query vectors scaled, which changes no order, with one more component of zero."""
+        largest = np.abs(q).max(axis=1, initial=0, keepdims=True)
+        return np.hstack([q / np.where(largest > 0, largest, 1), np.zeros((len(q), 1))]).astype(np.float32)
+
     def distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances (less each query's own square) of rows of ids (queries x many)."""
         return self.squares[ids] - 2 * np.einsum("bd,bnd->bn", q, self.x[ids], optimize=True)
@@ -143,74 +155,87 @@ class Graph:
         return self
 
 
-def classes(vectors: DataFrame, ident: str, vector: str, ids: int) -> DataFrame:
+def _rows(df: DataFrame, ident: str, vector: str, dim: int) -> DataFrame:
+    """id, vector (doubles; zero without a sign) of the usable rows."""
+    doubles = F.transform(vector, lambda x: x.cast("double") + F.lit(0.0))
+    return df.filter(usable(vector, dim) & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), doubles.alias("vector"))
+
+
+def classes(vectors: DataFrame, ident: str, vector: str, ids: int, dim: int) -> DataFrame:
     """node (smallest id), vector, ids (the ``ids`` smallest) for each distinct vector.
 
-    Ranks are cut off within each task before they meet, so equal vectors never gather.
+    Repeated rows go first, and ranks are cut off within each task before they meet, so
+    equal vectors never gather.
     """
-    rows = vectors.select(F.col(ident).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("vector"))
+    rows = _rows(vectors, ident, vector, dim).groupBy("vector", "id").agg(F.lit(1).alias("one")).drop("one")
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("_r") <= ids)
     return first.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("node"), "vector", "ids")
 
 
+def _usual_length(vectors: DataFrame, vector: str) -> int:
+    """The length of most vectors, of several the smallest."""
+    sizes = vectors.filter(F.size(vector) > 0).groupBy(F.size(vector).alias("n")).agg(F.count("*").alias("rows"))
+    first = sizes.orderBy(F.col("rows").desc(), "n").first()
+    return first["n"] if first else 0
+
+
 def build_index(vectors: DataFrame, ident: str, vector: str, k: int, dim: int | None = None, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """A written table: shard, node, at (its number in the shard), entry, vector, ids, neighbours."""
-    if dim is None:
-        first = vectors.filter(F.size(vector) > 0).select(F.size(vector).alias("n")).first()
-        dim = first["n"] if first else 0
-    nodes = materialize(classes(vectors.filter(usable(vector, dim)), ident, vector, k + 1), "ann-nodes")
+    dim = dim or _usual_length(vectors, vector)
+    nodes = materialize(classes(vectors, ident, vector, k + 1, dim), "ann-nodes")
     n, lanes = nodes.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(-(-n // shard_nodes), min(12, lanes, n // 512), 1)
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+    shards = max(-(-n // shard_nodes), min(lanes, n // LEAST_NODES), 1)
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("node", ignore_index=True)
-        graph = Graph(np.stack(f["vector"].to_numpy()).astype(np.float32)).build()
+        f = f.iloc[np.lexsort((f["node"], f["vector"].map(lambda v: v.tobytes())))].reset_index(drop=True)
+        graph = Graph(np.stack(f["vector"].to_numpy())).build()
         return f.assign(at=np.arange(len(f)), entry=graph.entry, neighbours=list(graph.neighbours))
 
-    schema = "node long, vector array<float>, ids array<long>, shard int, at int, entry int, neighbours array<int>"
+    schema = "node long, vector array<double>, ids array<long>, shard int, at int, entry int, neighbours array<int>"
     return materialize(dealt.groupBy("shard").applyInPandas(build, schema), "ann-index")
 
 
 def search_index(index: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each query, itself left out."""
     width = index.select(F.size("vector").alias("n")).first()
-    asked = queries.filter(usable(vector, width["n"] if width else 0)).select(F.col(ident).cast("long").alias("query_id"), F.transform(vector, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("vector"))
-    asked = asked.withColumns({"k1": F.xxhash64(F.lit(1), "vector"), "k2": F.xxhash64(F.lit(2), "vector")})
-    asked = materialize(asked, "ann-queries")
-    distinct = materialize(asked.groupBy("k1", "k2", "vector").agg(F.lit(1).alias("one")).drop("one"), "ann-distinct")
+    asked = _rows(queries, ident, vector, width["n"] if width else 0).withColumnRenamed("id", "query_id").distinct()
+    asked = materialize(asked.withColumns({"k1": F.xxhash64(F.lit(1), "vector"), "k2": F.xxhash64(F.lit(2), "vector")}), "ann-queries")
+    # nodes that an id may take up beside those looked for: as many as it has vectors
+    several = asked.groupBy("query_id").agg(F.count("*").alias("own")).filter("own > 1")
+    wide = asked.join(small_or_shuffled(materialize(several, "ann-several")), "query_id", "left").groupBy("k1", "k2", "vector").agg(F.max(F.coalesce("own", F.lit(1))).alias("own"))
+    distinct = materialize(wide, "ann-distinct")
     shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     blocks = max(1, -(-distinct.count() // BLOCK_QUERIES))
     block = F.pmod(F.xxhash64(F.lit(5), "k1"), F.lit(blocks)).cast("int")
-    sent = distinct.select("k1", "k2", F.col("vector").alias("query"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    sent = distinct.select("k1", "k2", "own", F.col("vector").alias("query"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     held = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "at", "entry", "vector", "ids", "neighbours")
 
     def look(nodes: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
-        out = {"k1": [], "k2": [], "score": [], "ids": []}
+        out = {"k1": [], "k2": [], "own": [], "score": [], "ids": []}
         if len(nodes) and len(asked_):
             nodes = nodes.sort_values("at", ignore_index=True)
-            x, ids = np.stack(nodes["vector"].to_numpy()).astype(np.float32), nodes["ids"].to_numpy()
-            graph = Graph(x, np.stack(nodes["neighbours"].to_numpy()).astype(np.int32), int(nodes["entry"].iloc[0]))
-            exact = x.astype(np.float64)
-            for i in range(0, len(asked_), BATCH):
-                part = asked_.iloc[i : i + BATCH]
-                q = np.stack(part["query"].to_numpy()).astype(np.float32)
-                found, _ = graph.search(np.hstack([q, np.zeros((len(q), 1), dtype=np.float32)]), max(beam, k + 1))
-                scores = np.where(found >= 0, np.einsum("bd,bnd->bn", q.astype(np.float64), exact[np.maximum(found, 0)]), -np.inf)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                for row, (k1, k2) in enumerate(zip(part["k1"], part["k2"], strict=True)):
-                    for j in best[row]:
-                        if found[row, j] >= 0:
-                            out["k1"].append(k1)
-                            out["k2"].append(k2)
-                            out["score"].append(scores[row, j])
-                            out["ids"].append(ids[found[row, j]])
+            exact, ids = np.stack(nodes["vector"].to_numpy()).astype(np.float64), nodes["ids"].to_numpy()
+            graph = Graph(exact, np.stack(nodes["neighbours"].to_numpy()).astype(np.int32), int(nodes["entry"].iloc[0]))
+            for own, same in asked_.groupby("own"):
+                wanted = k + int(own)
+                for i in range(0, len(same), BATCH):
+                    part = same.iloc[i : i + BATCH]
+                    q = np.stack(part["query"].to_numpy()).astype(np.float64)
+                    found, _ = graph.search(graph.queries(q), max(beam, wanted))
+                    scores = np.where(found >= 0, np.einsum("bd,bnd->bn", q, exact[np.maximum(found, 0)]), -np.inf)
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :wanted]
+                    for row, (k1, k2) in enumerate(zip(part["k1"], part["k2"], strict=True)):
+                        for j in best[row]:
+                            if found[row, j] >= 0:
+                                for name, value in zip(out, (k1, k2, own, scores[row, j], ids[found[row, j]]), strict=True):
+                                    out[name].append(value)
         return pd.DataFrame(out)
 
-    each = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(look, "k1 long, k2 long, score double, ids array<long>")
-    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("score").desc(), F.element_at("ids", 1)))).filter(F.col("_r") <= k + 1)
+    each = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(look, "k1 long, k2 long, own long, score double, ids array<long>")
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.col("score").desc(), F.element_at("ids", 1)))).filter(F.col("_r") <= F.col("own") + k)
     named = F.flatten(F.transform(F.collect_list(F.struct("score", "ids")), lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("far"), i.alias("vec_id")))))
-    best = ranked.groupBy("k1", "k2").agg(F.slice(F.array_sort(named), 1, k + 1).alias("found"))  # k + 1 nodes of k + 1 ids at most
+    best = ranked.groupBy("k1", "k2").agg(F.slice(F.array_sort(named), F.lit(1), F.max("own").cast("int") + k).alias("found"))  # k + own nodes of k + 1 ids at most
     joined = asked.select("query_id", "k1", "k2").join(small_or_shuffled(materialize(best, "ann-found")), ["k1", "k2"])
     others = F.slice(F.filter("found", lambda c: c["vec_id"] != F.col("query_id")), 1, k)
     return joined.select("query_id", F.posexplode(others).alias("p", "c")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.far")).alias("score"))

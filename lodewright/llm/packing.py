@@ -10,7 +10,9 @@ among pieces of the same length, which is counted in salted parts: no group of e
 lengths is ever gathered.
 
 Defined cases: null text counts as empty; an empty text is one piece that holds the end
-token alone; repeated rows are packed once each; an empty table gives an empty result.
+token alone; repeated rows, and rows that share a doc_id or have none, are packed once
+each; very long texts are cut into as many pieces as they need; an empty table gives an
+empty result; other columns pass through ``pack``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +31,21 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodewright.llm.text import in_batches
 from lodewright.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Scales at which the program's amounts are rounded.
-SCALES = (1.0, 1.2, 0.9, 0.75, 0.5, 2.0)
+#: Scales at which the program's amounts are rounded; none of them is best fit alone, so the result is never worse than that.
+SCALES = (1.0, 1.2, 0.9, 0.75, 0.5, 2.0, 0.0)
 #: Words, and words with their punctuation, whose ids a worker remembers at a time.
 CACHE_WORDS = 1_500_000
 
+#: Pieces of a length that are ranked in one task, about.
+SALT_ROWS = 1_000_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -326,33 +332,36 @@ def placement_table(chosen: list[tuple[int, tuple]]) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 120) -> DataFrame:
-    """Pieces (doc_id, piece, length and any other columns) with sequence_id and offset."""
+    """Pieces (doc_id, piece, length and any other columns) with sequence_id and offset (earlier columns of these names give way)."""
     spark = pieces.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    parts = materialize(pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    pieces = pieces.drop("sequence_id", "offset")
+    salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // SALT_ROWS))
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in pieces.columns]
+    salted = pieces.select(F.struct(*quoted).alias("row"))
+    salted = salted.withColumns({"length": F.col("row").getField("length"), "salt": F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")})
+    parts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table = spark.sparkContext.broadcast(placement_table(solve(histogram, capacity, rounds)))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("_rank", F.row_number().over(within) - 1).join(parts, ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long"))
-    kept = [c for c in pieces.columns if c != "_salt"]
-
-    def place(frames):
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "salt").orderBy(F.col("row").getField("doc_id"), F.col("row").getField("piece"))
+    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(parts, ["length", "salt"])
+    ranked = ranked.select("row", "length", (F.col("rank") + F.col("before")).cast("long").alias("rank"))
+
+    def place(batches):
         t = table.value
         top = int(max(t["rank"].max(initial=0), 0)) + 1
         key = t["length"].astype(object) * top + t["rank"] if top > 2**50 else t["length"] * top + t["rank"]
-        for f in frames:
-            n, rank = f["length"].to_numpy(), f.pop("_rank").to_numpy()
+        for batch in batches:
+            n, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             at = np.searchsorted(key, n * top + np.minimum(rank, top - 1), side="right") - 1
             inside = rank - t["rank"][at]
             copies = t["copies"][at]
-            yield f.assign(sequence_id=t["sequence"][at] + inside // copies, offset=t["offset"][at] + inside % copies * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t["sequence"][at] + inside // copies), pa.array(t["offset"][at] + inside % copies * n)], names=["row", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*kept).schema) + ", sequence_id long, offset long"
-    return ranked.select(*kept, "_rank").mapInPandas(place, schema)
+    ranked = ranked.withColumn("length", F.col("length").cast("long"))
+    found = ranked.mapInArrow(place, StructType([ranked.schema["row"], StructField("sequence_id", LongType()), StructField("offset", LongType())]))
+    return found.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -14,7 +14,7 @@ from lodewright.storage import materialize
 
 #: Rows that are handled at a time, and bytes that a task sends to Python at a time: texts can be long.
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tidied(run: Callable) -> Callable:

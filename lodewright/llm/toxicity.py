@@ -118,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labe
     found = in_batches(sample, featured, "y int, x binary").collect()
     x = [np.frombuffer(r["x"], dtype=np.int32) for r in found]
     y = np.array([r["y"] for r in found], dtype=np.float64)
+    del found
     theta, bias = logistic(x, y, chosen["ratio"].to_numpy(), rounds, decay)
     weights[chosen["slot"]] = theta * chosen["ratio"].to_numpy()
     return Model(weights, bias)
@@ -126,27 +127,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_labe
 def logistic(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float]:
     """Logistic regression with Adam over the whole sample; x: the features that each row has, worth ``scale`` each."""
     sizes = np.array([len(r) for r in x], dtype=np.int64)
-    columns = np.concatenate(x).astype(np.int32) if x else np.zeros(0, dtype=np.int32)
-    order = np.argsort(columns, kind="stable")
-    by_column = np.repeat(np.arange(len(x), dtype=np.int32), sizes)[order]  # the row of each entry, column after column
-    counts = np.bincount(columns, minlength=len(scale))
-    del order
-
-    def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Sums over runs of these lengths."""
-        out, some = np.zeros(len(lengths)), lengths > 0
-        if some.any():
-            out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some], dtype=np.float64)
-        return out
+    columns = np.concatenate(x).astype(np.int32, copy=False) if x else np.zeros(0, dtype=np.int32)
+    ends = np.cumsum(sizes)
+    parts, at = [], 0
+    while at < len(x):  # rows with about a million features at a time
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + 1_000_000)))
+        parts.append((at, min(stop, len(x))))
+        at = stop
+
+    def step(theta: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Slopes of the mean loss in the weights and the bias."""
+        weights, slope, total = theta * scale, np.zeros(len(scale)), 0.0
+        for a, b in parts:
+            own, many = columns[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]
+            margin, some = np.full(b - a, bias), many > 0
+            if some.any():
+                margin[some] += np.add.reduceat(weights[own], (np.cumsum(many) - many)[some])
+            error = (1 / (1 + np.exp(-margin)) - y[a:b]) / len(y)
+            slope += np.bincount(own, np.repeat(error, many), minlength=len(scale))
+            total += error.sum()
+        return slope * scale, total
 
     theta, bias = np.zeros(len(scale)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     first, second, bias_first, bias_second = np.zeros(len(scale)), np.zeros(len(scale)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        margin = bias + sums((theta * scale).astype(np.float32)[columns], sizes)
-        error = (1 / (1 + np.exp(-margin)) - y) / len(y)
-        slope = scale * sums(error.astype(np.float32)[by_column], counts) + decay * theta / len(y)
+        slope, error = step(theta, bias)
+        slope += decay * theta / len(y)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        bias_first, bias_second = 0.9 * bias_first + 0.1 * error.sum(), 0.99 * bias_second + 0.01 * error.sum() ** 2
+        bias_first, bias_second = 0.9 * bias_first + 0.1 * error, 0.99 * bias_second + 0.01 * error**2
         rate = 0.02 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         theta -= rate * first / (np.sqrt(second) + 1e-10)
         bias -= rate * bias_first / (np.sqrt(bias_second) + 1e-10)

@@ -58,3 +58,30 @@ def test_ranges_by_two_looks(spark):
         bounds = [float(3 * i) for i in range(n)]
         found = spark.range(-5, 170).select("id", fp._range_of(F.col("id").cast("double"), bounds).alias("r")).collect()
         assert all(r["r"] == bisect.bisect_right(bounds, r["id"]) for r in found)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows that share a doc_id, with equal and with different texts, and rows without one: each by its own text, with any digest."""
+    texts = ["Alpha  beta", "alpha beta", "Other words here", "", None, "x" * 50, "Alpha  beta"]
+    rows = [(i, t) for i in (1, 1, 2, None, None) for t in texts] + [(5, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda c: (F.length(c).cast("long") % 3, F.lit(0).cast("long"))
+    for lanes in (fp.xx_lanes, weak):
+        found = fp.edited_fingerprints(df, lanes).collect()
+        assert len(found) == len(rows) and sorted(str((r["doc_id"], r["n_chars"])) for r in found) == sorted(str((i, len(t or ""))) for i, t in rows)
+        classes = fp.exact_classes(df, "doc_id", "text", lanes).collect()
+        assert len({r["fingerprint"] for r in classes}) == len({canon(t) for t in texts} | {canon("one")}) == len({r["fingerprint"] for r in found})
+
+
+def test_following_keeps_other_columns(spark):
+    df = spark.createDataFrame([(i, f"t{i}", i * 2, "a", "b") for i in range(40)] + [(None, "tn", 0, "a", "b")], "doc_id long, text string, _range int, next_text string, closer string")
+    found = fp.following(df, "doc_id", ["text"])
+    assert found.columns == ["doc_id", "text", "_range", "closer", "next_text"]
+    want = {f"t{i}": f"t{i - 1}" for i in range(1, 40)} | {"t0": "tn", "tn": "t39"}
+    assert {r["text"]: r["next_text"] for r in found.collect()} == want
+
+
+def test_long_text(spark):
+    long = "Straße und Wasser  " * 60_000  # over a million characters
+    df = spark.createDataFrame([(1, long), (2, long.upper().replace("SS", "ß")), (3, "a")], "doc_id long, text string")
+    check([(r["doc_id"], r["text"]) for r in df.collect()], {r["doc_id"]: r for r in fp.edited_fingerprints(df).collect()})

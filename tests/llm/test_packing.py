@@ -71,3 +71,15 @@ def test_program_beats_best_fit_where_that_is_poor():
 def test_knapsack_is_exact():
     best, _ = packing.knapsack(np.array([3.0, 4.0, 5.0]), np.array([2, 3, 4]), 9)
     assert best[9] == pytest.approx(13.0)
+
+
+def test_other_columns_and_null_ids(spark):
+    rows = [(None, 0, 5, 1, "a"), (None, 0, 5, 1, "a"), (3, 0, 9, 2, "b"), (3, 0, 9, 3, "b"), (4, 1, 2, 4, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, offset int, _salt string")
+    found = packing.pack(df, 10)
+    assert found.columns == ["doc_id", "piece", "length", "_salt", "sequence_id", "offset"]
+    end = Counter()
+    for r in sorted(found.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == end[r["sequence_id"]]
+        end[r["sequence_id"]] += r["length"]
+    assert len(end) == 4 and max(end.values()) <= 10 and sum(end.values()) == 30

@@ -176,7 +176,7 @@ def test_graph_recall_with_unlike_norms():
     x = (rng.standard_normal((3000, 16)) * rng.uniform(0.2, 3, (3000, 1))).astype(np.float32)
     g = ann.Graph(x).build()
     q = rng.standard_normal((100, 16)).astype(np.float32)
-    found, _ = g.search(np.hstack([q, np.zeros((100, 1), np.float32)]), 64)
+    found, _ = g.search(g.queries(q), 64)
     best = np.argsort(-(q @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(f[:10]) & set(b)) / 10 for f, b in zip(found, best, strict=True)]) > 0.9
     assert (g.neighbours >= 0).sum(axis=1).max() <= ann.DEGREE
@@ -194,3 +194,41 @@ def test_copies_and_bad_vectors(spark):
     assert ann.search_index(ann.build_index(few, "vec_id", "embedding", 20), few, "vec_id", "embedding", 20).count() == 2
     none = v.limit(0)
     assert ann.search_index(ann.build_index(none, "vec_id", "embedding", 20), none, "vec_id", "embedding", 20).count() == 0
+
+
+def answers(spark, rows, schema="vec_id long, embedding array<double>", step=20):
+    v = spark.createDataFrame(rows, schema)
+    found = ann.search_index(ann.build_index(v, "vec_id", "embedding", 20), v.filter(f"vec_id % {step} = 0"), "vec_id", "embedding", 20).collect()
+    return {q: [(r["vec_id"], r["score"]) for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] for q in {r["query_id"] for r in found}}
+
+
+def by_hand(rows, step=20, k=20):
+    """Every distinct row of another id, by its inner product."""
+    each = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and len(v) == 2 and any(v) and all(x is not None and abs(x) < float("inf") for x in v)}
+    return {i: sorted(((j, float(np.dot(v, w))) for j, w in each if j != i), key=lambda c: (-c[1], c[0]))[:k] for i, v in each if i % step == 0}
+
+
+def test_repeated_ids_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0])] * 25 + [(7, [0.99, 0.1])] * 40 + [(i, [float(x) for x in rng.standard_normal(2)]) for i in range(100, 160)]
+    got, want = answers(spark, rows), by_hand(rows)
+    assert set(got) == set(want) and all(len(got[q]) == 20 for q in got)
+    assert all([c[0] for c in got[q]] == [c[0] for c in want[q]] and np.allclose([c[1] for c in got[q]], [c[1] for c in want[q]], atol=1e-12) for q in want)
+
+
+def test_one_id_with_many_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, [1.0, 0.001 * i]) for i in range(30)] + [(i, [float(x) for x in rng.standard_normal(2)]) for i in range(101, 140)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search_index(ann.build_index(v, "vec_id", "embedding", 20), v.filter("vec_id = 0"), "vec_id", "embedding", 20)
+    assert found.count() == 30 * 20 and found.filter("vec_id = 0").count() == 0
+
+
+def test_odd_first_row_and_wide_range(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (None, [5.0, 5.0])] + [(i, [float(i), 1.0 / i]) for i in range(1, 60)]
+    got, want = answers(spark, rows), by_hand(rows)
+    assert got == {q: [(j, pytest.approx(x, abs=1e-12)) for j, x in c] for q, c in want.items()} and len(got) == 2
+    huge = [(i, [1e100 * (i + 1), -1e90 * i]) for i in range(30)]
+    assert [c[0] for c in answers(spark, huge, step=40)[0]] == list(range(29, 9, -1))
+    close = [(i, [1.0 + i * 1e-12, 0.0]) for i in range(30)]  # apart in double precision alone
+    assert answers(spark, close, step=40)[0][0][1] > 1.0 and len(answers(spark, close, step=40)[0]) == 20
