@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,14 +52,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables materialised inside are deleted at the end; what is read after it must be written elsewhere or outside."""
-    _open.append([])
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised inside are deleted at the end, but for those handed to what this gives."""
+    written: list[str] = []
+    spared: set[str] = set()
+    _open.append(written)
+
+    def kept(df: DataFrame) -> DataFrame:
+        spared.update(p for p in written if any(p in f for f in df.inputFiles()))
+        return df
+
     try:
-        yield
+        yield kept
     finally:
-        for path in _open.pop():
-            _delete(spark, path)
+        _open.remove(written)
+        for path in written:
+            if path not in spared:
+                _delete(spark, path)
 
 
 def bytes_of(df: DataFrame) -> int:

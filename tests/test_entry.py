@@ -38,3 +38,14 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 35
+
+
+def test_scratch_tables_go(spark):
+    from lodewright import storage
+
+    with storage.scratch(spark) as kept:
+        one = storage.materialize(spark.range(5), "one")
+        two = kept(storage.materialize(one.filter("id > 2"), "two"))
+    assert two.count() == 2 and 0 < storage.bytes_of(two) < 10_000
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        spark.read.schema("id long").parquet(one.inputFiles()[0]).collect()
