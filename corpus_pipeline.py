@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next one's docs; all but the last return the columns of documents.
+
+Defined cases: rows without text, and empty and letterless ones, go with the first stage;
+rows are told apart by doc_id and text together, so a null or repeated doc_id loses no
+document; of repeated rows one stays; other columns pass through all stages but the last;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,27 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.llm import langid, mixing, ngram_join, packing, pii
-from lodewright.llm.fingerprint import small_or_shuffled
 from lodewright.llm.text import held_out
-from lodewright.storage import materialize
+from lodewright.storage import materialize, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found and not rejected."""
+    """Documents whose language is found and not rejected, with the language found."""
     found = langid.identify(docs, langid.train(docs, ~held_out("doc_id", 4, 2)))
-    return found.filter("NOT rejected").select(*docs.columns)
+    return found.filter("NOT rejected").select(*(F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that the n-gram join links; one row of a repeated doc_id."""
-    classes = materialize(ngram_join.jaccard_classes(docs).select("doc_id", "class_id"), "stage-classes")
-    gone = materialize(classes.filter("class_id <> doc_id").select("doc_id").distinct(), "stage-gone")
-    left = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
-    repeated = materialize(classes.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "stage-repeated")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(small_or_shuffled(repeated), "doc_id", "left_anti")
-    return once.unionByName(left.join(small_or_shuffled(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """The row with the smallest doc_id of each group that the n-gram join links."""
+    return ngram_join.first_of_each(docs)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +39,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the calibrated sample keeps."""
-    gone = materialize(mixing.mix(docs).filter("NOT kept").select("doc_id").distinct(), "stage-unsampled")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage has written besides its result is deleted with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as kept:
+            docs = kept(materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)
