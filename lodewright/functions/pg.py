@@ -263,3 +263,99 @@ def uuid_timestamp(u) -> Column:
 def uuid_canonical(u) -> Column:
     h = F.lower(F.regexp_replace(col(u), "[{}-]", ""))
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+# ---- seeded hash
+MASK = 0xFFFFFFFF
+
+
+def _rotated(x: Column, k: int) -> Column:
+    return (F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 32 - k))).bitwiseAND(F.lit(MASK))
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Fixed values: (which is changed, by which, rotated by) in turn, when words are mixed and at the end.
+MIX = (("a", "c", 4, "c", "b"), ("b", "a", 6, "a", "c"), ("c", "b", 8, "b", "a"), ("a", "c", 16, "c", "b"), ("b", "a", 19, "a", "c"), ("c", "b", 4, "b", "a"))
+FINAL = (("c", "b", 14), ("a", "c", 11), ("b", "a", 25), ("c", "b", 16), ("a", "c", 4), ("b", "a", 14), ("c", "b", 24))
+
+
+def _state(**values: Column) -> Column:
+    return F.struct(*(values[n].bitwiseAND(F.lit(MASK)).alias(n) for n in "abc"))
+
+
+def _mixed(state: Column) -> Column:
+    for changed, other, by, grown, adds in MIX:
+
+        def one(s: Column) -> Column:
+            now = {n: s[n] for n in "abc"}
+            less = (now[changed] - now[other]).bitwiseAND(F.lit(MASK)).bitwiseXOR(_rotated(now[other], by))  # noqa: B023
+            return _state(**(now | {changed: less, grown: now[grown] + now[adds]}))  # noqa: B023
+
+        state = _let(state, one)
+    return state
+
+
+def _finished(state: Column) -> Column:
+    for changed, by, turn in FINAL:
+
+        def one(s: Column) -> Column:
+            now = {n: s[n] for n in "abc"}
+            return _state(**(now | {changed: now[changed].bitwiseXOR(now[by]) - _rotated(now[by], turn)}))  # noqa: B023
+
+        state = _let(state, one)
+    return state
+
+
+def hash_text_extended(text, seed: int = 0) -> Column:
+    """hashtextextended: Jenkins' 64-bit hash of the UTF-8 bytes with a seed, twelve bytes a turn."""
+    seed &= (1 << 64) - 1
+    digits = F.hex(F.encode(col(text), "UTF-8"))
+    n = F.octet_length(col(text)).cast("long")
+
+    def word(at: Column, size) -> Column:
+        """Up to four bytes from ``at`` (from 0), the first the lowest."""
+        each = lambda i: F.when(F.lit(i) < size, F.conv(F.substring(digits, (at + i) * 2 + 1, F.lit(2)), 16, 10).cast("long") * (1 << (8 * i))).otherwise(F.lit(0).cast("long"))
+        return each(0) + each(1) + each(2) + each(3)
+
+    start = (n + F.lit(0x9E3779B9 + 3923095)).bitwiseAND(F.lit(MASK))
+    state = _state(a=start, b=start, c=start)
+    if seed:
+        state = _mixed(_let(state, lambda s: _state(a=s["a"] + F.lit(seed >> 32), b=s["b"] + F.lit(seed & MASK), c=s["c"])))
+    four = F.lit(4)
+    turns = F.floor(n / 12).cast("int")
+    step = lambda s, i: _mixed(_state(a=s["a"] + word(i * 12, four), b=s["b"] + word(i * 12 + 4, four), c=s["c"] + word(i * 12 + 8, four)))
+    looped = F.aggregate(F.when(turns > 0, F.sequence(F.lit(0), turns - 1)).otherwise(F.array().cast("array<int>")), state, step)
+    rest = (n % 12).cast("int")
+    at = turns * 12
+    # the lowest byte of the third word is left out in the tail
+    tail = _let(looped, lambda s: _state(a=s["a"] + word(at, rest), b=s["b"] + word(at + 4, rest - 4), c=s["c"] + word(at + 8, rest - 8) * 256))
+    return _let(_finished(tail), lambda s: F.shiftleft(s["b"], 32).bitwiseOR(s["c"]))
+
+
+def _wide(x: Column) -> Column:
+    """A long as an unsigned decimal."""
+    d = x.cast("decimal(38,0)")
+    return F.when(x < 0, d + F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(d)
+
+
+def wrapped_sum(x: Column, number: int) -> Column:
+    """x + number modulo 2**64, as an unsigned decimal."""
+    return F.pmod(_wide(x) + F.lit(number).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)"))
+
+
+def unsigned_remainder(x: Column, modulus: int) -> Column:
+    return F.pmod(x, F.lit(modulus).cast("decimal(38,0)"))
+
+
+def array_dims(a) -> Column:
+    return F.when(F.size(col(a)) > 0, F.concat(F.lit("[1:"), F.size(col(a)).cast("string"), F.lit("]")))
+
+
+def power_exact(base, exponent: int) -> Column:
+    """numeric ^ whole number, exact as far as 38 digits go."""
+    kind = "decimal(38,10)" if exponent else "decimal(1,0)"
+    return F.aggregate(F.array_repeat(col(base).cast("decimal(18,4)"), exponent), F.lit(1).cast(kind), lambda s, x: (s * x).cast(kind)) if exponent else F.lit(1).cast(kind)

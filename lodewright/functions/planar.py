@@ -177,16 +177,23 @@ def polygon_area(points) -> Column:
 
 
 def polygon_has(points, p) -> Column:
-    """Inside, counting crossings of a ray to the right."""
+    """Inside, counting crossings of a ray to the right, or on the border."""
     p = col(p)
 
+    def touches(found: Column, e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        turn = (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+        within = p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return found | ((turn == 0) & within)
+
     def crosses(n: Column, e: Column) -> Column:
         a, b = e["a"], e["b"]
         straddles = (a["y"] > p["y"]) != (b["y"] > p["y"])
         right = p["x"] < (b["x"] - a["x"]) * (p["y"] - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]
         return n + F.when(straddles & right, 1).otherwise(0)
 
-    return F.aggregate(_edges(col(points), True), F.lit(0), crosses) % 2 == 1
+    edges = _edges(col(points), True)
+    return (F.aggregate(edges, F.lit(0), crosses) % 2 == 1) | F.aggregate(edges, F.lit(False), touches)
 
 
 def polygon_box(points) -> Column:

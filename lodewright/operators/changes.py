@@ -19,8 +19,18 @@ def delete_using(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
 
 
 def insert_on_conflict(target: DataFrame, rows: DataFrame, keys: list[str], update: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
-    """Insert new keys (the first of equal ones); existing ones stay or get ``update`` (new values as excluded_<name>) where ``where``."""
-    once = rows.dropDuplicates(keys)
+    """Insert new keys; existing ones stay or get ``update`` (new values as excluded_<name>) where ``where``.
+
+    Of new rows with equal keys the first in the order of all their fields counts when
+    nothing is updated; with ``update`` they are an error. A null key meets no other.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    counted = rows.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*rest, F.lit(0).alias("_"))).alias("_row"), F.count("*").alias("_n"))
+    if update:
+        twice = F.raise_error(F.lit("ON CONFLICT DO UPDATE command cannot affect row a second time"))
+        counted = counted.withColumn("_n", F.when(F.col("_n") > 1, twice.cast("long")).otherwise(F.col("_n"))).filter("_n > 0")
+    loose = rows.filter(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    once = counted.select(*keys, *(F.col("_row").getField(c).alias(c) for c in rest)).unionByName(loose.select(*keys, *rest))
     new = once.select(*keys, *(F.col(c).alias(f"excluded_{c}") for c in rows.columns if c not in keys), F.lit(True).alias("_new"))
     both = target.withColumn("_old", F.lit(True)).join(new, keys, "full")
     change = F.col("_old") & F.col("_new") & (where if where is not None else F.lit(True)) if update else F.lit(False)
@@ -33,6 +43,24 @@ def insert_on_conflict(target: DataFrame, rows: DataFrame, keys: list[str], upda
     return both.select(*out)
 
 
+def returning(target: DataFrame, test: Column, sets: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new table, RETURNING rows) of a DELETE where ``test`` holds, or with ``sets`` of an UPDATE."""
+    hit = F.coalesce(test, F.lit(False))
+    if sets is None:
+        return target.filter(~hit), target.filter(hit)
+    new = {c: v.cast(target.schema[c].dataType) for c, v in sets.items()}
+    changed = target.filter(hit).select(*(new[c].alias(c) if c in new else F.col(c) for c in target.columns))
+    return target.filter(~hit).unionByName(changed), changed
+
+
+def moved(target: DataFrame, partition: Column, test: Column, sets: dict[str, Column]) -> DataFrame:
+    """An UPDATE of a partitioned table: every row with its partition before and after it (``_from``, ``_to``)."""
+    hit = F.coalesce(test, F.lit(False))
+    before = target.withColumn("_from", partition)
+    after = before.select(*(F.when(hit, sets[c]).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c) if c in sets else F.col(c) for c in target.columns), "_from")
+    return after.withColumn("_to", partition)
+
+
 def merge_update(target: DataFrame, source: DataFrame, keys: list[str], sets: dict[str, Column]) -> DataFrame:
     """MERGE ... WHEN MATCHED THEN UPDATE; a target row matched twice is an error."""
     counted = source.groupBy(*keys).agg(*(F.first(c).alias(f"s_{c}") for c in source.columns if c not in keys), F.count("*").alias("_n"))
@@ -59,7 +87,13 @@ def list_partition(value: Column, lists: dict[str, list], default: str | None =
 
 
 def hash_partition(value: Column, modulus: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(modulus)).cast("int")
+    """The remainder that a text key's partition has: its seeded hash, combined as for one key column."""
+    from lodewright.functions import pg
+
+    seed = 0x7A5B22367996DCFD
+    hashed = pg.hash_text_extended(value, seed)
+    # two's complement sums of longs wrap in Java's bitwise functions only, so the constant is added in decimals
+    return F.when(value.isNull(), F.lit(0)).otherwise(pg.unsigned_remainder(pg.wrapped_sum(hashed, 0x49A0F4DD15E5A8E3), modulus)).cast("int")
 
 
 def violations(df: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (), checks: dict[str, Column] | None = None, references: list[tuple[str, DataFrame, str]] = ()) -> DataFrame:

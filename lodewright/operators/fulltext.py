@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.storage import kept_table
+
 #: Words that the english configuration leaves out.
 STOP = (
     "a an and are as at be been but by can did do does for from had has have he her his how i if in into is it its me my no not of on or our "
@@ -91,6 +93,62 @@ def postings(docs: DataFrame, ident: str, fields: dict[str, str] | str, config:
     return found.groupBy("doc", "term", "weight").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
+def setweight(posted: DataFrame, label: str) -> DataFrame:
+    """Every occurrence gets one label."""
+    if label not in WEIGHTS:
+        raise ValueError(f"unrecognized weight: {label!r}")
+    merged = posted.groupBy("doc", "term").agg(F.sum("tf").alias("tf"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    return merged.select("doc", "term", F.lit(label).alias("weight"), "tf", "positions")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Written postings, sorted by term, so that a query reads its terms' row groups only, and the lengths of documents (doc, weight, len, uniq)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def index(docs: DataFrame, ident: str, fields: dict[str, str] | str, config: str = "simple") -> Index:
+    """An index over ``docs``, built once for the files that they are read from."""
+    spark = docs.sparkSession
+    name = re.sub(r"\W+", "-", f"fts-{ident}-{fields}-{config}")
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posted = kept_table(spark, name, docs, lambda: postings(docs, ident, fields, config).repartitionByRange(lanes, "term").sortWithinPartitions("term", "doc"))
+    lengths = kept_table(spark, f"{name}-lengths", docs, lambda: posted.groupBy("doc", "weight").agg(F.sum("tf").alias("len"), F.countDistinct("term").alias("uniq")))
+    return Index(posted, lengths)
+
+
+# ---- sets of documents as bitmaps
+def bitmap(found: DataFrame) -> DataFrame:
+    """bucket, bits: a set of documents (doc) in 32,768 bits a bucket."""
+    return found.groupBy(F.bitmap_bucket_number("doc").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc")).alias("bits"))
+
+
+def union(*sets: DataFrame) -> DataFrame:
+    every = sets[0]
+    for more in sets[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def intersection(*sets: DataFrame) -> DataFrame:
+    """Only buckets that all sets have are compared bit by bit."""
+    every = sets[0]
+    for more in sets[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).filter(F.col("n") == len(sets)).drop("n")
+
+
+def members(bits: DataFrame) -> DataFrame:
+    """doc of each bit that is set (buckets below one hold ids below one, downwards)."""
+    byte = lambda i: F.conv(F.hex(F.substring("bits", i, F.lit(1))), 16, 10).cast("int")
+    held = lambda i: F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.floor(byte(i) / F.pow(F.lit(2), k)) % 2 == 1)
+    places = F.flatten(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.transform(held(i), lambda k: (i - 1) * 8 + k)))
+    each = bits.select("bucket", F.explode(places).alias("at"))
+    return each.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("at") + 1).otherwise(F.col("bucket") * 32768 - F.col("at")).alias("doc"))
+
+
 # ---- queries
 @dataclass(frozen=True)
 class Node:
@@ -226,9 +284,9 @@ def _holds(node: Node) -> Column:
 
 
 # ---- ranking
-def bm25(posted: DataFrame, words: list[str], k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """doc, score: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), ties to the smaller doc."""
-    lengths = posted.groupBy("doc").agg(F.sum("tf").alias("dl"))
+def bm25(posted: DataFrame, words: list[str], k: int | None = None, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
+    """doc, score: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), ties to the smaller doc. ``lengths`` of an index save counting them."""
+    lengths = lengths.groupBy("doc").agg(F.sum("len").alias("dl")) if lengths is not None else posted.groupBy("doc").agg(F.sum("tf").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl")).first()  # one row
     few = posted.filter(F.col("term").isin(*words)).groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
     df = few.groupBy("term").agg(F.least(F.count("*"), F.lit(stats["n"])).alias("df"))  # a row for each word of the query
@@ -238,11 +296,11 @@ def bm25(posted: DataFrame, words: list[str], k: int | None = None, k1: float =
     return scored.orderBy(F.col("score").desc(), "doc").limit(k) if k else scored
 
 
-def bm25f(posted: DataFrame, words: list[str], boosts: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25f(posted: DataFrame, words: list[str], boosts: dict[str, float] | None = None, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
     """doc, score over weighted fields: term frequencies are normalised and boosted by field before they saturate."""
     boosts = boosts or BOOSTS
-    lengths = posted.groupBy("doc", "weight").agg(F.sum("tf").alias("len"))
-    n = posted.select("doc").distinct().count()
+    lengths = lengths.select("doc", "weight", "len") if lengths is not None else posted.groupBy("doc", "weight").agg(F.sum("tf").alias("len"))
+    n = lengths.select("doc").distinct().count()
     means = F.broadcast(lengths.groupBy("weight").agg(F.greatest(F.lit(1.0), F.sum("len") / F.lit(max(1, n))).alias("avg")))  # four fields
     boost = F.create_map(*(x for label, v in boosts.items() for x in (F.lit(label), F.lit(v))))
     few = posted.filter(F.col("term").isin(*words))
@@ -253,7 +311,7 @@ def bm25f(posted: DataFrame, words: list[str], boosts: dict[str, float] | None =
     return wtf.groupBy("doc").agg(F.sum(idf * F.col("wtf") * (k1 + 1) / (F.lit(k1) + F.col("wtf"))).alias("score"))
 
 
-def ts_rank(posted: DataFrame, words: list[str], normalization: int = 0, weights: dict[str, float] | None = None) -> DataFrame:
+def ts_rank(posted: DataFrame, words: list[str], normalization: int = 0, weights: dict[str, float] | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """doc, score: for each word the weights of its occurrences, largest first, over their squared places; the mean over the words.
 
     normalization: 1 divides by 1 + ln(length), 2 by length, 8 by distinct words, 16 by 1 + ln(distinct words), 32 is r / (r + 1).
@@ -264,11 +322,43 @@ def ts_rank(posted: DataFrame, words: list[str], normalization: int = 0, weights
     placed = F.transform(F.reverse(F.array_sort("w")), lambda v, i: F.struct(v.alias("v"), (i + 1).alias("i")))
     one = F.aggregate(placed, F.lit(0.0), lambda s, p: s + p["v"] / (p["i"] * p["i"])) / 1.6449341
     scored = few.groupBy("doc").agg((F.sum(one) / len(set(words))).alias("score"))
+    return _normalized(scored, posted, normalization, lengths)
+
+
+def _normalized(scored: DataFrame, posted: DataFrame, normalization: int, lengths: DataFrame | None) -> DataFrame:
     if normalization & 27:
-        sizes = posted.groupBy("doc").agg(F.sum("tf").alias("len"), F.countDistinct("term").alias("uniq"))
+        sizes = lengths.groupBy("doc").agg(F.sum("len").alias("len"), F.sum("uniq").alias("uniq")) if lengths is not None else posted.groupBy("doc").agg(F.sum("tf").alias("len"), F.countDistinct("term").alias("uniq"))
         scored = scored.join(sizes, "doc")
         s = F.col("score")
         for flag, divisor in ((1, 1 + F.log("len")), (2, F.col("len")), (8, F.col("uniq")), (16, 1 + F.log("uniq"))):
             s = s / divisor if normalization & flag else s
         scored = scored.select("doc", s.alias("score"))
     return scored.withColumn("score", F.col("score") / (F.col("score") + 1)) if normalization & 32 else scored
+
+
+def _covers(places: list[tuple[int, str, float]], words: set[str]) -> float:
+    """The sum over the shortest stretches that hold all words: the harmonic mean weight, less for each word between."""
+    total, begin = 0.0, 0
+    while True:
+        seen: set[str] = set()
+        last = next((i for i in range(begin, len(places)) if seen.add(places[i][1]) or seen == words), None)
+        if last is None:
+            return total
+        seen = set()
+        first = next(i for i in range(last, begin - 1, -1) if seen.add(places[i][1]) or seen == words)
+        inverse = sum(1 / places[i][2] for i in range(first, last + 1))
+        noise = places[last][0] - places[first][0] - (last - first)
+        total += (last - first + 1) / inverse / (1 + (noise if noise >= 0 else (last - first) // 2))
+        begin = first + 1
+
+
+def ts_rank_cd(posted: DataFrame, words: list[str], normalization: int = 0, weights: dict[str, float] | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """doc, score: cover density of documents that have all words; normalization as in ``ts_rank``."""
+    weights, wanted = weights or WEIGHTS, set(words)
+
+    @F.pandas_udf("double")
+    def run(places: pd.Series) -> pd.Series:
+        return places.map(lambda own: _covers(sorted((p, t, weights[w]) for t, w, at in ((x["term"], x["weight"], x["positions"]) for x in own) for p in at), wanted))
+
+    few = posted.filter(F.col("term").isin(*words)).groupBy("doc").agg(F.collect_list(F.struct("term", "weight", "positions")).alias("own"), F.countDistinct("term").alias("n")).filter(F.col("n") == len(wanted))
+    return _normalized(few.select("doc", run("own").alias("score")), posted, normalization, lengths)

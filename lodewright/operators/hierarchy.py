@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lodewright.storage import materialize
 
 
-def connect_by(rows: DataFrame, key: str, parent: str, start: Column | None = None, nocycle: bool = False, siblings: list[str] | None = None, where: Column | None = None, most: int = 10_000_000) -> DataFrame:
+def connect_by(rows: DataFrame, key: str, parent: str, start: Column | None = None, nocycle: bool = False, siblings: list[str] | None = None, where: Column | None = None, most: int | None = None) -> DataFrame:
     """``rows`` with level, path (keys from the root) and iscycle, in depth-first order.
 
     A child whose key is among its ancestors is an error, or with ``nocycle`` is left out
-    and its parent flagged. ``where`` is applied after the expansion.
+    and its parent flagged. ``where`` is applied after the expansion; ``most`` sets a budget
+    of rows, beyond which is an error.
     """
     sibling = F.struct(*(F.col(c) for c in (siblings or [key])), F.col(key).alias("_k")).alias("_s")
     base = rows.withColumn("_sib", sibling)
@@ -24,7 +25,7 @@ def connect_by(rows: DataFrame, key: str, parent: str, start: Column | None = No
         total += n
         if not n:
             break
-        if total > most:
+        if most is not None and total > most:
             raise ValueError("CONNECT BY expands to more rows than allowed")
         levels.append(level)
         above = level.select(F.col(key).alias("_pk"), F.col("level").alias("_pl"), F.col("path").alias("_pp"), F.col("_order").alias("_po"))

@@ -472,15 +472,19 @@ def cell(lon, lat, degrees: float) -> Column:
 def within_distance_join(a: DataFrame, b: DataFrame, ident_a: str, ident_b: str, distance: float) -> DataFrame:
     """Pairs of points (lon, lat) no more than ``distance`` metres apart: equal grid cells meet, neighbours are sent along.
 
-    Cells are as wide as the distance at the equator in latitude; in longitude as wide as it is at the row's edge that is nearer the pole.
+    Rows are as high as the distance; a row's columns are at least as wide as it reaches at
+    the row's edge that is nearer the pole, and the last meets the first at 180 degrees.
     """
     high = math.degrees(distance / RADIUS)
     row = F.floor(F.col("lat") / high)
-    widest = lambda r: F.least(F.lit(360.0), F.lit(high) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(r * high), F.abs((r + 1) * high)))))))
+    edge = lambda r: F.least(F.lit(90.0), F.greatest(F.abs(r * high), F.abs((r + 1) * high)))
+    reach = lambda r: math.sin(min(math.pi / 2, distance / RADIUS)) / F.greatest(F.lit(1e-12), F.cos(F.radians(edge(r))))
+    columns = lambda r: F.when(reach(r) >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (F.degrees(F.asin(reach(r))) * 1.000001)))).cast("long")
+    column = lambda x, r: F.floor((F.pmod(F.col(x) + 180, F.lit(360.0)) / 360) * columns(r))
     left = a.select(F.col(ident_a).alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.explode(F.array(row - 1, row, row + 1)).alias("r"))
-    left = left.withColumn("c", F.explode(F.array(*(F.floor(F.col("ax") / widest(F.col("r"))) + k for k in (-1, 0, 1)))))
+    left = left.withColumn("c", F.explode(F.array_distinct(F.array(*(F.pmod(column("ax", F.col("r")) + k, columns(F.col("r"))) for k in (-1, 0, 1))))))
     right = b.select(F.col(ident_b).alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), row.alias("r"))
-    right = right.withColumn("c", F.floor(F.col("bx") / widest(F.col("r"))))
+    right = right.withColumn("c", column("bx", F.col("r")))
     found = left.join(right, ["r", "c"]).withColumn("metres", metres("ax", "ay", "bx", "by"))
     return found.filter(F.col("metres") <= distance).select("a", "b", "metres").dropDuplicates(["a", "b"])
 

@@ -32,7 +32,11 @@ def register_sql(name: str, spark_sql: str, oracle: str | None = None, tables: t
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from lodewright.plans.front import sql
 
-        return sql(spark, spark_sql, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
+        if "boss_tree" in spark_sql:  # nations in a tree of three children each
+            nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+            tables["boss_tree"] = nation.selectExpr("n_nationkey", "CASE WHEN n_nationkey > 0 THEN CAST(floor((n_nationkey - 1) / 3) AS INT) END AS boss")
+        return sql(spark, spark_sql, tables)
 
     run.__name__ = name
     _queries[name] = run

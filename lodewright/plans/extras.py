@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.functions import jsons, pg
-from lodewright.operators import spatial, temporal, vectors
+from lodewright.operators import changes, spatial, temporal, vectors
 from lodewright.plans.catalog import register
 from lodewright.plans.scalars import read
 from lodewright.plans.special import METRES, PLACE, _places
@@ -36,11 +36,11 @@ def function_sql_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, priced(p_retailprice, p_size) AS priced FROM part_base")
 
 
-@register("SELECT r_regionkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 10")
+@register("SELECT r_regionkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey")
 def function_sql_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     read(spark, sf_dir, "nation").createOrReplaceTempView("nation_base")
     read(spark, sf_dir, "region").createOrReplaceTempView("region_base")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION nations_of(r INT) RETURNS TABLE (name STRING) RETURN SELECT n_name FROM nation_base WHERE n_regionkey = r AND n_nationkey > 10")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION nations_of(r INT) RETURNS TABLE (name STRING) RETURN SELECT n_name FROM nation_base WHERE n_regionkey = r")
     return spark.sql("SELECT r_regionkey, f.name AS n_name FROM region_base, LATERAL nations_of(r_regionkey) f")
 
 
@@ -63,14 +63,20 @@ def function_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(weighted, 6).alias("weighted"))
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0")
+@register("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN c_name ELSE substr(c_name, 1, 3) || '***' END AS c_name, NULL::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0 AND (c_nationkey = 3 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))")
 def policy_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row policies: every one is ANDed to a read."""
-    policies = (F.col("c_nationkey") == 3, F.col("c_acctbal") > 0)
-    rows = read(spark, sf_dir, "customer")
-    for p in policies:
-        rows = rows.filter(p)
-    return rows.select("c_custkey", "c_name")
+    """Permissive policies are ORed, restrictive ones ANDed, for a role; masks replace fields."""
+    from lodewright.operators.policies import Policies
+
+    near = read(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    rules = Policies()
+    rules.permit("clerk", F.col("c_nationkey") == 3)
+    rules.permit("clerk", near, ["c_nationkey"])
+    rules.permit("auditor", F.lit(True))
+    rules.restrict("clerk", F.col("c_acctbal") > 0)
+    rules.mask("clerk", "c_acctbal", F.lit(None))
+    rules.mask("clerk", "c_name", F.when(F.col("c_nationkey") == 3, F.col("c_name")).otherwise(F.concat(F.substring("c_name", 1, 3), F.lit("***"))))
+    return rules.read(read(spark, sf_dir, "customer"), "clerk").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
 # ---- reading and writing
@@ -95,17 +101,45 @@ def sidecar_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["rows", "sha256"]).select("rows")
 
 
-@register("SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region")
+@register("SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 100, r_name FROM region UNION ALL SELECT s_suppkey + 1000, s_name FROM supplier WHERE s_acctbal > 0")
 def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return target.unionByName(read(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).alias("id"), F.col("r_name").alias("name")))
+    """INSERT ... SELECT, twice, into a written table."""
+    path = f"{shared_dir(spark)}/target-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("insert_target")
+    for table, select in (("region", "SELECT r_regionkey + 100L, r_name FROM insert_source"), ("supplier", "WITH big AS (SELECT * FROM insert_source WHERE s_acctbal > 0) SELECT s_suppkey + 1000L, s_name FROM big")):
+        read(spark, sf_dir, table).createOrReplaceTempView("insert_source")
+        files.insert_into(spark, path, spark.sql(select))
+    return spark.read.parquet(path)
 
 
-@register("SELECT count(*) AS deleted, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 300000")
+@register("SELECT count(*) FILTER (WHERE o_totalprice > 300000) AS deleted, round(sum(o_totalprice) FILTER (WHERE o_totalprice > 300000), 2) AS total, count(*) FILTER (WHERE NOT o_totalprice > 300000) AS rest FROM orders")
 def cte_data_modifying(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH gone AS (DELETE ... RETURNING *) SELECT ... FROM gone: the returned rows feed the query, the rest is the new table."""
-    gone = read(spark, sf_dir, "orders").filter("o_totalprice > 300000")
-    return gone.agg(F.count("*").alias("deleted"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    left, gone = changes.returning(read(spark, sf_dir, "orders"), F.col("o_totalprice") > 300000)
+    rest = materialize(left, "orders-left").agg(F.count("*").alias("rest"))
+    return gone.agg(F.count("*").alias("deleted"), F.round(F.sum("o_totalprice"), 2).alias("total")).crossJoin(rest)  # one row each
+
+
+@register("SELECT s_suppkey, round(s_acctbal * 1.1, 4) AS s_acctbal FROM supplier WHERE s_nationkey < 5")
+def write_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UPDATE ... RETURNING."""
+    _, changed = changes.returning(read(spark, sf_dir, "supplier"), F.col("s_nationkey") < 5, {"s_acctbal": F.col("s_acctbal") * 1.1})
+    return changed.select("s_suppkey", F.round("s_acctbal", 4).alias("s_acctbal"))
+
+
+@register("SELECT CASE WHEN o_totalprice < 100000 THEN 'low' ELSE 'high' END AS \"_from\", CASE WHEN p < 100000 THEN 'low' ELSE 'high' END AS \"_to\", count(*) AS n FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS p FROM orders) GROUP BY ALL")
+def write_row_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that an UPDATE takes from one partition to another."""
+    part = changes.range_partition(F.col("o_totalprice"), [("low", None, 100000)], "high")
+    return changes.moved(read(spark, sf_dir, "orders"), part, F.col("o_orderstatus") == "F", {"o_totalprice": F.col("o_totalprice") * 2}).groupBy("_from", "_to").agg(F.count("*").alias("n"))
+
+
+@register("SELECT o_orderkey FROM (SELECT *, max(hi) OVER (PARTITION BY o_custkey ORDER BY lo, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT o_orderkey, o_custkey, epoch(o_orderdate) AS lo, epoch(o_orderdate) + 8640000 AS hi FROM orders)) WHERE lo < before")
+def write_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that would violate an exclusion of overlapping hundred days of one customer."""
+    start = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double")
+    return changes.exclusion_violations(read(spark, sf_dir, "orders").withColumns({"lo": start, "hi": start + 8640000}), ["o_custkey"], "lo", "hi", "o_orderkey")
 
 
 @register("SELECT n_nationkey, n_regionkey AS r, 'none' AS tag FROM nation")
@@ -145,7 +179,7 @@ def agg_regr_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def vector_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return vectors.lsh_top_k(e, e.filter("vec_id < 20"), "vec_id", "embedding", "vec_id", "embedding", 5, 64)
+    return vectors.lsh_top_k(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 5, 64)
 
 
 @register("SELECT n_nationkey, greatest(0, least(n_nationkey + 5, 20) - greatest(n_nationkey, 8))::DOUBLE * 4 AS shared FROM nation WHERE least(n_nationkey + 5, 20) > greatest(n_nationkey, 8)")
@@ -175,12 +209,12 @@ def spatial_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.geocode(read(spark, sf_dir, "nation"), "n_name", "7").select("n_nationkey")
 
 
-@register("SELECT r_regionkey, CAST(r_regionkey + 1.0 AS DOUBLE) AS mean FROM region WHERE r_regionkey < 4")
+@register("SELECT r_regionkey, CAST(r_regionkey + 1.0 AS DOUBLE) AS mean FROM region")
 def spatial_zonal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = [[float(x) for x in range(8)] for _ in range(4)]
     k = F.col("r_regionkey")
     zone = F.concat(F.lit("POLYGON(("), k, F.lit(" 0,"), k + 2, F.lit(" 0,"), k + 2, F.lit(" 3,"), k, F.lit(" 3,"), k, F.lit(" 0))"))
-    return read(spark, sf_dir, "region").filter("r_regionkey < 4").select("r_regionkey", spatial.zonal_mean(grid, 0.0, 0.0, 1.0, zone).alias("mean"))
+    return read(spark, sf_dir, "region").select("r_regionkey", spatial.zonal_mean(grid, 0.0, 0.0, 1.0, zone).alias("mean"))
 
 
 @register("SELECT * FROM (VALUES ('a', 'a', 0.0::DOUBLE), ('a', 'd', 4.0), ('b', 'a', 1.0), ('b', 'd', 3.0)) t(start, stop, cost)")
@@ -217,18 +251,21 @@ def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter("o_totalprice > 350000").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@register("SELECT n_nationkey FROM nation")
+@register("SELECT n_nationkey, (n_nationkey // 7)::INT AS page FROM nation")
 def cursor_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = files.fetch(read(spark, sf_dir, "nation").select("n_nationkey"), 7)
-    return spark.createDataFrame([tuple(r) for p in parts for r in p], "n_nationkey int")
+    """FETCH 7 until nothing is left: each page goes on behind the last key, and only that key comes to the driver."""
+    found = None
+    for n, page in enumerate(files.pages(read(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 7)):
+        part = page.withColumn("page", F.lit(n))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
-@register("SELECT o_orderkey, CAST(round(o_totalprice, 2) * 3 AS DOUBLE) AS total, round(CAST(o_orderkey % 97 AS DOUBLE) * 100 / 8) - round(CAST(o_orderkey % 97 AS DOUBLE) * 100 / 8) AS zero FROM orders")
+@register("SELECT o_orderkey, CAST(round(o_totalprice, 2) * 3 AS DOUBLE) AS total, CAST(round_even(CAST(o_orderkey % 97 AS DOUBLE) * 3 * 100 / 8, 0) AS BIGINT) AS share FROM orders")
 def fn_exact_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.round("o_totalprice", 2)
-    share = lambda k: pg.prorate(F.col("o_orderkey") % 97, F.lit(k), F.lit(8), 2)
-    whole = share(8) - (share(8) - share(3)) - share(3)
-    return read(spark, sf_dir, "orders").select("o_orderkey", pg.exact_list_sum(F.array(price, price, price), 2).cast("double").alias("total"), whole.cast("double").alias("zero"))
+    share = pg.prorate(F.col("o_orderkey") % 97, F.lit(3), F.lit(8), 2)
+    return read(spark, sf_dir, "orders").select("o_orderkey", pg.exact_list_sum(F.array(price, price, price), 2).cast("double").alias("total"), share.cast("long").alias("share"))
 
 
 @register("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
@@ -237,12 +274,6 @@ def composite_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.filter("t.n_regionkey = 2").select("t.*")
 
 
-@register("SELECT i::INT AS level FROM range(1, 31) t(i)")
-def hierarchy_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SELECT LEVEL FROM DUAL CONNECT BY LEVEL <= 30."""
-    return spark.range(1, 31).select(F.col("id").cast("int").alias("level"))
-
-
 @register("SELECT s_suppkey, round(sqrt((s_nationkey - 12.0) ** 2 + (s_suppkey % 10 - 4.0) ** 2), 6) AS d FROM supplier ORDER BY d, s_suppkey LIMIT 5")
 def sort_nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodewright.functions import planar
@@ -251,16 +282,23 @@ def sort_nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.round(d, 6).alias("d")).orderBy("d", "s_suppkey").limit(5)
 
 
-SQUARES = "SELECT n_nationkey AS k, n_nationkey AS x0, n_nationkey + 4 AS x1 FROM nation"
+SQUARES = "SELECT n_nationkey AS k, n_nationkey AS x0, n_nationkey + 2 + n_nationkey % 3 AS x1, n_regionkey % 2 AS y0, 3 + n_nationkey % 2 AS y1 FROM nation"
+COVERS = "a.x0 <= b.x0 AND a.x1 >= b.x1 AND a.y0 <= b.y0 AND a.y1 >= b.y1"
+COVERED = "b.x0 <= a.x0 AND b.x1 >= a.x1 AND b.y0 <= a.y0 AND b.y1 >= a.y1"
+INSIDE = "a.x1 > b.x0 AND b.x1 > a.x0 AND a.y1 > b.y0 AND b.y1 > a.y0"
 
 
-@register(f"SELECT a.k AS a, b.k AS b, a.x1 >= b.x0 AND b.x1 >= a.x0 AS intersects, a.x1 = b.x0 OR b.x1 = a.x0 AS touches, a.k = b.k AS equals, a.k <> b.k AND a.x1 > b.x0 AND b.x1 > a.x0 AS overlaps FROM ({SQUARES}) a, ({SQUARES}) b WHERE a.k < 9 AND b.k < 9")
+@register(f"SELECT a.k AS a, b.k AS b, NOT ({INSIDE}) AS touches, {COVERS} AND {COVERED} AS equals, {INSIDE} AND NOT ({COVERS}) AND NOT ({COVERED}) AS overlaps, {COVERS} AS covers, {COVERED} AS coveredby, {COVERS} AS contains, {COVERED} AS within, false AS crosses, false AS disjoint FROM ({SQUARES}) a, ({SQUARES}) b WHERE a.x1 >= b.x0 AND b.x1 >= a.x0 AND a.y1 >= b.y0 AND b.y1 >= a.y0")
 def spatial_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    ring = F.concat(F.lit("POLYGON(("), k, F.lit(" 0,"), k + 4, F.lit(" 0,"), k + 4, F.lit(" 3,"), k, F.lit(" 3,"), k, F.lit(" 0))"))
-    n = read(spark, sf_dir, "nation").filter("n_nationkey < 9")
-    pairs = n.select(k.alias("a"), ring.alias("ga")).crossJoin(n.select(k.alias("b"), ring.alias("gb")))
-    return pairs.select("a", "b", *(spatial.predicate(p, "ga", "gb").alias(p) for p in ("intersects", "touches", "equals", "overlaps")))
+    """All predicates on the pairs of rectangles whose boxes meet in a grid."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    x0, x1, y0, y1 = k, k + 2 + k % 3, r % 2, 3 + k % 2
+    corners = ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+    ring = F.concat(F.lit("POLYGON(("), F.concat_ws(",", *(F.concat_ws(" ", x, y) for x, y in corners)), F.lit("))"))
+    n = read(spark, sf_dir, "nation").select(k.alias("k"), ring.alias("geom"))
+    pairs = spatial.spatial_join(n, n, "geom", 4.0)
+    tests = ("touches", "equals", "overlaps", "covers", "coveredby", "contains", "within", "crosses", "disjoint")
+    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), *(spatial.predicate(p, "geom_a", "geom_b").alias(p) for p in tests))
 
 
 @register()
@@ -270,10 +308,12 @@ def spatial_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_nationkey", F.round(spatial.st_area("circle"), 0).alias("area"), spatial.st_convexhull("circle").alias("hull"), spatial.st_simplify("circle", 0.005).alias("simple"), spatial.st_asewkb("circle").alias("ewkb"))
 
 
-@register("SELECT user_id, arg_max(value, event_id) AS geom FROM events WHERE event_id <= 400 GROUP BY user_id")
+@register("SELECT user_id, arg_max(floor(value), event_id) AS lon, arg_max(event_id % 80, event_id)::DOUBLE AS lat FROM events WHERE event_id <= 400 GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def spatial_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last geometry (here a number) of each record at a time."""
-    return read(spark, sf_dir, "events").filter("event_id <= 400").groupBy("user_id").agg(F.max_by("value", "event_id").alias("geom"))
+    """The geometry that each record had at a time."""
+    e = read(spark, sf_dir, "events").withColumns({"op": F.when(F.col("event_type") == "error", "D").otherwise("U"), "scn": F.col("event_id"), "geom": spatial.st_point(F.floor("value").cast("double"), (F.col("event_id") % 80).cast("double"))})
+    at = temporal.as_of(temporal.history(e, "user_id", "scn", "op", ["geom"]), 400)
+    return at.withColumn("box", spatial.st_envelope("geom")).select("user_id", F.col("box")[0].alias("lon"), F.col("box")[1].alias("lat"))
 
 
 @register("SELECT event_id, epoch_us(ts) AS scn, ts AS again FROM events")
@@ -311,9 +351,8 @@ def series_array_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodewright.operators import fulltext
 
-    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
-    posted = fulltext.postings(docs, "doc_id", "text", "english")
-    return fulltext.match(docs, posted, "doc_id", fulltext.plain("rights reserved", "english"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return fulltext.match(docs, fulltext.index(docs, "doc_id", "text", "english").postings, "doc_id", fulltext.plain("rights reserved", "english"))
 
 
 @register("SELECT n_nationkey, n_nationkey * 2 AS twice FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) ORDER BY n_nationkey LIMIT 10")

@@ -30,8 +30,9 @@ both("scan_count_star", "SELECT count(*) AS n FROM lineitem")
 both("scan_values", "SELECT n, s FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS g(n, s)")
 both("scan_table_body", "SELECT count(*) AS n, min(r_name) AS first_name FROM (TABLE region) r")
 pair("scan_generate_series", "SELECT CAST(g.n * g.n AS BIGINT) AS square FROM generate_series(1, 20, 3) AS g(n)", "SELECT g.n * g.n AS square FROM generate_series(1, 20, 3) AS g(n)")
-pair("scan_unnest_ordinality", "SELECT p_partkey, pos + 1 AS ord, word FROM part LATERAL VIEW posexplode(split(p_name, ' ')) x AS pos, word", "SELECT p_partkey, generate_subscripts(w, 1)::INT AS ord, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
-pair("scan_generate_subscripts", "SELECT p_partkey, explode(reverse(sequence(1, size(split(p_name, ' '))))) AS s FROM part", "SELECT p_partkey, unnest(range(len(string_split(p_name, ' ')), 0, -1))::INT AS s FROM part")
+pair("scan_unnest_ordinality", "SELECT p.p_partkey, x.ord, x.word FROM part p, unnest(string_to_array(p.p_name, ' ')) WITH ORDINALITY AS x(word, ord)", "SELECT p_partkey, generate_subscripts(w, 1)::INT AS ord, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
+pair("scan_unnest_several", "SELECT p.p_partkey, x.a, x.b FROM part p, unnest(string_to_array(p.p_name, ' '), string_to_array(p.p_type, ' ')) AS x(a, b)", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS a, unnest(string_split(p_type, ' ')) AS b FROM part")
+pair("scan_generate_subscripts", "SELECT p.p_partkey, x.s FROM part p, generate_subscripts(string_to_array(p.p_name, ' '), 1, true) AS x(s)", "SELECT p_partkey, unnest(range(len(string_split(p_name, ' ')), 0, -1))::INT AS s FROM part")
 pair("scan_dual", "SELECT 1 + 1 AS two FROM DUAL", "SELECT 1 + 1 AS two")
 both("scan_time_summary", "SELECT count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events WHERE event_type = 'purchase'")
 
@@ -48,14 +49,25 @@ both("filter_not_in_nulls", "SELECT count(*) AS n FROM nation WHERE n_regionkey
 both("filter_exists", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49)")
 both("filter_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
 both("filter_scalar_subquery", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
-pair("filter_any_all", "SELECT n_name FROM nation WHERE n_regionkey = ANY(array(1, 3)) AND n_nationkey > ALL(array(2, 5))", "SELECT n_name FROM nation WHERE n_regionkey = ANY([1, 3]) AND n_nationkey > 2 AND n_nationkey > 5")
+pair("filter_any_all", "SELECT n_name FROM nation WHERE n_regionkey = ANY('{1,3}'::int[]) AND n_nationkey > ALL(ARRAY[2, 5]) AND n_name LIKE ANY (ARRAY['%1%', '%2%', 'N%'])", "SELECT n_name FROM nation WHERE n_regionkey = ANY([1, 3]) AND n_nationkey > 2 AND n_nationkey > 5 AND (n_name LIKE '%1%' OR n_name LIKE '%2%' OR n_name LIKE 'N%')")
+pair("filter_tuple_between", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) BETWEEN (1, 10) AND (3, 15)", "SELECT n_nationkey FROM nation WHERE (n_regionkey > 1 OR (n_regionkey = 1 AND n_nationkey >= 10)) AND (n_regionkey < 3 OR (n_regionkey = 3 AND n_nationkey <= 15))")
 pair("filter_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%e%' AND p_brand ILIKE 'brand#1_' AND p_type NOT LIKE '%!%%' ESCAPE '!'", "SELECT p_partkey FROM part WHERE p_name LIKE '%e%' AND p_brand ILIKE 'brand#1_' AND NOT (p_type LIKE '%!%%' ESCAPE '!')")
-pair("filter_regex", "SELECT p_partkey FROM part WHERE p_brand RLIKE '#[12][34]$' AND NOT p_type RLIKE '(?i)brass'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[12][34]$') AND NOT regexp_matches(p_type, 'brass', 'i')")
+pair("filter_regex", "SELECT p_partkey FROM part WHERE p_brand ~ '#[12][34]$' AND p_type !~* 'brass'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[12][34]$') AND NOT regexp_matches(p_type, 'brass', 'i')")
 both("project_case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS status, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'medium' END AS size FROM orders")
 both("project_null_functions", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 1), -1) AS c, greatest(n_regionkey, nullif(n_nationkey, 3), 2) AS g, least(nullif(n_regionkey, 0), 4) AS l FROM nation")
 pair("filter_row_values", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE struct(l_orderkey, l_linenumber) < struct(5L, 3) AND struct(l_orderkey, l_linenumber) >= struct(2L, 1)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey < 5 OR (l_orderkey = 5 AND l_linenumber < 3)) AND (l_orderkey > 2 OR (l_orderkey = 2 AND l_linenumber >= 1))")
 both("filter_contradiction", "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_regionkey = 2")
-pair("filter_json", "SELECT event_id FROM events WHERE CAST(get_json_object(props, '$.k') AS INT) = 42", "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 42")
+pair("filter_json", "SELECT event_id FROM events WHERE (props ->> 'k')::int = 42", "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 42")
+pair("filter_json_keys", "SELECT count(*) FILTER (WHERE props ? 'k') AS one, count(*) FILTER (WHERE props ?| ARRAY['k', 'z']) AS any_key, count(*) FILTER (WHERE props ?& ARRAY['k', 'z']) AS all_keys, count(*) FILTER (WHERE props @> '{}') AS every FROM events", "SELECT count(*) FILTER (WHERE json_exists(props, '$.k')) AS one, count(*) FILTER (WHERE json_exists(props, '$.k') OR json_exists(props, '$.z')) AS any_key, count(*) FILTER (WHERE json_exists(props, '$.k') AND json_exists(props, '$.z')) AS all_keys, count(*) AS every FROM events")
+pair("filter_json_containment", "SELECT event_id FROM events WHERE props @> '{\"k\": 7}' OR props -> 'k' = '9'", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS INT) IN (7, 9)")
+pair("filter_masked_quotes", "SELECT n_nationkey, ' FROM DUAL' AS a, 'LIMIT NULL' AS b, 'x ~ y::int (+)' AS c /* FETCH FIRST ROW ONLY */ FROM nation -- DUAL", "SELECT n_nationkey, ' FROM DUAL' AS a, 'LIMIT NULL' AS b, 'x ~ y::int (+)' AS c FROM nation")
+pair("project_casts", "SELECT o_orderkey, o_orderkey::text AS t, o_totalprice::int8 AS whole, '7'::int4 + 1 AS eight, o_orderdate::date AS day FROM orders", "SELECT o_orderkey, o_orderkey::VARCHAR AS t, trunc(o_totalprice)::BIGINT AS whole, 8 AS eight, o_orderdate::DATE AS day FROM orders")
+pair("project_nvl_decode", "SELECT n_nationkey, NVL(nullif(n_regionkey, 0), 9) AS v, NVL2(nullif(n_regionkey, 3), 'some', 'none') AS w, DECODE(nullif(n_regionkey, 4), 1, 'one', 2, 'two', NULL, 'null', 'many') AS d FROM nation", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 0), 9) AS v, CASE WHEN n_regionkey = 3 THEN 'none' ELSE 'some' END AS w, CASE n_regionkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 4 THEN 'null' ELSE 'many' END AS d FROM nation")
+pair("project_time_zones", "SELECT event_id, ts AT TIME ZONE 'America/New_York' AS instant, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo' AS there FROM events", "SELECT event_id, timezone('America/New_York', ts) AT TIME ZONE 'UTC' AS instant, ts + INTERVAL 9 HOUR AS there FROM events")
+pair("project_intervals", "SELECT event_id, ts + make_interval(days => 2, hours => 3) AS a, ts + INTERVAL '1' DAY * 3 AS b, ts + NUMTODSINTERVAL(90, 'MINUTE') AS c, ts + NUMTOYMINTERVAL(2, 'MONTH') AS d, ts - INTERVAL '6' HOUR / 4 AS e FROM events", "SELECT event_id, ts + INTERVAL 51 HOUR AS a, ts + INTERVAL 3 DAY AS b, ts + INTERVAL 90 MINUTE AS c, ts + INTERVAL 2 MONTH AS d, ts - INTERVAL 90 MINUTE AS e FROM events")
+pair("project_regexp_substr", "SELECT p_partkey, REGEXP_SUBSTR(p_type, '[A-Z]+', 1, 2) AS second, REGEXP_SUBSTR(p_brand, '(brand)#([0-9])', 1, 1, 'i', 2) AS digit, array_join(regexp_split_to_array(p_type, ' +'), '|') AS parts FROM part", "SELECT p_partkey, regexp_extract_all(p_type, '[A-Z]+')[2] AS second, nullif(regexp_extract(p_brand, '(?i)(brand)#([0-9])', 2), '') AS digit, array_to_string(regexp_split_to_array(p_type, ' +'), '|') AS parts FROM part")
+pair("project_bytes", "SELECT n_nationkey, encode(n_name, 'hex') AS h, encode(decode('6869', 'hex'), 'base64') AS b, CAST(HEXTORAW('4142') AS STRING) AS raw, RAWTOHEX(n_name) AS up FROM nation", "SELECT n_nationkey, lower(hex(n_name)) AS h, 'aGk=' AS b, 'AB' AS raw, hex(n_name) AS up FROM nation")
+pair("project_array_bounds", "SELECT p_partkey, array_lower(w, 1) AS lo, array_upper(w, 1) AS hi, array_dims(w) AS dims, cardinality(w) AS n, array_join(w[2:3], '+') AS mid, w @> ARRAY['x'] AS has, w && ARRAY['red', 'green'] AS meets FROM (SELECT p_partkey, string_to_array(p_name, ' ') AS w FROM part) t", "SELECT p_partkey, 1 AS lo, len(w)::INT AS hi, '[1:' || len(w) || ']' AS dims, len(w)::INT AS n, array_to_string(w[2:3], '+') AS mid, list_contains(w, 'x') AS has, list_has_any(w, ['red', 'green']) AS meets FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
 
 # ---- joins
 both("join_inner", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 250000")
@@ -73,7 +85,7 @@ both("join_using", "SELECT n_nationkey, x.n_name AS other FROM nation JOIN (SELE
 pair("join_semi", "SELECT p_partkey FROM part LEFT SEMI JOIN lineitem ON p_partkey = l_partkey AND l_quantity >= 50", "SELECT p_partkey FROM part SEMI JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) ON p_partkey = l_partkey")
 pair("join_anti", "SELECT p_partkey FROM part LEFT ANTI JOIN lineitem ON p_partkey = l_partkey AND l_quantity >= 50", "SELECT p_partkey FROM part ANTI JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) ON p_partkey = l_partkey")
 both("join_typed_key", "SELECT count(*) AS n FROM (SELECT CAST(n_regionkey AS DECIMAL(10, 2)) AS k FROM nation) a JOIN (SELECT CAST(r_regionkey AS DECIMAL(12, 4)) AS k FROM region) b ON a.k = b.k")
-pair("join_oracle_plus", "SELECT c.c_custkey, o.o_orderkey FROM customer c, orders o WHERE c.c_custkey = o.o_custkey (+) AND c.c_nationkey = 3", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_nationkey = 3")
+pair("join_oracle_plus", "SELECT c.c_custkey, o.o_orderkey, n.n_name FROM customer c, orders o, nation n WHERE c.c_custkey = o.o_custkey (+) AND o.o_totalprice (+) > 200000 AND c.c_nationkey = n.n_nationkey (+) AND n.n_regionkey(+) = 1 AND c.c_acctbal > 0", "SELECT c.c_custkey, o.o_orderkey, n.n_name FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey = 1 WHERE c.c_acctbal > 0")
 both("join_four_tables", "SELECT n.n_name, CAST(count(*) AS BIGINT) AS lines, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE l.l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY n.n_name")
 
 # ---- aggregates
@@ -91,7 +103,9 @@ both("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custk
 both("agg_having_alone", "SELECT count(*) AS n FROM orders HAVING count(*) > 10")
 pair("agg_empty", "SELECT count(*) AS n, sum(n_nationkey) AS s, max(n_name) AS m, bool_and(n_nationkey > 0) AS b FROM nation WHERE n_nationkey < 0", "SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS s, max(n_name) AS m, bool_and(n_nationkey > 0) AS b FROM nation WHERE n_nationkey < 0")
 both("agg_distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
-pair("agg_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+both("agg_distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+both("agg_distinct_on_nested", "WITH firsts AS (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey) SELECT o_custkey % 10 AS digit, count(*) AS n, max(o_orderkey) AS last FROM firsts GROUP BY 1")
+both("agg_distinct_on_limit", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_totalprice, o_orderkey LIMIT 7")
 both("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 both("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 both("agg_rollup", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -116,7 +130,10 @@ both("sort_nulls", "SELECT n_nationkey, nullif(n_regionkey, 2) AS r FROM nation
 both("sort_ordinal_offset", "SELECT p_partkey, p_retailprice FROM part ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 5")
 pair("sort_fetch_first", "SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey OFFSET 2 ROWS FETCH FIRST 5 ROWS ONLY", "SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 5 OFFSET 2")
 pair("sort_limit_null", "SELECT r_name FROM region ORDER BY r_name LIMIT NULL", "SELECT r_name FROM region")
-pair("sort_rownum", "SELECT r_regionkey FROM (SELECT r_regionkey FROM region ORDER BY r_regionkey) WHERE ROWNUM < 4", "SELECT r_regionkey FROM region ORDER BY r_regionkey LIMIT 3")
+pair("sort_rownum", "SELECT n_nationkey FROM (SELECT n_nationkey, n_regionkey FROM nation ORDER BY n_nationkey) WHERE n_regionkey <> 1 AND ROWNUM < 4", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 1 ORDER BY n_nationkey LIMIT 3")
+pair("sort_collate", "SELECT max(lower(n_name) COLLATE \"C\") AS top, count(DISTINCT (CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE lower(n_name) END) COLLATE UNICODE_CI) AS n FROM nation", "SELECT max(lower(n_name)) AS top, count(DISTINCT lower(n_name)) AS n FROM nation")
+pair("hierarchy_generator", "SELECT LEVEL AS level FROM DUAL CONNECT BY LEVEL <= 30", "SELECT i::INT AS level FROM range(1, 31) t(i)")
+pair("hierarchy_connect_by_text", "SELECT LEVEL AS level, n_nationkey, SYS_CONNECT_BY_PATH(n_nationkey, '/') AS path FROM (tree) WHERE n_nationkey <> 3 START WITH boss IS NULL CONNECT BY PRIOR n_nationkey = boss ORDER SIBLINGS BY n_nationkey".replace("(tree)", "boss_tree"), "WITH RECURSIVE t(k, level, path) AS (SELECT n_nationkey, 1, '/' || n_nationkey FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, level + 1, path || '/' || n.n_nationkey FROM t JOIN nation n ON (n.n_nationkey - 1) // 3 = t.k AND n.n_nationkey > 0) SELECT level, k AS n_nationkey, path FROM t WHERE k <> 3")
 both("sort_top_expression", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem ORDER BY l_extendedprice * (1 - l_discount) DESC, l_orderkey, l_linenumber, l_partkey LIMIT 25")
 both("sort_top_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r <= 3")
 

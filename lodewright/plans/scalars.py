@@ -40,9 +40,9 @@ def fn_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.instr("p_name", "e").alias("pos"), pg.substring("p_name", 3, 4).alias("sub"), pg.substring("p_name", -1, 4).alias("early"), pg.regexp_replace("p_type", r"([A-Z])([A-Z]+)", r"\2\1").alias("once"), pg.regexp_replace("p_name", "e", "E", "g").alias("every"), F.coalesce(F.try_element_at(m, F.lit(2)), F.lit("")).alias("second"))
 
 
-@register("SELECT n_nationkey, upper(n_name[1]) || lower(n_name[2:]) AS cap, n_nationkey || ': \"' || replace(n_name, '\"', '\"\"') || '\" ''' || n_name || '''' AS shown FROM nation WHERE NOT contains(n_name, ' ')")
+@register("SELECT n_nationkey, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS cap, n_nationkey || ': \"' || replace(n_name, '\"', '\"\"') || '\" ''' || n_name || '''' AS shown FROM nation")
 def fn_initcap_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "nation").filter(~F.col("n_name").contains(" "))
+    rows = read(spark, sf_dir, "nation")
     return rows.select("n_nationkey", pg.initcap("n_name").alias("cap"), pg.format_text("%s: %I %L", "n_nationkey", "n_name", "n_name").alias("shown"))
 
 
@@ -52,16 +52,14 @@ def fn_split_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH g AS (SELECT n_nationkey, list_distinct([substr('  ' || lower(n_name) || ' ', i, 3) for i in range(1, len(n_name) + 2)]) AS t FROM nation WHERE NOT contains(n_name, ' '))
-SELECT a.n_nationkey AS a, b.n_nationkey AS b, CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / len(list_distinct(list_concat(a.t, b.t))) AS alike
-FROM g a JOIN g b ON a.n_nationkey < b.n_nationkey WHERE len(list_intersect(a.t, b.t)) > 2
+WITH w AS (SELECT n_nationkey, n_regionkey, unnest(list_filter(regexp_split_to_array(lower(n_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS word FROM nation),
+t AS (SELECT n_nationkey, n_regionkey, unnest([substr('  ' || word || ' ', i, 3) for i in range(1, len(word) + 2)]) AS gram FROM w), g AS (SELECT n_nationkey, n_regionkey, list_distinct(list(gram)) AS t FROM t GROUP BY ALL)
+SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 5) AS alike FROM g a JOIN g b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
 """)
 def fn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "nation").filter(~F.col("n_name").contains(" "))
-    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("  "), F.lower(c), F.lit(" ")), i, F.lit(3))))
-    both_have = F.size(F.array_intersect(grams(F.col("x")), grams(F.col("y"))))
-    return a.join(b, F.col("a") < F.col("b")).filter(both_have > 2).select("a", "b", (both_have / F.size(F.array_union(grams(F.col("x")), grams(F.col("y"))))).alias("alike"))
+    n = read(spark, sf_dir, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"), "n_regionkey"), n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"), "n_regionkey")
+    return a.join(b, "n_regionkey").filter("a < b").select("a", "b", F.round(pg.similarity("x", "y").cast("double"), 5).alias("alike"))
 
 
 @register("SELECT n_nationkey, hex(n_name) AS h, CAST(base64(encode(n_name)) AS VARCHAR) AS b, chr(955 + n_nationkey) AS c, md5(n_name) AS m FROM nation")
@@ -91,7 +89,6 @@ def fn_oracle_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", pg.add_months_keep_end(d, 1.9).alias("next_month"), pg.trunc_date(d, "W").alias("w"), pg.trunc_date(d, "WW").alias("ww"), pg.trunc_date(d, "D").alias("sunday"), pg.trunc_date("o_orderdate", "IW").cast("timestamp_ntz").alias("iso"), pg.trunc_date("o_orderdate", "CC").alias("cc"))
 
 
-both("fn_nvl_decode", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 0), 9) AS v, CASE WHEN n_regionkey = 1 THEN 'one' WHEN n_regionkey = 2 THEN 'two' ELSE 'many' END AS d FROM nation")
 
 
 # ---- arrays
@@ -165,9 +162,9 @@ def fn_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- geometry, networks, XML
-@register("SELECT n_nationkey, round(sqrt((n_nationkey - 3) ** 2 + (n_regionkey - 1) ** 2), 9) AS d, n_nationkey BETWEEN 2 AND 9 AND n_regionkey BETWEEN 0 AND 3 AS inside, (n_nationkey - 3) ** 2 + (n_regionkey - 1) ** 2 <= 16 AS round_in, n_nationkey + n_regionkey < 10 AND n_nationkey > 0 AND n_regionkey > 0 AS tri FROM nation WHERE n_nationkey + n_regionkey <> 10 AND n_nationkey <> 0 AND n_regionkey <> 0")
+@register("SELECT n_nationkey, round(sqrt((n_nationkey - 3) ** 2 + (n_regionkey - 1) ** 2), 9) AS d, n_nationkey BETWEEN 2 AND 9 AND n_regionkey BETWEEN 0 AND 3 AS inside, (n_nationkey - 3) ** 2 + (n_regionkey - 1) ** 2 <= 16 AS round_in, n_nationkey + n_regionkey <= 10 AND n_nationkey >= 0 AND n_regionkey >= 0 AS tri FROM nation")
 def fn_planar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "nation").filter("n_nationkey + n_regionkey <> 10 AND n_nationkey <> 0 AND n_regionkey <> 0").withColumn("p", planar.point("n_nationkey", "n_regionkey"))
+    rows = read(spark, sf_dir, "nation").withColumn("p", planar.point("n_nationkey", "n_regionkey"))
     q = planar.point(F.lit(3), F.lit(1))
     triangle = F.array(planar.point(F.lit(0), F.lit(0)), planar.point(F.lit(10), F.lit(0)), planar.point(F.lit(0), F.lit(10)))
     return rows.select("n_nationkey", F.round(planar.distance("p", q), 9).alias("d"), planar.box_has(planar.box(planar.point(F.lit(9), F.lit(0)), planar.point(F.lit(2), F.lit(3))), "p").alias("inside"), planar.circle_has(planar.circle(q, F.lit(4)), "p").alias("round_in"), planar.polygon_has(triangle, "p").alias("tri"))
@@ -192,3 +189,21 @@ def fn_xmltable(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "x"))), lambda s: s["x"]), "")
     docs = rows.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.concat(F.lit("<all>"), listed, F.lit("</all>")).alias("doc"))
     return xml.table(docs, "doc", "/all/n", {"name": ("string", "name"), "key": ("int", "@key")}, "place").drop("doc")
+
+
+@register("SELECT n_nationkey, power(n_nationkey + 1, 5)::DECIMAL(38, 0)::BIGINT AS p, 1 AS one, '[1:3]' AS dims FROM nation")
+def fn_power_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole powers of decimals without rounding."""
+    return read(spark, sf_dir, "nation").select("n_nationkey", pg.power_exact(F.col("n_nationkey") + 1, 5).cast("long").alias("p"), pg.power_exact("n_nationkey", 0).cast("int").alias("one"), pg.array_dims(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("dims"))
+
+
+#: Hashes of texts with seeds 0 and -1, and their partitions of seven.
+HASHES = (("", -6939563903564495251, -5142811166230430645, 1), ("tenant:key", 2119148298895563973, -5005703973338175090, 1), ("abcdefghijkl", -7556637188122330412, -3669402583748189229, 3), ("abcdefghijklmnopqrstu", 7996419909667933074, -2291028065551762409, 2), ("雪é", 550074847648507964, 3653323685410488478, 4))
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {a}::BIGINT, {b}::BIGINT, {p})" for t, a, b, p in HASHES) + ") v(text, zero, negative, part)")
+def fn_hash_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodewright.operators import changes
+
+    rows = spark.createDataFrame([(t,) for t, *_ in HASHES], "text string")
+    return rows.select("text", pg.hash_text_extended("text", 0).alias("zero"), pg.hash_text_extended("text", -1).alias("negative"), changes.hash_partition(F.col("text"), 7).alias("part"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,35 +58,36 @@ def cube_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cubes.status([c], "orders", o, "o_orderkey").withColumn("projection_position", F.col("projection_position").cast("int"))
 
 
-@register("SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50_o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority) AS r FROM orders WHERE o_orderkey <= 900) GROUP BY o_orderpriority")
-def cube_exact_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cubes.bottom_k_percentile(read(spark, sf_dir, "orders").filter("o_orderkey <= 900"), ["o_orderpriority"], "o_totalprice", "o_orderkey", 0.5)
+@register()
+def cube_sketch_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of each priority from the sketch of 1,024 rows, over all orders."""
+    return cubes.bottom_k_percentile(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey", 0.5)
 
 
 # ---- full text
 WORDS = "(SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents)"
 
 
-def _postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, sf_dir, "documents")
-    return docs, fulltext.postings(docs.select("doc_id", "text"), "doc_id", "text")
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, fulltext.Index]:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs, fulltext.index(docs, "doc_id", "text")
 
 
 @register(f"SELECT doc, term, count(*) AS tf FROM {WORDS} WHERE term IN ('the', 'that', 'que') GROUP BY ALL")
 def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _postings(spark, sf_dir)[1].filter(F.col("term").isin("the", "that", "que")).select("doc", "term", "tf")
+    return _indexed(spark, sf_dir)[1].postings.filter(F.col("term").isin("the", "that", "que")).select("doc", "term", "tf")
 
 
 @register(f"SELECT doc FROM {WORDS} GROUP BY doc HAVING bool_or(term = 'the') AND (bool_or(term = 'worthless') OR bool_or(starts_with(term, 'idio'))) AND NOT bool_or(term = 'que')")
 def fts_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, posted = _postings(spark, sf_dir)
-    return fulltext.match(docs, posted, "doc_id", fulltext.parse("the & (worthless | idio:*) & !que"))
+    docs, index = _indexed(spark, sf_dir)
+    return fulltext.match(docs, index.postings, "doc_id", fulltext.parse("the & (worthless | idio:*) & !que"))
 
 
 @register("SELECT doc_id AS doc FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])of[^\\p{L}\\p{N}_]+the([^\\p{L}\\p{N}_]|$)')")
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, posted = _postings(spark, sf_dir)
-    return fulltext.match(docs, posted, "doc_id", fulltext.phrase("of the"))
+    docs, index = _indexed(spark, sf_dir)
+    return fulltext.match(docs, index.postings, "doc_id", fulltext.phrase("of the"))
 
 
 BM25 = f"""
@@ -98,12 +99,14 @@ SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2
 
 @register(BM25)
 def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.bm25(_postings(spark, sf_dir)[1], ["worthless", "the", "und"]).withColumn("score", F.round("score", 6))
+    index = _indexed(spark, sf_dir)[1]
+    return fulltext.bm25(index.postings, ["worthless", "the", "und"], lengths=index.lengths).withColumn("score", F.round("score", 6))
 
 
 @register(f"SELECT * FROM ({BM25}) ORDER BY score DESC, doc LIMIT 10")
 def fts_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.bm25(_postings(spark, sf_dir)[1], ["worthless", "the", "und"], 10).withColumn("score", F.round("score", 6))
+    index = _indexed(spark, sf_dir)[1]
+    return fulltext.bm25(index.postings, ["worthless", "the", "und"], 10, lengths=index.lengths).withColumn("score", F.round("score", 6))
 
 
 @register("""
@@ -114,13 +117,58 @@ w AS (SELECT doc, term, sum(CASE weight WHEN 'A' THEN 3.0 ELSE 1.0 END * tf / (0
 SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * wtf * 2.2 / (1.2 + wtf)), 6) AS score FROM w JOIN d USING (term), n GROUP BY doc
 """)
 def fts_bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = fulltext.postings(read(spark, sf_dir, "pages"), "page_id", {"A": "url", "D": "html"})
-    return fulltext.bm25f(posted, ["the", "com"]).withColumn("score", F.round("score", 6))
+    index = fulltext.index(read(spark, sf_dir, "pages"), "page_id", {"A": "url", "D": "html"})
+    return fulltext.bm25f(index.postings, ["the", "com"], lengths=index.lengths).withColumn("score", F.round("score", 6))
 
 
 @register(f"SELECT doc, round(0.1 * list_sum([1.0 / (i * i) for i in range(1, count(*) + 1)]) / 1.6449341, 6) AS score FROM {WORDS} WHERE term = 'worthless' GROUP BY doc")
 def fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.ts_rank(_postings(spark, sf_dir)[1], ["worthless"]).withColumn("score", F.round("score", 6))
+    return fulltext.ts_rank(_indexed(spark, sf_dir)[1].postings, ["worthless"]).withColumn("score", F.round("score", 6))
+
+
+@register(f"SELECT doc, round(0.1 * list_sum([1.0 / (i * i) for i in range(1, n + 1)]) / 1.6449341 / (1 + ln(dl)), 6) AS score FROM (SELECT doc, count(*) AS dl, count(*) FILTER (WHERE term = 'worthless') AS n FROM {WORDS} GROUP BY doc) WHERE n > 0")
+def fts_rank_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _indexed(spark, sf_dir)[1]
+    return fulltext.ts_rank(index.postings, ["worthless"], 1, lengths=index.lengths).withColumn("score", F.round("score", 6))
+
+
+@register(f"""
+WITH p AS (SELECT doc_id AS doc, generate_subscripts(w, 1) AS pos, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)),
+m AS (SELECT *, lead(pos) OVER o AS next_pos, lead(term) OVER o AS next_term FROM p WHERE term IN ('of', 'the') WINDOW o AS (PARTITION BY doc ORDER BY pos))
+SELECT doc, round(sum(0.1 / (next_pos - pos)), 6) AS score FROM m WHERE term <> next_term GROUP BY doc
+""")
+def fts_rank_cd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cover density of two words: each stretch between neighbours of different words."""
+    return fulltext.ts_rank_cd(_indexed(spark, sf_dir)[1].postings, ["of", "the"]).withColumn("score", F.round("score", 6))
+
+
+@register(f"SELECT doc FROM {WORDS} GROUP BY doc HAVING bool_or(term = 'the') AND (bool_or(term = 'worthless') OR bool_or(term = 'und'))")
+def fts_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of documents as bitmaps, joined and intersected."""
+    posted = _indexed(spark, sf_dir)[1].postings
+    of = lambda word: fulltext.bitmap(posted.filter(F.col("term") == word))
+    return fulltext.members(fulltext.intersection(of("the"), fulltext.union(of("worthless"), of("und"))))
+
+
+@register(f"SELECT doc, count(*) AS tf, 'B' AS weight FROM {WORDS} WHERE term = 'worthless' GROUP BY doc")
+def fts_setweight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = _indexed(spark, sf_dir)[1].postings.filter("term = 'worthless'")
+    return fulltext.setweight(posted, "B").select("doc", "tf", "weight")
+
+
+@register("SELECT term, weight, n FROM (SELECT term, 'D' AS weight, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(html), '[\\p{L}\\p{N}_]+')) AS term FROM pages) GROUP BY term) ORDER BY n DESC, term LIMIT 20")
+def fts_page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of five terms each, every one from the last key of the page before, by falling document frequency."""
+    counted = fulltext.index(read(spark, sf_dir, "pages"), "page_id", "html").postings.groupBy("term", "weight").agg(F.countDistinct("doc").alias("n"))
+    found, last = None, None
+    for _ in range(4):
+        rest = counted if last is None else counted.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("term") > last["term"])))
+        page = rest.orderBy(F.col("n").desc(), "term").limit(5)
+        last = page.orderBy("n", F.col("term").desc()).first()
+        if last is None:
+            break
+        found = page if found is None else found.unionByName(page)
+    return found
 
 
 # ---- vectors
@@ -138,15 +186,24 @@ def vector_dot_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 10, "dot", F.col("label") == 3).withColumn("score", F.round("score", 9))
 
 
+@register(f"SELECT vec_id, round(1 - array_cosine_similarity(embedding::DOUBLE[64], {LITERAL}), 9) AS far, round(-array_inner_product(embedding::DOUBLE[64], {LITERAL}), 9) AS inner_, round(array_distance(embedding::DOUBLE[64], {LITERAL}), 9) AS apart FROM embeddings")
+def vector_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three distances by their operators."""
+    from lodewright.plans.front import sql
+
+    q = f"'[{','.join(map(str, QUERY))}]'::vector(64)"
+    return sql(spark, f"SELECT vec_id, round(embedding <=> {q}, 9) AS far, round(embedding <#> {q}, 9) AS inner_, round(embedding <-> {q}, 9) AS apart FROM embeddings", {"embeddings": read(spark, sf_dir, "embeddings")})
+
+
 @register(f"SELECT vec_id, round(array_distance(embedding::DOUBLE[64], {LITERAL}), 9) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 10")
 def vector_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 10, "l2").select("vec_id", F.round(-F.col("score"), 9).alias("distance"))
 
 
-@register("SELECT query, vec_id, round(score, 9) AS score, rank FROM (SELECT q.vec_id AS query, v.vec_id, array_cosine_similarity(v.embedding::DOUBLE[64], q.embedding::DOUBLE[64]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 8) WHERE rank <= 5")
+@register("SELECT query, vec_id, round(score, 9) AS score, rank FROM (SELECT q.vec_id AS query, v.vec_id, array_cosine_similarity(v.embedding::DOUBLE[64], q.embedding::DOUBLE[64]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
 def vector_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return vectors.batch_top_k(e, e.filter("vec_id < 8"), "vec_id", "embedding", "vec_id", "embedding", 5).withColumn("score", F.round("score", 9))
+    return vectors.batch_top_k(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 5).withColumn("score", F.round("score", 9))
 
 
 # ---- graph
@@ -307,9 +364,9 @@ def spatial_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def spatial_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey").cast("string")
+    k = (F.col("n_nationkey") + 1).cast("string")
     g = F.concat(F.lit("POLYGON((0 0,"), k, F.lit(" 0,"), k, F.lit(" 10,0 10,0 0))"))
-    rows = read(spark, sf_dir, "nation").filter("n_nationkey > 0").withColumn("g", g)
+    rows = read(spark, sf_dir, "nation").withColumn("g", g)
     return rows.select("n_nationkey", F.round(spatial.st_area("g") / 1e6, 3).alias("km2"), spatial.st_centroid("g").alias("centre"), spatial.st_geomfromwkb(spatial.st_asbinary("g")).alias("again"), spatial.st_asgeojson("g").alias("geojson"))
 
 
@@ -333,13 +390,13 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @register("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = events.windowed(_stream(spark, sf_dir), "ts", "1 hour", None, ["event_type"], None, n=F.count("*"))
-    name = "t" + next(tempfile._get_candidate_names())
+    name = "t" + uuid.uuid4().hex
     return events.run_to_end(counted, name, "complete", _checkpoint(spark)).select("start", "event_type", "n")
 
 

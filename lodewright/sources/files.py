@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewright.operators.temporal import checksum
@@ -37,16 +37,25 @@ def export_json(df: DataFrame, path: str, key: str, after=None) -> None:
     rows.orderBy(key).write.mode("overwrite").json(path)
 
 
-def fetch(df: DataFrame, size: int) -> Iterator[list[Row]]:
-    """A cursor: rows in groups of ``size``, one partition at a time on the driver."""
-    part: list[Row] = []
-    for row in df.toLocalIterator(prefetchPartitions=False):
-        part.append(row)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
+def pages(df: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
+    """A cursor over a unique, non-null key: pages of ``size`` rows in its order, each read behind the last key of the one before."""
+    last = None
+    while True:
+        rest = df if last is None else df.filter(F.col(key) > F.lit(last))
+        page = rest.orderBy(key).limit(size)
+        top = page.agg(F.max(key)).first()[0]
+        if top is None:
+            return
+        yield page
+        last = top
+
+
+def insert_into(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """INSERT INTO a written table: columns by position, cast to its own."""
+    schema = spark.read.parquet(path).schema
+    if len(rows.columns) != len(schema):
+        raise ValueError("INSERT has more or fewer expressions than target columns")
+    rows.toDF(*schema.names).select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").parquet(path)
 
 
 def write_sidecar(df: DataFrame, path: str, order: list[str]) -> str:

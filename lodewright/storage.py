@@ -6,6 +6,7 @@ A written table cuts lineage and survives lost executors. Its place is the clust
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +85,22 @@ def bytes_of(df: DataFrame) -> int:
     return total
 
 
+def kept_table(spark: SparkSession, name: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is built once for the files that ``source`` reads and stays until the application's shared folder goes."""
+    files = sorted(source.inputFiles())
+    conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    told = hashlib.sha256()
+    for f in files:
+        place = make(f)
+        status = place.getFileSystem(conf).getFileStatus(place)
+        told.update(f"{f}|{status.getLen()}|{status.getModificationTime()}".encode())
+    path = f"{shared_dir(spark)}/lodewright-kept-{spark.sparkContext.applicationId}/{name}-{told.hexdigest()[:32]}"
+    done = make(f"{path}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        build().write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(path)
+    return spark.read.parquet(path)
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete all tables that this application materialised; results that still read them must be written before."""
     _delete(spark, _own_dir(spark))
