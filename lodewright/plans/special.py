@@ -400,6 +400,40 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.run_to_end(counted, name, "complete", _checkpoint(spark)).select("start", "event_type", "n")
 
 
+def _in_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events of even ids in a first file, the others in two later ones."""
+    path = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    e = read(spark, sf_dir, "events")
+    for k, test in enumerate(("event_id % 2 = 0", "event_id % 4 = 1", "event_id % 4 = 3")):
+        e.filter(test).coalesce(1).write.mode("append").parquet(f"{path}/part={k}")
+    return path
+
+
+@register("""
+WITH w AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id, time_bucket(INTERVAL '1 hour', ts) AS start FROM events)
+SELECT start, count(*) AS n FROM b, w WHERE event_id % 4 <> 3 OR start + INTERVAL 1 HOUR > date_trunc('milliseconds', mark) GROUP BY start
+""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts under a watermark of two days: rows of the third file that come later than the first one allows are dropped."""
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{_in_files(spark, sf_dir)}/part=*")
+    counted = events.windowed(stream, "ts", "1 hour", None, [], "2 days", n=F.count("*"))
+    told = events.run_to_end(counted, "late" + uuid.uuid4().hex, "update", _checkpoint(spark))
+    return told.groupBy(F.col("start").cast("timestamp_ntz").alias("start")).agg(F.max_by("n", "batch").alias("n"))
+
+
+@register("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def live_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouped query kept up to date over three batches; its changes, netted, are the result."""
+    path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{_in_files(spark, sf_dir)}/part=*")
+    emit = lambda changed: changed.write.mode("overwrite").parquet(f"{path}/changes/seq={uuid.uuid4().hex}")
+    live.subscribe_grouped(stream, ["event_type"], {"total": F.col("value")}, path, _checkpoint(spark), emit).awaitTermination()
+    sign = F.when(F.col("change") == "+", 1).otherwise(-1)
+    netted = spark.read.parquet(f"{path}/changes").groupBy("event_type").agg(F.sum(sign * F.col("n")).alias("n"), F.sum(sign * F.col("total")).alias("total"))
+    return netted.select("event_type", "n", F.round("total", 4).alias("total"))
+
+
 @register("SELECT CAST(w AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY w")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.windowed(read(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", [], None, n=F.count("*")).select("start", "n")
@@ -438,6 +472,24 @@ def broker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broker.group_info(broker.replay(ops))
 
 
+@register("""
+WITH o AS (SELECT *, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 1 ELSE 0 END AS pub, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS purge FROM events),
+s AS (SELECT *, sum(pub) OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS seq, sum(purge) OVER (PARTITION BY user_id % 10 ORDER BY event_id DESC) AS later FROM o)
+SELECT 'q' || user_id % 10 AS queue, count(*) FILTER (WHERE pub = 1) AS published, count(*) FILTER (WHERE pub = 1 AND later > 0) AS purged FROM s GROUP BY 1
+""")
+def broker_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishing with a purge now and then: what was published before the last purge is gone."""
+    e = read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("click", "view", "purchase"), "publish").when(F.col("event_type") == "error", "purge")
+    nothing = lambda t: F.lit(None).cast(t)
+    ops = e.withColumn("op", kind).filter("op IS NOT NULL").select(
+        F.concat(F.lit("q"), F.col("user_id") % 10).alias("queue"), F.lit("g").alias("consumer"), F.col("event_id").alias("offset"), "op", F.col("event_id").alias("now"), F.lit("w").alias("worker"),
+        nothing("long").alias("seq"), F.col("props").alias("payload"), nothing("string").alias("key"), nothing("long").alias("delay"), nothing("long").alias("batch"),
+    )
+    n = lambda x: F.count(F.when(F.col("event") == x, 1))
+    return broker.replay(ops).groupBy("queue").agg(n("published").alias("published"), n("purged").alias("purged"))
+
+
 @register("""
 WITH p AS (SELECT user_id AS asset, f.fence, floor(epoch(ts))::BIGINT AS "at", event_id, value BETWEEN lo AND hi AS inside FROM events, (VALUES ('low', 0.0, 40.0), ('mid', 30.0, 70.0)) f(fence, lo, hi)),
 m AS (SELECT *, coalesce(lag(inside) OVER (PARTITION BY asset, fence ORDER BY "at"), false) AS before FROM p), e AS (SELECT *, last_value(CASE WHEN inside AND NOT before THEN "at" END IGNORE NULLS) OVER (PARTITION BY asset, fence ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS since FROM m)

@@ -79,32 +79,33 @@ class Queue:
         m["at"] = now + delay
         self.ready = sorted([m, *self.ready], key=lambda x: (x["attempts"] == 0, x["seq"]))
 
-    def redrive(self, now: int) -> int:
-        """Dead letters start anew, each once."""
-        n = len(self.dead)
+    def redrive(self, now: int) -> list[int]:
+        """Dead letters start anew, each once: their sequences."""
+        found = [m["seq"] for m in self.dead]
         self.ready = sorted([*({**m, "attempts": 0, "at": now} for m in self.dead), *self.ready], key=lambda m: (m["attempts"] == 0, m["seq"]))
         self.dead = []
-        return n
+        return found
 
-    def purge(self) -> int:
-        n = len(self.ready)
+    def purge(self) -> list[int]:
+        """Drop what is ready: the sequences."""
+        found = [m["seq"] for m in self.ready]
         self.ready = []
-        return n
+        return found
 
-    def trim(self, most: int | None = None, oldest: int | None = None) -> int:
-        """Drop ready messages beyond a number or older than a time; what is in flight stays."""
-        before = len(self.ready)
+    def trim(self, most: int | None = None, oldest: int | None = None) -> list[int]:
+        """Drop ready messages beyond a number or older than a time; what is in flight stays. The sequences dropped."""
+        before = {m["seq"] for m in self.ready}
         if oldest is not None:
             self.ready = [m for m in self.ready if m["at"] >= oldest]
         if most is not None and len(self.ready) > most:
             self.ready = sorted(self.ready, key=lambda m: m["seq"])[-most:] if most else []
-        return before - len(self.ready)
+        return sorted(before - {m["seq"] for m in self.ready})
 
     def stats(self) -> dict:
         return {"ready": len(self.ready), "in_flight": len(self.flying), "settled": self.settled, "dead": len(self.dead), "next_seq": self.next_seq}
 
     def apply(self, op: dict) -> list[dict]:
-        """One row of the log: op, now, worker, seq, payload, key, delay, batch."""
+        """One row of the log: op, now, worker, seq, payload, key, delay, batch. redrive, purge and trim (to ``batch`` messages) name what they move."""
         kind, now = op["op"], int(op["now"])
         given = lambda k, default: default if op.get(k) is None or op[k] != op[k] else op[k]
         if kind == "publish":
@@ -113,6 +114,10 @@ class Queue:
             dead = len(self.dead)
             out = [{"event": "delivered", "seq": m["seq"], "worker": op["worker"], "attempts": m["attempts"], "payload": m["payload"]} for m in self.consume(op["worker"], now, int(given("batch", 1)), int(given("delay", 30)))]
             return out + [{"event": "dead", "seq": m["seq"]} for m in self.dead[dead:]]
+        swept = {"redrive": ("redriven", lambda: self.redrive(now)), "purge": ("purged", self.purge), "trim": ("trimmed", lambda: self.trim(int(given("batch", 0))))}
+        if kind in swept:
+            event, run = swept[kind]
+            return [{"event": event, "seq": seq} for seq in run()]
         try:
             if kind == "ack":
                 self.ack(op["worker"], [int(op["seq"])], now)
@@ -136,12 +141,23 @@ def _rows(state: Queue, ops: pd.DataFrame, key: tuple) -> pd.DataFrame:
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """Everything that happened in each (queue, consumer), from a log with columns queue, consumer, offset, op, now, worker, seq, payload, key, delay, batch."""
-
-    def fold(key: tuple, ops: pd.DataFrame) -> pd.DataFrame:
-        return _rows(Queue(), ops.sort_values("offset"), key)
-
-    return log.groupBy("queue", "consumer").applyInPandas(fold, RESULT)
+    """Everything that happened in each (queue, consumer), from a log with columns queue, consumer, offset, op, now, worker, seq, payload, key, delay, batch.
+
+    Sorted operations come to a worker batch by batch; it holds the state of one queue.
+    """
+
+    def run(frames):
+        key, queue = None, Queue()
+        for frame in frames:
+            changed = (frame[["queue", "consumer"]].fillna("\0") != frame[["queue", "consumer"]].fillna("\0").shift()).any(axis=1)
+            for _, ops in frame.groupby(changed.cumsum(), sort=False):
+                first = (ops["queue"].iloc[0], ops["consumer"].iloc[0])
+                if first != key:
+                    key, queue = first, Queue()
+                yield _rows(queue, ops, key)
+
+    dealt = log.repartition("queue", "consumer").sortWithinPartitions("queue", "consumer", "offset")
+    return dealt.mapInPandas(run, RESULT)
 
 
 def stream(log: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.sql.types import IntegerType, StructField, StructType, TimestampNTZType
 
 
 def read_since(log: DataFrame, offset: int, stream: str | None = None, order: str = "offset") -> DataFrame:
@@ -55,10 +55,21 @@ def sessions(stream: DataFrame, at: str, gap: str, keys: list[str], delay: str |
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drain a stream into a table in memory and read it: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drain a stream into a written table beside its checkpoint and read it; of mode complete the last result counts, of update all changes with their ``batch``."""
+    spark, path, seen = stream.sparkSession, f"{checkpoint}-{name}", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        seen.append(number)
+
+    query = stream.writeStream.queryName(name).outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={max(seen)}")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("basePath", path).parquet(path)
+    return rows if mode == "update" else rows.drop("batch")
 
 
 def maintain_cube(stream: DataFrame, keys: list[str], measure: str, sign: str, path: str, checkpoint: str) -> StreamingQuery:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,6 +40,27 @@ def subscribe(stream: DataFrame, query: Callable[[DataFrame], DataFrame], path:
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def subscribe_grouped(stream: DataFrame, keys: list[str], sums: dict[str, Column], path: str, checkpoint: str, emit: Callable[[DataFrame], None]) -> StreamingQuery:
+    """A grouped query (count ``n`` and ``sums``) kept up to date: a batch adds its own groups to the last result, and only groups it touches are compared.
+
+    Results are kept under ``path`` by batch, so a batch that is run again finds what it found before.
+    """
+    totals = [F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums)]
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(v).alias(c) for c, v in sums.items())).write.mode("overwrite").parquet(f"{path}/part/batch={number}")
+        part = spark.read.parquet(f"{path}/part/batch={number}")
+        old = spark.read.parquet(f"{path}/result/batch={number - 1}") if number else part.limit(0)
+        old.unionByName(part).groupBy(*keys).agg(*totals).write.mode("overwrite").parquet(f"{path}/result/batch={number}")
+        touched = part.select(*keys)
+        same = lambda a, b: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+        new = spark.read.parquet(f"{path}/result/batch={number}")
+        emit(changes(old.join(touched, same(old, touched), "left_semi"), new.join(touched, same(new, touched), "left_semi"), number))
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class HotView:
     """A result that is kept until a version of its inputs changes."""
 

@@ -122,7 +122,14 @@ def test_writes(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
     s = spark.createDataFrame([(2, "B"), (3, "C"), (3, "D")], "id int, x string")
     assert len(rows(changes.insert_on_conflict(t, s, ["id"]), "id")) == 3 and rows(changes.insert_on_conflict(t, s, ["id"]), "id")[1] == (2, "b")
-    assert rows(changes.insert_on_conflict(t, s, ["id"], {"x": F.col("excluded_x")}, F.col("x") == "zzz"), "id")[1] == (2, "b")
+    assert rows(changes.insert_on_conflict(t, s, ["id"]), "id")[2] == (3, "C")
+    assert rows(changes.insert_on_conflict(t, s.filter("x <> 'D'"), ["id"], {"x": F.col("excluded_x")}, F.col("x") == "zzz"), "id")[1] == (2, "b")
+    with pytest.raises(Exception, match="second time"):
+        changes.insert_on_conflict(t, s, ["id"], {"x": F.col("excluded_x")}).collect()
+    loose = spark.createDataFrame([(None, "n"), (None, "n")], "id int, x string")
+    assert changes.insert_on_conflict(t, loose, ["id"]).count() == 4
+    left, gone = changes.returning(t, F.col("id") == 2)
+    assert rows(left) == [(1, "a")] and rows(gone) == [(2, "b")]
     assert rows(changes.merge_update(t, s.limit(1), ["id"], {"x": F.col("s_x")}), "id") == [(1, "a"), (2, "B")]
     with pytest.raises(Exception, match="second time"):
         changes.merge_update(t.unionByName(spark.createDataFrame([(3, "c")], "id int, x string")), s, ["id"], {"x": F.col("s_x")}).collect()
