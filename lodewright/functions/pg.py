@@ -133,12 +133,7 @@ def format_text(fmt: str, *args) -> Column:
 
 def chr_(n) -> Column:
     """The character of a code point."""
-
-    @F.pandas_udf("string")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if pd.isna(x) else chr(int(x)))
-
-    return run(col(n))
+    return F.decode(F.unhex(F.lpad(F.hex(col(n).cast("long")), 8, "0")), "UTF-32")
 
 
 # ---- dates

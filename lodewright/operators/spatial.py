@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewright.storage import materialize
+
 from lodewright.functions.pg import col
 
 RADIUS = 6371008.8
@@ -535,9 +537,9 @@ def shortest_paths(edges: list[tuple[str, str, float]], start: str, two_way: boo
 
 
 def travel_time(edges: list[tuple[str, str, float]], start, end) -> Column:
-    """Cost between two node columns over a road graph of a checked size, which goes along with the function."""
+    """Cost between two node columns over a road graph of a checked size, which goes along with the function; ``travel_times`` takes a table of any size."""
     if len(edges) > 1_000_000:
-        raise ValueError("road graph too large to send along")
+        raise ValueError("road graph too large to send along: use travel_times")
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -552,6 +554,23 @@ def travel_time(edges: list[tuple[str, str, float]], start, end) -> Column:
     return run(col(start), col(end))
 
 
+def travel_times(roads: DataFrame, starts: DataFrame, two_way: bool = True) -> DataFrame:
+    """start, node, cost of the cheapest way from each start (start) to every node of a road table (a, b, cost >= 0) of any size.
+
+    Each turn only nodes that became cheaper send their cost along their roads.
+    """
+    edges = roads.select("a", "b", "cost")
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")) if two_way else edges
+    edges = materialize(edges.groupBy("a", "b").agg(F.min("cost").alias("cost")), "roads")
+    known = fresh = materialize(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost")).distinct(), "reached")
+    while not fresh.isEmpty():
+        sent = fresh.join(edges.withColumnRenamed("cost", "_way"), F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("_way")).alias("_cost"))
+        better = materialize(sent.join(known, ["start", "node"], "left").filter("cost IS NULL OR _cost < cost").select("start", "node", F.col("_cost").alias("cost")), "fresh")
+        known = materialize(known.unionByName(better).groupBy("start", "node").agg(F.min("cost").alias("cost")), "reached")
+        fresh = better
+    return known
+
+
 def isochrone(edges: list[tuple[str, str, float]], start: str, limit: float) -> list[tuple[str, float]]:
     return sorted((n, c) for n, (c, _) in shortest_paths(edges, start).items() if c <= limit)
 
@@ -678,20 +697,25 @@ def encode_tile(layer: str, points: list[tuple[int, int, int]], extent: int = 40
 
 
 def tiles(points: DataFrame, ident: str, zoom: int, layer: str = "points", extent: int = 4096, most: int = 100_000) -> DataFrame:
-    """x, y, features, tile of every tile that has points (lon, lat). A tile with more than ``most`` points is an error: choose a larger zoom."""
+    """x, y, part, features, tile of every tile that has points (lon, lat).
+
+    Points of a tile are dealt to parts of about ``most``, each a whole tile message;
+    messages may be put one after the other, so a crowded tile never gathers in one task.
+    """
     x, y = tile_of("lon", "lat", zoom)
     n = float(2**zoom)
     px = F.floor(((F.col("lon") + 180) / 360 * n - F.col("x")) * extent).cast("int")
     py = F.floor(((1 - F.log(F.tan(F.radians("lat")) + 1 / F.cos(F.radians("lat"))) / F.pi()) / 2 * n - F.col("y")) * extent).cast("int")
     placed = points.withColumns({"x": x, "y": y}).select("x", "y", F.struct(F.col(ident).cast("long").alias("id"), px.alias("px"), py.alias("py")).alias("p"))
-    counted = placed.groupBy("x", "y").agg(F.count("*").alias("features"), F.sort_array(F.collect_list("p")).alias("ps"))
+    parts = placed.groupBy("x", "y").agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = placed.join(parts, ["x", "y"]).withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int"))
+    counted = dealt.groupBy("x", "y", "part").agg(F.count("*").alias("features"), F.sort_array(F.collect_list("p")).alias("ps"))
 
     @F.pandas_udf("binary")
     def encode(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: encode_tile(layer, [(int(p["id"]), int(p["px"]), int(p["py"])) for p in r], extent))
 
-    whole = F.when(F.col("features") > most, F.raise_error(F.lit("too many points in a tile")).cast("array<struct<id:bigint,px:int,py:int>>")).otherwise(F.col("ps"))
-    return counted.select("x", "y", "features", encode(whole).alias("tile"))
+    return counted.select("x", "y", "part", "features", encode("ps").alias("tile"))
 
 
 def raster_slope(grid: list[list[float]], step: float, row: int, column: int) -> float:

@@ -117,8 +117,8 @@ def insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cte_data_modifying(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH gone AS (DELETE ... RETURNING *) SELECT ... FROM gone: the returned rows feed the query, the rest is the new table."""
     left, gone = changes.returning(read(spark, sf_dir, "orders"), F.col("o_totalprice") > 300000)
-    rest = materialize(left, "orders-left").agg(F.count("*").alias("rest"))
-    return gone.agg(F.count("*").alias("deleted"), F.round(F.sum("o_totalprice"), 2).alias("total")).crossJoin(rest)  # one row each
+    both = gone.select(F.lit(True).alias("gone"), "o_totalprice").unionByName(left.select(F.lit(False).alias("gone"), "o_totalprice"))
+    return both.agg(F.count(F.when(F.col("gone"), 1)).alias("deleted"), F.round(F.sum(F.when(F.col("gone"), F.col("o_totalprice"))), 2).alias("total"), F.count(F.when(~F.col("gone"), 1)).alias("rest"))
 
 
 @register("SELECT s_suppkey, round(s_acctbal * 1.1, 4) AS s_acctbal FROM supplier WHERE s_nationkey < 5")
@@ -195,7 +195,7 @@ def spatial_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT CAST(floor((lon + 180) / 360 * 16) AS INT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16) AS INT) AS y, count(*) AS features FROM ({PLACE.format('c_custkey', 'customer')}) GROUP BY ALL")
 def spatial_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spatial.tiles(_places(spark, sf_dir, "customer", "c_custkey"), "c_custkey", 4)
-    return found.filter(F.length("tile") > 0).select("x", "y", "features")
+    return found.filter(F.length("tile") > 0).groupBy("x", "y").agg(F.sum("features").alias("features"))
 
 
 @register(f"SELECT c_custkey, round({METRES}, 3) AS metres FROM ({PLACE.format('c_custkey', 'customer')}) b, (SELECT -20.0 AS lon, 35.0 AS lat) a ORDER BY metres, c_custkey LIMIT 3")
@@ -217,10 +217,19 @@ def spatial_zonal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "region").select("r_regionkey", spatial.zonal_mean(grid, 0.0, 0.0, 1.0, zone).alias("mean"))
 
 
-@register("SELECT * FROM (VALUES ('a', 'a', 0.0::DOUBLE), ('a', 'd', 4.0), ('b', 'a', 1.0), ('b', 'd', 3.0)) t(start, stop, cost)")
+@register("""
+WITH k AS (SELECT c_custkey AS k, 1 + c_custkey % 4 AS cost FROM customer WHERE c_custkey < (SELECT max(c_custkey) FROM customer)), ends AS (SELECT c_custkey AS node, coalesce((SELECT sum(cost) FROM k WHERE k < c_custkey), 0) AS at FROM customer)
+SELECT s.node AS start, e.node, abs(s.at - e.at)::DOUBLE AS cost FROM ends s, ends e WHERE s.node IN (1, 7, 12) AND abs(s.at - e.at) <= 40
+""")
 def spatial_travel_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roads = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 2.0), ("a", "d", 9.0)]
-    return spark.createDataFrame(spatial.travel_matrix(roads, ["a", "b"], ["a", "d"]), "start string, stop string, cost double")
+    """Costs along a road through all customers (and some longer ways round) from three of them, up to 40."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    top = c.agg(F.max("k")).first()[0]
+    near = c.filter(F.col("k").between(0, 60) & (F.col("k") < top))  # costs of one at least: nodes within 40 of the starts
+    line = near.select(F.col("k").alias("a"), (F.col("k") + 1).alias("b"), (1.0 + F.col("k") % 4).alias("cost"))
+    longer = near.filter(F.col("k") + 3 <= top).select(F.col("k").alias("a"), (F.col("k") + 3).alias("b"), F.lit(50.0).alias("cost"))
+    starts = spark.createDataFrame([(1,), (7,), (12,)], "start long")
+    return spatial.travel_times(line.unionByName(longer), starts).filter("cost <= 40")
 
 
 @register("SELECT CAST(sum(CAST(n_nationkey AS BIGINT)) AS BIGINT) AS total, 'even' AS kind FROM nation WHERE n_nationkey % 2 = 0")

@@ -219,3 +219,73 @@ def test_cover_density():
     places = [(1, "a", 0.1), (4, "b", 0.1), (5, "a", 1.0), (9, "c", 0.4)]
     assert fulltext._covers(places[:3], {"a", "b"}) == pytest.approx(2 / 20 / 3 + 2 / 11)
     assert fulltext._covers([p for p in places if p[1] != "b"], {"a", "c"}) == pytest.approx(2 / 3.5 / 4) and fulltext._covers([], {"z"}) == 0
+
+
+def read_tile(data):
+    """Layers of a vector tile, read field by field: name, extent and (id, x, y) of the points."""
+
+    def varint(b, at):
+        value, shift = 0, 0
+        while True:
+            value |= (b[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if b[at - 1] < 128:
+                return value, at
+
+    def fields(b):
+        at = 0
+        while at < len(b):
+            tag, at = varint(b, at)
+            if tag & 7 == 2:
+                size, at = varint(b, at)
+                yield tag >> 3, b[at : at + size]
+                at += size
+            else:
+                value, at = varint(b, at)
+                yield tag >> 3, value
+
+    layers = []
+    for _, layer in fields(bytes(data)):
+        own = list(fields(layer))
+        points = []
+        for _, feature in (f for f in own if f[0] == 2):
+            parts = dict(fields(feature))
+            numbers, at = [], 0
+            while at < len(parts[4]):
+                n, at = varint(parts[4], at)
+                numbers.append(n)
+            assert parts[3] == 1 and numbers[0] == 9
+            points.append((parts[1], *((n >> 1) ^ -(n & 1) for n in numbers[1:])))
+        layers.append((dict(own)[1].decode(), dict(own)[5], points))
+    return layers
+
+
+def test_tiles_read_back(spark):
+    from lodewright.operators import spatial
+
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.uniform(-180, 180)), float(rng.uniform(-80, 80))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double")
+    for most in (1000, 20):
+        got = {}
+        for r in spatial.tiles(df, "id", 2, most=most).collect():
+            for name, extent, points in read_tile(r["tile"]):
+                assert (name, extent, len(points)) == ("points", 4096, r["features"])
+                for i, x, y in points:
+                    got[i] = (r["x"], r["y"], x, y)
+        want = {}
+        for i, lon, lat in rows:
+            fx, fy = (lon + 180) / 360 * 4, (1 - math.log(math.tan(math.radians(lat)) + 1 / math.cos(math.radians(lat))) / math.pi) / 2 * 4
+            want[i] = (int(fx), int(fy), int((fx - int(fx)) * 4096), int((fy - int(fy)) * 4096))
+        assert got == want
+
+
+def test_travel_times_of_a_table(spark):
+    from lodewright.operators import spatial
+
+    rng = np.random.default_rng(4)
+    roads = [(f"n{a}", f"n{b}", float(c)) for a, b, c in zip(rng.integers(0, 40, 90), rng.integers(0, 40, 90), rng.integers(1, 20, 90), strict=True)]
+    found = spatial.travel_times(spark.createDataFrame(roads, "a string, b string, cost double"), spark.createDataFrame([("n0",), ("n5",)], "start string")).collect()
+    for start in ("n0", "n5"):
+        want = {n: c for n, (c, _) in spatial.shortest_paths(roads, start).items()}
+        assert {r["node"]: r["cost"] for r in found if r["start"] == start} == want
