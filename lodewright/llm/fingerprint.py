@@ -148,7 +148,7 @@ def following(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     tie = F.xxhash64(*(value(c) for c in carried))
     # of rows that share the head's order the one that comes first by the tie closes the range before
     heading = ranged.join(closing, value(order).eqNullSafe(F.col("head"))).groupBy("closes").agg(F.min_by("row", tie).alias("row")).select("row", F.col("closes").alias("range"))
-    every = ranged.withColumn("closer", F.lit(False)).unionByName(heading.withColumn("closer", F.lit(True)))
+    every = ranged.withColumn("closer", F.lit(False)).unionByName(heading.withColumn("closer", F.lit(True))).repartition(ranges, "range")  # as many tasks as ranges, about
     window = Window.partitionBy("range").orderBy("closer", value(order).desc_nulls_last(), tie)
     led = every.select("row", "closer", *(F.lead(value(c)).over(window).alias(f"next_{c}") for c in carried))
     return led.filter("NOT closer").select("row.*", *(f"next_{c}" for c in carried))
