@@ -6,8 +6,9 @@ state machine runs over a static log (``replay``) and inside a stream (``stream`
 
 from __future__ import annotations
 
+import heapq
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,49 +17,85 @@ from pyspark.sql import functions as F
 MAX_ATTEMPTS = 16
 
 
+def _told(m: tuple) -> dict:
+    return dict(zip(("seq", "payload", "at", "attempts", "max"), m, strict=True))
+
+
+def _kept(m: dict) -> tuple:
+    return m["seq"], m["payload"], m["at"], m["attempts"], m["max"]
+
+
 @dataclass
 class Queue:
-    """One queue as one consumer group sees it. Sequences start at 0 and are never used again."""
+    """One queue as one consumer group sees it. Sequences start at 0 and are never used again.
+
+    Ready messages are (seq, payload, at, attempts, max) in two heaps by sequence: those
+    delivered before and fresh ones. ``ends`` is a heap of (until, seq), in which entries of
+    messages that are not in flight until then are passed over. So an operation costs the
+    messages it moves, not those that wait.
+    """
 
     next_seq: int = 0
-    ready: list = field(default_factory=list)
+    again: list = field(default_factory=list)
+    fresh: list = field(default_factory=list)
     flying: dict = field(default_factory=dict)
+    ends: list = field(default_factory=list)
     settled: int = 0
     dead: list = field(default_factory=list)
     keys: dict = field(default_factory=dict)
 
+    @property
+    def ready(self) -> list[dict]:
+        """Messages in the order of delivery."""
+        return [_told(m) for m in (*sorted(self.again), *sorted(self.fresh))]
+
+    def state(self) -> dict:
+        """What JSON can hold."""
+        return {"next_seq": self.next_seq, "ready": self.ready, "flying": self.flying, "settled": self.settled, "dead": self.dead, "keys": self.keys}
+
+    @classmethod
+    def of(cls, state: dict) -> Queue:
+        queue = cls(**{k: v for k, v in state.items() if k != "ready"})
+        for m in state["ready"]:
+            queue._back(m)
+        queue.ends = sorted((m["until"], m["seq"]) for m in queue.flying.values())
+        return queue
+
+    def _back(self, m: dict) -> None:
+        heapq.heappush(self.again if m["attempts"] else self.fresh, _kept(m))
+
     def publish(self, payload: str, now: int, key: str | None = None, delay: int = 0, max_attempts: int = MAX_ATTEMPTS) -> int:
         """The sequence; an idempotency key that was seen gives its first one."""
         if key is not None and key in self.keys:
             return self.keys[key]
         seq = self.next_seq
         self.next_seq += 1
-        self.ready.append({"seq": seq, "payload": payload, "at": now + delay, "attempts": 0, "max": max_attempts})
+        heapq.heappush(self.fresh, (seq, payload, now + delay, 0, max_attempts))
         if key is not None:
             self.keys[key] = seq
         return seq
 
     def expire(self, now: int) -> None:
         """Messages whose visibility ran out go back, before fresh ones and in sequence."""
-        late = [m for m in self.flying.values() if m["until"] <= now]
-        for m in late:
-            del self.flying[str(m["seq"])]
-        self.ready = sorted([*late, *self.ready], key=lambda m: (m["attempts"] == 0, m["seq"]))
+        while self.ends and self.ends[0][0] <= now:
+            until, seq = heapq.heappop(self.ends)
+            if self.flying.get(str(seq), {}).get("until") == until:
+                self._back(self.flying.pop(str(seq)))
 
     def consume(self, worker: str, now: int, batch: int = 1, visibility: int = 30) -> list[dict]:
         """Up to ``batch`` messages; a delayed head holds fresh ones back, and one delivered too often is dead."""
         self.expire(now)
         out = []
-        while self.ready and len(out) < batch:
-            m = self.ready[0]
-            if m["at"] > now:
+        while (heap := self.again or self.fresh) and len(out) < batch:
+            if heap[0][2] > now:
                 break
-            self.ready.pop(0)
+            m = _told(heapq.heappop(heap))
             if m["attempts"] >= m["max"]:
                 self.dead.append(m)
                 continue
             m = {**m, "attempts": m["attempts"] + 1, "worker": worker, "until": now + visibility}
             self.flying[str(m["seq"])] = m
+            heapq.heappush(self.ends, (m["until"], m["seq"]))
             out.append(m)
         return out
 
@@ -77,32 +114,34 @@ class Queue:
             raise ValueError(f"message {seq} is not held by {worker}")
         m = self.flying.pop(str(seq))
         m["at"] = now + delay
-        self.ready = sorted([m, *self.ready], key=lambda x: (x["attempts"] == 0, x["seq"]))
+        self._back(m)
 
     def redrive(self, now: int) -> list[int]:
         """Dead letters start anew, each once: their sequences."""
         found = [m["seq"] for m in self.dead]
-        self.ready = sorted([*({**m, "attempts": 0, "at": now} for m in self.dead), *self.ready], key=lambda m: (m["attempts"] == 0, m["seq"]))
+        for m in self.dead:
+            self._back({**m, "attempts": 0, "at": now})
         self.dead = []
         return found
 
     def purge(self) -> list[int]:
         """Drop what is ready: the sequences."""
-        found = [m["seq"] for m in self.ready]
-        self.ready = []
+        found = [m[0] for m in (*sorted(self.again), *sorted(self.fresh))]
+        self.again, self.fresh = [], []
         return found
 
     def trim(self, most: int | None = None, oldest: int | None = None) -> list[int]:
         """Drop ready messages beyond a number or older than a time; what is in flight stays. The sequences dropped."""
-        before = {m["seq"] for m in self.ready}
+        gone = []
         if oldest is not None:
-            self.ready = [m for m in self.ready if m["at"] >= oldest]
-        if most is not None and len(self.ready) > most:
-            self.ready = sorted(self.ready, key=lambda m: m["seq"])[-most:] if most else []
-        return sorted(before - {m["seq"] for m in self.ready})
+            gone = [m[0] for m in (*self.again, *self.fresh) if m[2] < oldest]
+            self.again, self.fresh = (sorted(m for m in heap if m[2] >= oldest) for heap in (self.again, self.fresh))
+        while most is not None and len(self.again) + len(self.fresh) > most:
+            gone.append(heapq.heappop(min((heap for heap in (self.again, self.fresh) if heap), key=lambda heap: heap[0][0]))[0])
+        return sorted(gone)
 
     def stats(self) -> dict:
-        return {"ready": len(self.ready), "in_flight": len(self.flying), "settled": self.settled, "dead": len(self.dead), "next_seq": self.next_seq}
+        return {"ready": len(self.again) + len(self.fresh), "in_flight": len(self.flying), "settled": self.settled, "dead": len(self.dead), "next_seq": self.next_seq}
 
     def apply(self, op: dict) -> list[dict]:
         """One row of the log: op, now, worker, seq, payload, key, delay, batch. redrive, purge and trim (to ``batch`` messages) name what they move."""
@@ -164,10 +203,10 @@ def stream(log: DataFrame) -> DataFrame:
     """The same over a stream: the state of each (queue, consumer) is kept between batches."""
 
     def fold(key, batches, state):
-        queue = Queue(**json.loads(state.get[0])) if state.exists else Queue()
+        queue = Queue.of(json.loads(state.get[0])) if state.exists else Queue()
         ops = pd.concat(list(batches)).sort_values("offset")
         out = _rows(queue, ops, key)
-        state.update((json.dumps(asdict(queue)),))
+        state.update((json.dumps(queue.state()),))
         yield out
 
     return log.groupBy("queue", "consumer").applyInPandasWithState(fold, RESULT, "state string", "append", "NoTimeout")

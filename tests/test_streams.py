@@ -1,3 +1,7 @@
+import json
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +40,71 @@ def test_dead_letters_and_retention():
     assert [len(q.trim(most=3)), len(q.trim(oldest=63)), len(q.purge())] == [2, 1, 2]
 
 
+class Plain(broker.Queue):
+    """The rules as sorts of one list."""
+
+    def at_hand(self):
+        return sorted(self.held, key=lambda m: (m["attempts"] == 0, m["seq"]))
+
+    def run(self, kind, now, seq, worker, batch):
+        late = [m for m in self.out if m["until"] <= now] if kind in ("consume", "ack") else []
+        self.out = [m for m in self.out if m not in late]
+        self.held += late
+        if kind == "publish":
+            self.held.append({"seq": self.next_seq, "at": now + seq % 3, "attempts": 0})
+            self.next_seq += 1
+            return [self.next_seq - 1]
+        if kind == "consume":
+            given = []
+            for m in self.at_hand():
+                if len(given) == batch or m["at"] > now:
+                    break
+                self.held.remove(m)
+                if m["attempts"] >= broker.MAX_ATTEMPTS:
+                    self.dead.append(m)
+                else:
+                    given.append({**m, "attempts": m["attempts"] + 1, "until": now + 4, "worker": worker})
+            self.out += given
+            return [m["seq"] for m in given]
+        if kind == "trim":
+            gone = sorted(self.held, key=lambda m: m["seq"])[: max(0, len(self.held) - batch * 9)]
+            self.held = [m for m in self.held if m not in gone]
+            return [m["seq"] for m in gone]
+        if kind == "redrive":
+            back, self.dead = self.dead, []
+            self.held += [{**m, "attempts": 0, "at": now} for m in back]
+            return [m["seq"] for m in back]
+        own = [m for m in self.out if m["seq"] == seq and m["worker"] == worker]
+        self.out = [m for m in self.out if m not in own]
+        self.held += [{**m, "at": now + 2} for m in own] if kind == "nack" else []
+        return [m["seq"] for m in own]
+
+
+def test_queue_is_held_against_sorted_lists():
+    draw = random.Random(5)
+    q, plain = broker.Queue(), Plain()
+    plain.held, plain.out = [], []
+    for now in range(4_000):
+        kind = draw.choice(["publish"] * 4 + ["consume"] * 6 + ["ack", "nack"] + ["trim", "redrive"] * (now % 97 == 0))
+        seq, worker, batch = max(0, q.next_seq - draw.randrange(30)), draw.choice("vw"), draw.randrange(1, 4)
+        op = {"op": kind, "now": now, "worker": worker, "seq": seq, "payload": "", "delay": {"publish": seq % 3, "consume": 4, "nack": 2}.get(kind), "batch": batch * 9 if kind == "trim" else batch}
+        got = [e["seq"] for e in q.apply(op) if e["event"] not in ("refused", "dead")]
+        assert got == plain.run(kind, now, seq, worker, batch)
+        assert [m["seq"] for m in q.ready] == [m["seq"] for m in plain.at_hand()] and len(q.dead) == len(plain.dead)
+        q = broker.Queue.of(json.loads(json.dumps(q.state())))
+
+
+def test_an_operation_costs_what_it_moves():
+    q = broker.Queue()
+    begun = time.monotonic()
+    for i in range(60_000):
+        q.publish("x", i)
+    for i in range(60_000):
+        q.consume("w", 60_000 + i, visibility=5)
+        q.expire(60_000 + i)
+    assert time.monotonic() - begun < 20 and q.next_seq == 60_000
+
+
 def log(spark):
     ops = [("q", "g", 0, "publish", 0, None, None, "a"), ("q", "g", 1, "publish", 1, None, None, "b"), ("q", "g", 2, "consume", 2, "w", None, None), ("q", "g", 3, "ack", 3, "w", 0, None), ("q", "g", 4, "ack", 4, "v", 1, None), ("p", "g", 0, "publish", 0, None, None, "z")]
     return spark.createDataFrame([(*o, None, None, 2) for o in ops], "queue string, consumer string, offset long, op string, now long, worker string, seq long, payload string, key string, delay long, batch long")
