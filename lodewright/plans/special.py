@@ -496,6 +496,6 @@ m AS (SELECT *, coalesce(lag(inside) OVER (PARTITION BY asset, fence ORDER BY "a
 SELECT asset, fence, "at", CASE WHEN inside AND NOT before THEN 'enter' WHEN inside THEN 'dwell' ELSE 'exit' END AS event, CASE WHEN inside AND NOT before THEN 0 ELSE "at" - since END AS seconds FROM e WHERE inside OR before
 """)
 def geofence_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("asset"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("x"), F.lit(0.0).alias("y"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("asset"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), F.col("value").alias("x"), F.lit(0.0).alias("y"))
     fences = spark.createDataFrame([("low", 0.0, -1.0, 40.0, 1.0), ("mid", 30.0, -1.0, 70.0, 1.0)], "fence string, x0 double, y0 double, x1 double, y1 double")
     return geofence.transitions(e, fences)

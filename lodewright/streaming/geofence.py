@@ -13,17 +13,18 @@ def _inside(x: str, y: str) -> Column:
 
 
 def transitions(points: DataFrame, fences: DataFrame) -> DataFrame:
-    """asset, fence, at, event, seconds. points: asset, at (seconds), x, y; fences: fence, x0, y0, x1, y1.
+    """asset, fence, at, event, seconds. points: asset, at (seconds), x, y and perhaps seq; fences: fence, x0, y0, x1, y1.
 
     Enter at the first point inside, dwell (seconds since) at later ones, exit (seconds)
     at the first outside. Points and fences meet in grid cells as large as the largest
-    fence, a point in its own cell and in that of the point before it.
+    fence, a point in its own cell and in that of the point before it. Points of one second follow ``seq`` (without it, x and y).
     """
+    order = ["at", *(["seq"] if "seq" in points.columns else []), "x", "y"]
     widest = fences.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 0.0
     g = float(widest) or 1.0
     at = lambda x, y: F.struct(F.floor(x / g).alias("i"), F.floor(y / g).alias("j"))
-    w = Window.partitionBy("asset").orderBy("at")
-    moved = points.select("asset", "at", "x", "y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"))
+    w = Window.partitionBy("asset").orderBy(*order)
+    moved = points.select("asset", *order, F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"))
     here, there = at(F.col("x"), F.col("y")), at(F.col("px"), F.col("py"))
     cells = F.explode(F.when(F.col("px").isNull(), F.array(here)).otherwise(F.array_distinct(F.array(here, there))))
     span = lambda low, high: F.sequence(F.floor(F.col(low) / g), F.floor(F.col(high) / g))
@@ -32,7 +33,7 @@ def transitions(points: DataFrame, fences: DataFrame) -> DataFrame:
     own = here["i"].between(F.floor(F.col("x0") / g), F.floor(F.col("x1") / g)) & here["j"].between(F.floor(F.col("y0") / g), F.floor(F.col("y1") / g))
     once = pairs.filter((F.col("cell") == here) | ~own)  # a fence in both cells counts in the point's own
     marked = once.withColumns({"inside": _inside("x", "y"), "before": _inside("px", "py")}).filter("inside OR before")
-    since = F.last(F.when(F.col("inside") & ~F.col("before"), F.col("at")), ignorenulls=True).over(Window.partitionBy("asset", "fence").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    since = F.last(F.when(F.col("inside") & ~F.col("before"), F.col("at")), ignorenulls=True).over(Window.partitionBy("asset", "fence").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     event = F.when(F.col("inside") & ~F.col("before"), "enter").when(F.col("inside"), "dwell").otherwise("exit")
     found = marked.select("asset", "fence", "at", event.alias("event"), (F.col("at") - since).alias("seconds"))
     return found.withColumn("seconds", F.when(F.col("event") == "enter", 0).otherwise(F.col("seconds")).cast("long"))

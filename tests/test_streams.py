@@ -122,6 +122,16 @@ def test_broker_replay_and_stream(spark, tmp_path):
     assert rows(broker.group_info(broker.replay(log(spark))).select("queue", "published", "acked", "lag"), "queue") == [("p", 1, 0, 1), ("q", 2, 1, 1)]
 
 
+def test_points_of_one_second_follow_their_sequence(spark):
+    """Several assets, each outside, inside and outside again within one second, in shuffled rows."""
+    points = [(f"a{i}", 5, n, x, 0.0) for i in range(40) for n, x in enumerate((9.0, 1.0, 2.0, -3.0, 4.0))]
+    random.Random(1).shuffle(points)
+    df = spark.createDataFrame(points, "asset string, at long, seq long, x double, y double").repartition(4)
+    fences = spark.createDataFrame([("campus", 0.0, -5.0, 5.0, 5.0)], "fence string, x0 double, y0 double, x1 double, y1 double")
+    want = sorted((f"a{i}", 5, event, 0) for i in range(40) for event in ("enter", "dwell", "exit", "enter"))
+    assert rows(geofence.transitions(df, fences).select("asset", "at", "event", "seconds"), "asset", "at", "event") == want
+
+
 def test_geofences_in_batch_and_stream(spark, tmp_path):
     points = spark.createDataFrame([("m", 0, -1.0, 0.0), ("m", 10, 1.0, 0.0), ("m", 25, 2.0, 0.0), ("m", 40, 9.0, 0.0)], "asset string, at long, x double, y double")
     want = [("m", "campus", 10, "enter", 0), ("m", "campus", 25, "dwell", 15), ("m", "campus", 40, "exit", 30)]
