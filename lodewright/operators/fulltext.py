@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewright.storage import kept_table
+from lodewright.storage import bytes_of, kept_table
 
 #: Words that the english configuration leaves out.
 STOP = (
@@ -22,6 +22,8 @@ STOP = (
 ).split()
 WORD = r"[\p{L}\p{N}_]+"
 K1, B = 1.2, 0.75
+#: Bytes of a table's files that one task indexes.
+LANE_BYTES = 8 << 20
 #: Boosts of the fields D, C, B, A for BM25F, and weights of the labels for rank.
 BOOSTS = {"D": 1.0, "C": 1.5, "B": 2.0, "A": 3.0}
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
@@ -81,16 +83,43 @@ def _stemmed(c: str) -> Column:
     return run(F.col(c))
 
 
+def _lanes(docs: DataFrame) -> int:
+    """Parts that each hold LANE_BYTES of the files of ``docs``; rows that come from no file go by the session."""
+    spark = docs.sparkSession
+    if not docs.inputFiles():
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, -(-bytes_of(docs) // LANE_BYTES))
+
+
 def postings(docs: DataFrame, ident: str, fields: dict[str, str] | str, config: str = "simple") -> DataFrame:
-    """doc, term, weight (field label), tf, positions. fields: column by label D, C, B, A, or one column (D)."""
+    """doc, term, weight (field label), tf, positions. fields: column by label D, C, B, A, or one column (D).
+
+    Tokens are sorted and grouped within a row, so that no token is shuffled by itself.
+    Texts of one id meet before that; where words are stemmed, the postings of an id meet.
+    """
     named = {"D": fields} if isinstance(fields, str) else fields
-    found = None
-    for label, column in named.items():
-        rows = docs.select(F.col(ident).alias("doc"), F.lit(label).alias("weight"), F.posexplode(tokens(F.col(column))).alias("pos", "term"))
-        found = rows if found is None else found.unionByName(rows)
+    lanes = _lanes(docs)
+    rows = docs.select(F.col(ident).alias("doc"), *(F.col(column).alias(label) for label, column in named.items()))
+    if config == "english":
+        rows = rows.select("doc", *(F.array_compact(F.array(label)).alias(label) for label in named))
+    else:
+        rows = rows.repartition(lanes, "doc").groupBy("doc").agg(*(F.collect_list(label).alias(label) for label in named))
+
+    def places(label: str) -> Column:
+        one = lambda t: F.transform(tokens(t), lambda w, i: F.struct(w.alias("term"), F.lit(label).alias("weight"), (i + 1).alias("pos")))
+        return F.flatten(F.transform(label, one))
+
+    key = lambda i: F.struct(F.get("s", i)["term"], F.get("s", i)["weight"])
+    n = F.size("s")
+    listed = rows.select("doc", F.sort_array(F.concat(*(places(label) for label in named))).alias("s"))
+    begun = listed.select("doc", "s", F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (key(i) != key(i - 1))).alias("b"))
+    own = lambda x, j: F.transform(F.sequence(x, F.coalesce(F.get("b", j + 1), n) - 1), lambda i: F.get("s", i)["pos"])
+    found = begun.select("doc", F.explode(F.transform("b", lambda x, j: F.struct(F.get("s", x)["term"].alias("term"), F.get("s", x)["weight"].alias("weight"), own(x, j).alias("positions")))).alias("p"))
+    found = found.select("doc", "p.term", "p.weight", F.size("p.positions").cast("long").alias("tf"), "p.positions")
     if config == "english":
-        found = found.filter(~F.col("term").isin(STOP)).withColumn("term", _stemmed("term"))
-    return found.groupBy("doc", "term", "weight").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+        stemmed = found.filter(~F.col("term").isin(STOP)).withColumn("term", _stemmed("term")).repartition(lanes, "doc")
+        found = stemmed.groupBy("doc", "term", "weight").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return found
 
 
 def setweight(posted: DataFrame, label: str) -> DataFrame:
@@ -103,7 +132,7 @@ def setweight(posted: DataFrame, label: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Written postings, sorted by term, so that a query reads its terms' row groups only, and the lengths of documents (doc, weight, len, uniq)."""
+    """Written postings, each file of some documents sorted by term, so that a query reads its terms' pages only, and the lengths of documents (doc, weight, len, uniq)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -113,9 +142,8 @@ def index(docs: DataFrame, ident: str, fields: dict[str, str] | str, config: str
     """An index over ``docs``, built once for the files that they are read from."""
     spark = docs.sparkSession
     name = re.sub(r"\W+", "-", f"fts-{ident}-{fields}-{config}")
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = kept_table(spark, name, docs, lambda: postings(docs, ident, fields, config).repartitionByRange(lanes, "term").sortWithinPartitions("term", "doc"))
-    lengths = kept_table(spark, f"{name}-lengths", docs, lambda: posted.groupBy("doc", "weight").agg(F.sum("tf").alias("len"), F.countDistinct("term").alias("uniq")))
+    posted = kept_table(spark, name, docs, lambda: postings(docs, ident, fields, config).sortWithinPartitions("term", "doc"))
+    lengths = kept_table(spark, f"{name}-lengths", docs, lambda: posted.groupBy("doc", "weight").agg(F.sum("tf").alias("len"), F.count("*").alias("uniq")))
     return Index(posted, lengths)
 
 

@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 import json
 
 import pytest
@@ -235,3 +236,20 @@ def test_hashed_search_sends_no_pairs_and_holds_against_codes(spark):
     assert {(r["query"], r["i"], r["score"], r["rank"]) for r in found.collect()} == want and len(want) > 150
     with pytest.raises(Exception, match="vector dimensions differ"):
         vectors.lsh_top_k(v.union(spark.createDataFrame([(999, [1.0])], v.schema)), asked, "i", "v", "i", "v", 4, 8).collect()
+
+
+@pytest.mark.parametrize("config", ["simple", "english"])
+def test_postings_group_tokens_within_rows(spark, config):
+    """Repeated, missing and null ids and texts, two fields; tokens are not shuffled one by one."""
+    texts = [(1, "The foxes, the FOX", "a fox"), (1, "fox again", None), (2, None, "foxes"), (None, "x fox", ""), (3, "", "!"), (4, "b " * 500 + "a", "b")]
+    posted = fulltext.postings(spark.createDataFrame(texts, "i long, t string, h string"), "i", {"D": "t", "A": "h"}, config)
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc, term" not in plan and "hashpartitioning(doc" in plan
+    want = collections.defaultdict(list)
+    for doc, *own in texts:
+        for label, text in zip("DA", own, strict=True):
+            for n, w in enumerate(re.findall(r"\w+", (text or "").lower()), 1):
+                if config == "simple" or w not in fulltext.STOP:
+                    want[doc, fulltext.stem(w) if config == "english" else w, label].append(n)
+    got = posted.collect()
+    assert {(r["doc"], r["term"], r["weight"]): (r["tf"], r["positions"]) for r in got} == {k: (len(v), sorted(v)) for k, v in want.items()} and len(got) == len(want)
