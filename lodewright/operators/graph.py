@@ -24,20 +24,27 @@ def label_of(field: str) -> str:
 
 @dataclass
 class Graph:
+    """``links`` may hold the edges as they were read, some of them more than once: walks need no distinct ones."""
+
     nodes: DataFrame
     edges: DataFrame
+    links: DataFrame | None = None
+
+    def _walked(self) -> DataFrame:
+        return self.edges if self.links is None else self.links
 
     def neighbors(self, node: str) -> DataFrame:
         """id of every node one edge away, either way, sorted."""
-        out = self.edges.filter(F.col("source") == node).select(F.col("target").alias("id"))
-        back = self.edges.filter(F.col("target") == node).select(F.col("source").alias("id"))
+        out = self._walked().filter(F.col("source") == node).select(F.col("target").alias("id"))
+        back = self._walked().filter(F.col("target") == node).select(F.col("source").alias("id"))
         return out.unionByName(back).distinct().orderBy("id")
 
     def path(self, start: str, end: str, depth: int) -> list[str]:
         """A shortest path of at most ``depth`` edges, either way; empty without one. Frontiers stay in the cluster."""
         if not self.nodes.filter(F.col("id") == start).limit(1).count():
             return []
-        both = self.edges.select("source", "target").unionByName(self.edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        edges = self._walked()
+        both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
         reached = self.nodes.filter(F.col("id") == start).select("id", F.array("id").alias("path")).limit(1)
         frontier = reached
         for step in range(depth + 1):
@@ -55,7 +62,7 @@ class Graph:
 
     def traverse(self, start: str, label: str | None, depth: int) -> DataFrame:
         """id, depth of nodes reached along edges of a label; the start itself at depth 0 only if no step is taken."""
-        edges = self.edges.filter(F.col("label") == label) if label else self.edges
+        edges = self._walked().filter(F.col("label") == label) if label else self._walked()
         if depth == 0:
             return self.nodes.filter(F.col("id") == start).select("id", F.lit(0).alias("depth")).limit(1)
         frontier, reached = None, None
@@ -80,17 +87,22 @@ class Graph:
         return found
 
 
+def _distinct(df: DataFrame) -> DataFrame:
+    """Distinct rows by as many tasks as the session shuffles to: a fixed number is not merged into fewer, larger ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns).distinct()
+
+
 def build(nodes: list[tuple[DataFrame, str, str]], edges: list[tuple[DataFrame, str, str, str, str, str]]) -> Graph:
     """nodes: (rows, id column, label); edges: (rows, source column, source label, target column, target label, edge label). Ends without a node get one."""
-    made = None
+    made, ends, linked = None, None, None
     for rows, ident, label in nodes:
-        part = rows.select(node_id(label, F.col(ident)).alias("id"), F.lit(label).alias("label"))
+        part = _distinct(rows.select(ident)).select(node_id(label, F.col(ident)).alias("id"), F.lit(label).alias("label"))
         made = part if made is None else made.unionByName(part)
-    linked = None
     for rows, source, source_label, target, target_label, label in edges:
         kept = rows.filter(F.col(source).isNotNull() & F.col(target).isNotNull())
         part = kept.select(node_id(source_label, F.col(source)).alias("source"), node_id(target_label, F.col(target)).alias("target"), F.lit(label).alias("label"))
         linked = part if linked is None else linked.unionByName(part)
-    linked = linked.distinct()
-    ends = linked.select(F.explode(F.array("source", "target")).alias("id")).select("id", F.substring_index("id", ":", 1).alias("label"))
-    return Graph((made.unionByName(ends) if made is not None else ends).distinct(), linked)
+        for column, of in ((source, source_label), (target, target_label)):  # one id of the rows' own type, before it becomes text
+            end = _distinct(kept.select(column)).select(node_id(of, F.col(column)).alias("id")).select("id", F.substring_index("id", ":", 1).alias("label"))
+            ends = end if ends is None else ends.unionByName(end)
+    return Graph(_distinct(made.unionByName(ends) if made is not None else ends), linked.distinct(), linked)
