@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodewright.operators import changes, cubes, fulltext, graph, hierarchy, spatial, temporal, vectors
 from lodewright.plans.catalog import register
 from lodewright.plans.scalars import read
-from lodewright.storage import shared_dir
+from lodewright.storage import materialize, shared_dir
 from lodewright.streaming import broker, events, geofence, live
 
 
@@ -159,7 +159,8 @@ def fts_setweight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT term, weight, n FROM (SELECT term, 'D' AS weight, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(html), '[\\p{L}\\p{N}_]+')) AS term FROM pages) GROUP BY term) ORDER BY n DESC, term LIMIT 20")
 def fts_page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of five terms each, every one from the last key of the page before, by falling document frequency."""
-    counted = fulltext.index(read(spark, sf_dir, "pages"), "page_id", "html").postings.groupBy("term", "weight").agg(F.countDistinct("doc").alias("n"))
+    counted = fulltext.index(read(spark, sf_dir, "pages"), "page_id", "html").postings.groupBy("term", "weight").agg(F.count("*").alias("n"))  # a posting is one document
+    counted = materialize(counted, "frequencies")
     found, last = None, None
     for _ in range(4):
         rest = counted if last is None else counted.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("term") > last["term"])))
