@@ -169,11 +169,12 @@ def intersection(*sets: DataFrame) -> DataFrame:
 
 
 def members(bits: DataFrame) -> DataFrame:
-    """doc of each bit that is set (buckets below one hold ids below one, downwards)."""
-    byte = lambda i: F.conv(F.hex(F.substring("bits", i, F.lit(1))), 16, 10).cast("int")
-    held = lambda i: F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.floor(byte(i) / F.pow(F.lit(2), k)) % 2 == 1)
-    places = F.flatten(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.transform(held(i), lambda k: (i - 1) * 8 + k)))
-    each = bits.select("bucket", F.explode(places).alias("at"))
+    """doc of each bit that is set (buckets below one hold ids below one, downwards). Pieces of 64 bytes, then bytes without a bit are left out before bits are looked at."""
+    part = lambda whole, size, empty: F.explode(F.filter(F.transform(F.sequence(F.lit(0), (F.length(whole) / size).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substring(whole, i * size + 1, F.lit(size)).alias("own"))), lambda x: x["own"] != F.lit(empty)))
+    pieces = bits.select("bucket", part("bits", 64, bytes(64)).alias("piece"))
+    held = pieces.select("bucket", F.col("piece.i").alias("at"), part("piece.own", 1, bytes(1)).alias("byte"))
+    values = held.select("bucket", (F.col("at") * 64 + F.col("byte.i")).alias("place"), F.conv(F.hex("byte.own"), 16, 10).cast("int").alias("value"))
+    each = values.select("bucket", "place", "value", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).filter(F.expr("shiftright(value, k)") % 2 == 1).select("bucket", (F.col("place") * 8 + F.col("k")).alias("at"))
     return each.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("at") + 1).otherwise(F.col("bucket") * 32768 - F.col("at")).alias("doc"))
 
 
