@@ -471,11 +471,17 @@ def cell(lon, lat, degrees: float) -> Column:
     return F.concat_ws(":", F.floor(col(lon) / degrees), F.floor(col(lat) / degrees))
 
 
+#: Pairs of a cell that one task compares.
+PAIRS = 4_000_000
+
+
 def within_distance_join(a: DataFrame, b: DataFrame, ident_a: str, ident_b: str, distance: float) -> DataFrame:
     """Pairs of points (lon, lat) no more than ``distance`` metres apart: equal grid cells meet, neighbours are sent along.
 
     Rows are as high as the distance; a row's columns are at least as wide as it reaches at
     the row's edge that is nearer the pole, and the last meets the first at 180 degrees.
+    Cells with more than PAIRS pairs are dealt to several tasks, and the number of tasks
+    follows the pairs, since a few bytes of points can make many pairs.
     """
     high = math.degrees(distance / RADIUS)
     row = F.floor(F.col("lat") / high)
@@ -487,8 +493,17 @@ def within_distance_join(a: DataFrame, b: DataFrame, ident_a: str, ident_b: str,
     left = left.withColumn("c", F.explode(F.array_distinct(F.array(*(F.pmod(column("ax", F.col("r")) + k, columns(F.col("r"))) for k in (-1, 0, 1))))))
     right = b.select(F.col(ident_b).alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), row.alias("r"))
     right = right.withColumn("c", column("bx", F.col("r")))
-    found = left.join(right, ["r", "c"]).withColumn("metres", metres("ax", "ay", "bx", "by"))
-    return found.filter(F.col("metres") <= distance).select("a", "b", "metres").dropDuplicates(["a", "b"])
+    number = lambda df, n: df.groupBy("r", "c").agg(F.count("*").alias(n))
+    met = number(left, "n").join(number(right, "m"), ["r", "c"]).select("r", "c", (F.col("n").cast("double") * F.col("m") / PAIRS).alias("parts"))
+    most = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = min(max(most, math.ceil(met.agg(F.sum("parts")).first()[0] or 0)), 50 * most)  # one row
+    hot = met.filter("parts > 1").select("r", "c", F.ceil("parts").cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(hot, ["r", "c"], "left").withColumn("part", F.pmod(F.xxhash64("a", "ax", "ay"), parts).cast("int")).drop("parts")
+    right = right.join(hot, ["r", "c"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    keys = ["r", "c", "part"]
+    found = left.repartition(lanes, *keys).join(right.repartition(lanes, *keys), keys).withColumn("metres", metres("ax", "ay", "bx", "by"))
+    return found.filter(F.col("metres") <= distance).select("a", "b", "metres")
 
 
 def spatial_join(points: DataFrame, areas: DataFrame, geom: str, degrees: float, name: str = "intersects") -> DataFrame:

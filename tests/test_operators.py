@@ -278,3 +278,15 @@ def test_page_cursor_counts_frequencies_once(spark, sf):
     from lodewright.plans import catalog
 
     assert all("frequencies" in f for f in catalog.queries()["fts_page_cursor"](spark, sf).inputFiles())
+
+
+def test_points_of_one_cell_are_dealt_to_tasks(spark, monkeypatch):
+    """One crowded place, repeated ids among its points; pairs are those of a plain loop, each once, from several tasks."""
+    monkeypatch.setattr(spatial, "PAIRS", 500)
+    a = [(i % 90, 8.0 + i * 1e-5, 50.0) for i in range(100)]
+    b = [(i, 8.0, 50.0 + i * 1e-5) for i in range(60)]
+    df = lambda rows, k: spark.createDataFrame(rows, f"{k} long, lon double, lat double")
+    got = spatial.within_distance_join(df(a, "i"), df(b, "j"), "i", "j", 50)
+    parts = got.withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((i, j) for i, x, y in a for j, u, v in b if spatial.haversine((x, y), (u, v)) <= 50)
+    assert sorted((r["a"], r["b"]) for r in parts) == want and len({r["task"] for r in parts}) > 2
