@@ -87,22 +87,17 @@ class Graph:
         return found
 
 
-def _distinct(df: DataFrame) -> DataFrame:
-    """Distinct rows by as many tasks as the session shuffles to: a fixed number is not merged into fewer, larger ones."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns).distinct()
-
-
 def build(nodes: list[tuple[DataFrame, str, str]], edges: list[tuple[DataFrame, str, str, str, str, str]]) -> Graph:
     """nodes: (rows, id column, label); edges: (rows, source column, source label, target column, target label, edge label). Ends without a node get one."""
     made, ends, linked = None, None, None
     for rows, ident, label in nodes:
-        part = _distinct(rows.select(ident)).select(node_id(label, F.col(ident)).alias("id"), F.lit(label).alias("label"))
+        part = rows.select(ident).distinct().select(node_id(label, F.col(ident)).alias("id"), F.lit(label).alias("label"))
         made = part if made is None else made.unionByName(part)
     for rows, source, source_label, target, target_label, label in edges:
         kept = rows.filter(F.col(source).isNotNull() & F.col(target).isNotNull())
         part = kept.select(node_id(source_label, F.col(source)).alias("source"), node_id(target_label, F.col(target)).alias("target"), F.lit(label).alias("label"))
         linked = part if linked is None else linked.unionByName(part)
         for column, of in ((source, source_label), (target, target_label)):  # one id of the rows' own type, before it becomes text
-            end = _distinct(kept.select(column)).select(node_id(of, F.col(column)).alias("id")).select("id", F.substring_index("id", ":", 1).alias("label"))
+            end = kept.select(column).distinct().select(node_id(of, F.col(column)).alias("id")).select("id", F.substring_index("id", ":", 1).alias("label"))
             ends = end if ends is None else ends.unionByName(end)
-    return Graph(_distinct(made.unionByName(ends) if made is not None else ends), linked.distinct(), linked)
+    return Graph((made.unionByName(ends) if made is not None else ends).distinct(), linked.distinct(), linked)
