@@ -6,12 +6,18 @@ that becomes joins over postings of its terms only. BM25 statistics cover all do
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lodewright.storage import bytes_of, kept_table
 
@@ -24,6 +30,8 @@ WORD = r"[\p{L}\p{N}_]+"
 K1, B = 1.2, 0.75
 #: Bytes of a table's files that one task indexes.
 LANE_BYTES = 8 << 20
+#: Bytes of words that a task groups at a time.
+BATCH_BYTES = 8 << 20
 #: Boosts of the fields D, C, B, A for BM25F, and weights of the labels for rank.
 BOOSTS = {"D": 1.0, "C": 1.5, "B": 2.0, "A": 3.0}
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
@@ -34,6 +42,7 @@ def _measure(stem: str) -> int:
     return form.count("VC")
 
 
+@functools.lru_cache(1 << 16)
 def stem(word: str) -> str:
     """A suffix stripper after Porter: plurals, -ed, -ing, -y and common endings."""
     if len(word) < 3 or not word.isascii():
@@ -74,15 +83,6 @@ def tokens(text: Column, config: str = "simple") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _stemmed(c: str) -> Column:
-    @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        known = {w: stem(w) for w in words.dropna().unique()}
-        return words.map(known)
-
-    return run(F.col(c))
-
-
 def _lanes(docs: DataFrame) -> int:
     """Parts that each hold LANE_BYTES of the files of ``docs``; rows that come from no file go by the session."""
     spark = docs.sparkSession
@@ -91,35 +91,60 @@ def _lanes(docs: DataFrame) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-bytes_of(docs) // LANE_BYTES))
 
 
+def _grouped(labels: list[str], config: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of batches of (doc, words of each text by label): words become numbers, and their places are sorted by document, number and label."""
+
+    def places(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of a label, the row of each and its place in its text."""
+        texts, n_texts = column.flatten(), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        n_words = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.repeat(np.arange(len(column)), n_texts), n_words)
+        return texts.flatten(), row, np.arange(len(row)) - np.repeat(np.cumsum(n_words) - n_words, n_words) + 1
+
+    def numbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Terms, and the number of each word's term; -1 for words that are left out."""
+        coded = words.dictionary_encode()
+        of_word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if config != "english":
+            return coded.dictionary, of_word
+        known: dict[str, int] = {}
+        own = np.array([-1 if w in STOP else known.setdefault(stem(w), len(known)) for w in coded.dictionary.to_pylist()], np.int64)
+        return pa.array(list(known), words.type), own[of_word]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [places(batch.column(1 + k)) for k in range(len(labels))]
+            terms, term = numbered(pa.concat_arrays([words for words, _, _ in found]))
+            label = np.repeat(np.arange(len(labels)), [len(row) for _, row, _ in found])
+            row, pos = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+            kept = term >= 0
+            key, pos = ((row * len(terms) + term) * len(labels) + label)[kept], pos[kept]
+            order = np.lexsort((pos, key))
+            key, pos = key[order], pos[order]
+            begun = np.flatnonzero(np.diff(key, prepend=-1))
+            ends, own = np.append(begun, len(key)), key[begun]
+            row, term, label = own // len(labels) // max(1, len(terms)), own // len(labels) % max(1, len(terms)), own % len(labels)
+            columns = [batch.column(0).take(pa.array(row)), terms.take(pa.array(term)), pa.array(labels, terms.type).take(pa.array(label)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "term", "weight", "tf", "positions"])
+
+    return run
+
+
 def postings(docs: DataFrame, ident: str, fields: dict[str, str] | str, config: str = "simple") -> DataFrame:
     """doc, term, weight (field label), tf, positions. fields: column by label D, C, B, A, or one column (D).
 
-    Tokens are sorted and grouped within a row, so that no token is shuffled by itself.
-    Texts of one id meet before that; where words are stemmed, the postings of an id meet.
+    Texts of one id meet first; their words are stemmed, sorted and grouped where they are, so that no token is shuffled.
+    The session's bound of bytes in a batch is lowered to BATCH_BYTES if it is higher, for plans read it when they run.
     """
     named = {"D": fields} if isinstance(fields, str) else fields
-    lanes = _lanes(docs)
+    spark, bound = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound)) > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     rows = docs.select(F.col(ident).alias("doc"), *(F.col(column).alias(label) for label, column in named.items()))
-    if config == "english":
-        rows = rows.select("doc", *(F.array_compact(F.array(label)).alias(label) for label in named))
-    else:
-        rows = rows.repartition(lanes, "doc").groupBy("doc").agg(*(F.collect_list(label).alias(label) for label in named))
-
-    def places(label: str) -> Column:
-        one = lambda t: F.transform(tokens(t), lambda w, i: F.struct(w.alias("term"), F.lit(label).alias("weight"), (i + 1).alias("pos")))
-        return F.flatten(F.transform(label, one))
-
-    key = lambda i: F.struct(F.get("s", i)["term"], F.get("s", i)["weight"])
-    n = F.size("s")
-    listed = rows.select("doc", F.sort_array(F.concat(*(places(label) for label in named))).alias("s"))
-    begun = listed.select("doc", "s", F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (key(i) != key(i - 1))).alias("b"))
-    own = lambda x, j: F.transform(F.sequence(x, F.coalesce(F.get("b", j + 1), n) - 1), lambda i: F.get("s", i)["pos"])
-    found = begun.select("doc", F.explode(F.transform("b", lambda x, j: F.struct(F.get("s", x)["term"].alias("term"), F.get("s", x)["weight"].alias("weight"), own(x, j).alias("positions")))).alias("p"))
-    found = found.select("doc", "p.term", "p.weight", F.size("p.positions").cast("long").alias("tf"), "p.positions")
-    if config == "english":
-        stemmed = found.filter(~F.col("term").isin(STOP)).withColumn("term", _stemmed("term")).repartition(lanes, "doc")
-        found = stemmed.groupBy("doc", "term", "weight").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return found
+    rows = rows.repartition(_lanes(docs), "doc").groupBy("doc").agg(*(F.collect_list(label).alias(label) for label in named))
+    words = rows.select("doc", *(F.transform(label, lambda t: tokens(t)).alias(label) for label in named))
+    schema = StructType([words.schema["doc"], StructField("term", StringType()), StructField("weight", StringType()), StructField("tf", LongType()), StructField("positions", ArrayType(IntegerType()))])
+    return words.mapInArrow(_grouped(list(named), config), schema)
 
 
 def setweight(posted: DataFrame, label: str) -> DataFrame:

@@ -256,6 +256,31 @@ def test_postings_group_tokens_within_rows(spark, config):
     assert {(r["doc"], r["term"], r["weight"]): (r["tf"], r["positions"]) for r in got} == {k: (len(v), sorted(v)) for k, v in want.items()} and len(got) == len(want)
 
 
+@pytest.mark.parametrize("config", ["simple", "english"])
+def test_postings_shuffle_texts_alone(spark, config):
+    """Texts are shuffled once and as they are; words are stemmed and grouped after that, outside expressions, over many small batches; repeated ids."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "2k")
+    try:
+        texts = [(i % 150, " ".join(f"{'running foxes the ran'.split()[(i * j) % 4]} w{(i + j * j) % 23}_" for j in range(i % 60))) for i in range(400)]
+        posted = fulltext.postings(spark.createDataFrame(texts, "i int, t string"), "i", "t", config)
+        plan = posted._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "term" not in plan.split("Exchange", 1)[1] and "sort_array" not in plan and spark.conf.get(key) == "2k"
+        want = collections.defaultdict(list)
+        for doc, text in texts:
+            for n, w in enumerate(text.split(), 1):
+                if config == "simple" or w not in fulltext.STOP:
+                    want[doc, fulltext.stem(w) if config == "english" else w].append(n)
+        got = posted.collect()
+        assert {(r["doc"], r["term"]): (r["tf"], r["positions"]) for r in got} == {k: (len(v), sorted(v)) for k, v in want.items()} and len(got) == len(want)
+        spark.conf.set(key, "1g")
+        fulltext.postings(posted.select("doc", "term"), "doc", "term", config)
+        assert spark.conf.get(key) == str(8 << 20)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_members_of_sparse_sets_take_no_look_at_each_bit(spark):
     """One document in each of 3,000 buckets, at both ends of pieces and bytes."""
     ids = [n * 32768 + (n * 511) % 32768 for n in range(-10, 3000)]
