@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lodewright.storage import bytes_of, kept_table
+from lodewright.storage import kept_table
 
 #: Words that the english configuration leaves out.
 STOP = (
@@ -28,8 +28,8 @@ STOP = (
 ).split()
 WORD = r"[\p{L}\p{N}_]+"
 K1, B = 1.2, 0.75
-#: Bytes of a table's files that one task indexes.
-LANE_BYTES = 8 << 20
+#: Bytes of texts that one task indexes.
+LANE_BYTES = 12 << 20
 #: Bytes of words that a task groups at a time.
 BATCH_BYTES = 8 << 20
 #: Boosts of the fields D, C, B, A for BM25F, and weights of the labels for rank.
@@ -83,12 +83,10 @@ def tokens(text: Column, config: str = "simple") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _lanes(docs: DataFrame) -> int:
-    """Parts that each hold LANE_BYTES of the files of ``docs``; rows that come from no file go by the session."""
-    spark = docs.sparkSession
-    if not docs.inputFiles():
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, -(-bytes_of(docs) // LANE_BYTES))
+def _lanes(rows: DataFrame, labels: list[str]) -> int:
+    """Parts that each hold LANE_BYTES of the texts of ``rows``. Texts are counted as they are: files of copies shrink to a small part of them."""
+    total = rows.agg(F.sum(sum(F.coalesce(F.octet_length(label), F.lit(0)).cast("long") for label in labels))).first()[0]  # one row
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // LANE_BYTES))
 
 
 def _grouped(labels: list[str], config: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -141,7 +139,7 @@ def postings(docs: DataFrame, ident: str, fields: dict[str, str] | str, config:
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bound)) > BATCH_BYTES:
         spark.conf.set(bound, str(BATCH_BYTES))
     rows = docs.select(F.col(ident).alias("doc"), *(F.col(column).alias(label) for label, column in named.items()))
-    rows = rows.repartition(_lanes(docs), "doc").groupBy("doc").agg(*(F.collect_list(label).alias(label) for label in named))
+    rows = rows.repartition(_lanes(rows, list(named)), "doc").groupBy("doc").agg(*(F.collect_list(label).alias(label) for label in named))
     words = rows.select("doc", *(F.transform(label, lambda t: tokens(t)).alias(label) for label in named))
     schema = StructType([words.schema["doc"], StructField("term", StringType()), StructField("weight", StringType()), StructField("tf", LongType()), StructField("positions", ArrayType(IntegerType()))])
     return words.mapInArrow(_grouped(list(named), config), schema)

@@ -281,6 +281,20 @@ def test_postings_shuffle_texts_alone(spark, config):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@pytest.mark.parametrize("fields, config", [("t", "simple"), ("t", "english"), ({"D": "t", "A": "h"}, "simple")])
+def test_parts_of_an_index_follow_its_texts(spark, tmp_path, monkeypatch, fields, config):
+    """A million bytes of copies in a file of a few thousand: as many parts as their texts ask for, though the file is small; a text that is null, and no row at all."""
+    monkeypatch.setattr(fulltext, "LANE_BYTES", 1 << 16)
+    copies = spark.range(1000).select("id", F.when(F.col("id") != 7, F.lit("running foxes " * 75)).alias("t"), F.lit("a title").alias("h"))
+    copies.coalesce(1).write.parquet(str(tmp_path / "copies"))
+    docs = spark.read.parquet(str(tmp_path / "copies"))
+    assert sum(f.stat().st_size for f in (tmp_path / "copies").glob("*.parquet")) < fulltext.LANE_BYTES
+    posted = fulltext.postings(docs, "id", fields, config)
+    assert posted.rdd.getNumPartitions() == -(-(999 * 1050 + 1000 * 7 * (fields != "t")) // fulltext.LANE_BYTES)
+    assert posted.groupBy(F.spark_partition_id()).count().count() > 8 and posted.filter("weight = 'D'").select(F.sum("tf")).first()[0] == 999 * 150
+    assert fulltext.postings(docs.filter("id < 0"), "id", fields, config).collect() == []
+
+
 def test_members_of_sparse_sets_take_no_look_at_each_bit(spark):
     """One document in each of 3,000 buckets, at both ends of pieces and bytes."""
     ids = [n * 32768 + (n * 511) % 32768 for n in range(-10, 3000)]
